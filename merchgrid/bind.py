@@ -15,6 +15,7 @@ def quarter(c):
     return F.floor(c * 4 + 0.5) / 4
 
 COLORS = ["Red", "Navy Blue", "Matte Black / Polarized Gray", "Forest Green", "grey heather", "Off White"]
+PAGE_COLORS = ["red", "Navy Blue", "Matte Black | Polarized Gray", "Forest", "Heather Grey", "Forest Green - New", "Off", "Grey Heather"]
 SIZES = ["S", "M", "L", "XL", "XXS", "10.5", "32", "One Size"]
 
 
@@ -53,6 +54,9 @@ class Tables:
             tags.alias("tags"),
             F.coalesce(F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>")), F.lit("")).alias("body_html"),
             F.when(key % 50 == 49, "draft").otherwise("active").alias("status"),
+            F.element_at(F.split("p_name", " "), 2).alias("style"),
+            F.when(key % 34 == 0, "Supply > Forge > Gears").when(key % 51 == 0, "Supply > Bars").otherwise("").alias("category"),
+            F.when(key % 2 == 0, "female").otherwise("").alias("gender"),
             F.when(
                 key % 97 != 0,
                 F.timestamp_seconds(F.unix_seconds(self.reference_date()) - (key % 90) * 86400 - key % 5000),
@@ -90,7 +94,7 @@ class Tables:
             price.alias("price"),
             F.when(F.col("disc_pts") > 5 * F.col("n"), quarter(price * 1.25)).alias("compare_at_price"),
             quarter(price * (1 - disc) * 0.6).alias("cost"),
-            F.lit("Color").alias("option1_name"),
+            F.when(p % 10 == 9, "Material").otherwise("Color").alias("option1_name"),
             color.alias("option1_value"),
             F.lit("Size").alias("option2_name"),
             size.alias("option2_value"),
@@ -172,6 +176,21 @@ class Tables:
             ).alias("item_issues"),
         )
 
+    def image_queue(self) -> DataFrame:
+        """Product images waiting for a colour: some labelled, some with a free description."""
+        v = self.variants().where("image_src <> ''")
+        p, s = F.col("product_id"), F.col("position")
+        words = F.array(*[F.lit(x) for x in ("deep red", "blue and navy", "black polarized", "bright green forest", "grey", "a product")])
+        return v.select(
+            "product_id", s.cast("bigint").alias("ord"), F.col("image_src").alias("url"),
+            F.when((p + s) % 3 == 0, F.col("option1_value")).alias("label"),
+            F.get(words, ((p + s * 5) % 6).cast("int")).alias("description"),
+        )
+
+    def color_options(self) -> DataFrame:
+        v = self.variants()
+        return v.groupBy("product_id", F.col("option1_value").alias("option")).agg(F.min("position").cast("bigint").alias("ord"))
+
     # -- curation ----------------------------------------------------------
     def rank_overrides(self) -> DataFrame:
         """Hand-made overrides for a few handles (pins, boosts, buries)."""
@@ -185,3 +204,118 @@ class Tables:
 
     def collection_members(self) -> DataFrame:
         return self.raw("part").select(F.lower("p_type").alias("collection"), F.col("p_partkey").alias("product_id"))
+
+    def catalog_items(self) -> DataFrame:
+        """Vendor catalog rows: images by barcode and by (vendor, style, colour)."""
+        v = self.variants().where((F.col("position") % 7 == 1) & (F.col("barcode") != ""))
+        host = F.when(F.col("position") % 2 == 0, F.lit("https://cdn.example.org/")).otherwise(F.lit("https://swatch.example.net/"))
+        coded = v.select(
+            F.col("barcode"), F.concat(host, F.col("barcode"), F.lit(".jpg")).alias("image_url"),
+            F.lit("").alias("vendor"), F.lit("").alias("style"), F.lit("").alias("color"),
+        )
+        key = F.col("p_partkey")
+        styled = self.raw("part").where(key % 13 == 0).select(
+            F.lit("").alias("barcode"), F.concat(F.lit("https://cdn.example.org/style/"), key.cast("string"), F.lit(".jpg")).alias("image_url"),
+            F.col("p_brand").alias("vendor"), F.element_at(F.split("p_name", " "), 2).alias("style"),
+            F.get(F.array(*[F.lit(c) for c in COLORS]), (key % 6).cast("int")).alias("color"),
+        )
+        return coded.unionByName(styled)
+
+    def page_colors(self) -> DataFrame:
+        """Colour names as a vendor page spells them, with their order on the page."""
+        names = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("candidate")) for i, c in enumerate(PAGE_COLORS)])
+        rows = self.raw("part").select(F.col("p_partkey").alias("product_id"), F.explode(names).alias("c")).select("product_id", "c.*")
+        return rows.where((F.col("product_id") + F.col("ord")) % 3 != 0)
+
+    def color_labels(self) -> DataFrame:
+        """Image labels as a classifier would land them."""
+        v = self.variants().where("image_src <> '' and product_id % 3 = 0")
+        fam = F.get(F.array(F.lit("Red"), F.lit("Navy"), F.lit("Black")), (F.col("position") % 3).cast("int"))
+        return v.select("product_id", F.col("option1_value").alias("color"), F.substring_index("image_src", "?", 1).alias("image_url"), fam.alias("label")).distinct()
+
+    # -- matching ------------------------------------------------------------
+    def search_results(self) -> DataFrame:
+        """Landed search hits: six candidate shapes per part."""
+        p = F.col("p_partkey")
+        ps = p.cast("string")
+        v = F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit("")))
+        noun = F.element_at(F.split("p_name", " "), 2)
+        site = F.concat(F.lit("https://www."), v, F.lit(".example.com"))
+        handle = self._handle()
+        price = F.floor("p_retailprice").cast("bigint")
+
+        def row(kind, url, title, snippet=F.lit("")):
+            return F.struct(F.lit(kind).alias("strategy"), F.concat(*url).alias("url"), F.concat(*title).alias("title"), snippet.alias("snippet"))
+
+        code = F.lpad((p * 1000).cast("string"), 12, "0")
+        rows = F.array(
+            row("barcode", [site, F.lit("/products/"), handle], [F.col("p_name")],
+                F.concat(F.lit("Code "), F.when(p % 2 == 0, code).otherwise("none"), F.lit(" now $"), (price + p % 3 * 300).cast("string"), F.lit(".50"))),
+            row("sku", [site, F.lit("/shop/mens/jackets/all/"), noun], [F.col("p_name"), F.lit(" Mid "), (2020 + p % 6).cast("string")]),
+            row("title", [F.lit("https://"), v, F.lit(".example.com/collections/all?page=2&sort=x")], [F.lit("Shop all "), noun, F.lit("s | Official")]),
+            row("title", [site, F.lit("/p/"), ps, F.lit("/")], [F.col("p_brand"), F.lit(" "), noun, F.lit(" "), (p % 100).cast("string"), F.lit(" limited")],
+                F.concat(F.lit("from $"), price.cast("string"))),
+            row("title", [site, F.lit("/blog/about-"), noun, F.lit("-story-"), ps], [noun, F.lit(" boots for women")]),
+            row("title", [site, F.lit("/products/"), handle, F.lit("/")], [F.col("p_name"), F.lit(" - "), F.col("p_brand")]),
+        )
+        title = (
+            F.when(p % 3 == 0, F.concat("p_brand", F.lit(" "), "p_name")).when(p % 3 == 1, F.concat("p_name", F.lit(" Low "), (p % 50).cast("string")))
+            .otherwise(F.col("p_name"))
+        )
+        base = self.raw("part").select(
+            p.alias("product_id"), title.alias("product_title"), F.col("p_brand").alias("vendor"), price.cast("double").alias("price"),
+            code.alias("barcode"), F.concat(F.lit("SKU-"), ps).alias("sku"), (p % 5).alias("broad_count"), F.posexplode(rows).alias("ord", "r"),
+        )
+        return base.select("product_id", "product_title", "vendor", "price", "barcode", "sku", "broad_count", F.col("ord").cast("bigint").alias("ord"), "r.*").withColumn(
+            "live", (F.col("product_id") + F.col("ord")) % 4 != 0
+        )
+
+    def candidate_pages(self) -> DataFrame:
+        """Scraped page and extracted facts per candidate URL."""
+        c = self.search_results()
+        p, o = F.col("product_id"), F.col("ord")
+        blank = F.array().cast("array<string>")
+        return c.select(
+            "url",
+            F.when((p + o) % 9 == 0, F.lit("Just a moment, checking your browser")).otherwise(
+                F.concat(F.lit("# Menu\n\n## "), "title", F.lit("\n\n"), F.repeat(F.lit("A long product story about parts. "), 20))
+            ).alias("markdown"),
+            F.when((p + o) % 7 == 0, F.lit("")).otherwise(F.col("title")).alias("product_name"),
+            F.when(o % 2 == 0, F.col("price") * (1.0 + (p % 8) / 10.0)).alias("scraped_price"),
+            F.when(p % 4 == 0, blank).otherwise(F.array(F.lit("red"), F.lit("Black"), F.lit("forest green"))).alias("vendor_colors"),
+            ((p + o * 3) % 10 * 10.0).alias("content_score"),
+        )
+
+    def title_pairs(self) -> DataFrame:
+        """User turn as catalog title, the answer to it as page title."""
+        c = self.raw("conversations")
+        ask = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("catalog_title"))
+        answer = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("page_title"))
+        return ask.join(answer, ["conv_id", "turn"])
+
+    def season_rows(self) -> DataFrame:
+        p = F.col("p_partkey")
+        cols = lambda *c: F.array(*[F.lit(x) for x in c])
+        return self.raw("part").select(
+            p.alias("product_id"),
+            F.when(p % 3 == 0, cols("Red", "Black", "Forest Green")).when(p % 3 == 1, cols("Navy Blue", "Sand / Oat")).otherwise(cols("Red")).alias("catalog_colors"),
+            F.when(p % 5 == 0, cols("red", "Sand | Oat")).when(p % 5 == 1, cols("teal", "Matte Black", "plum")).otherwise(cols("forest green", "red")).alias("vendor_colors"),
+            F.array(F.concat(F.lit("season:"), (2022 + p % 4).cast("string")), F.lit("sale")).alias("tags"),
+            F.concat(F.lit("https://x.example.com/"), F.when(p % 2 == 0, F.concat((2021 + p % 7).cast("string"), F.lit("/"))).otherwise(F.concat(F.lit("fw"), (22 + p % 5).cast("string"), F.lit("-"))),
+                     F.lit("item")).alias("url"),
+        )
+
+    def vendor_catalog(self) -> DataFrame:
+        """Another catalog to match titles against: words of the part names, reordered and mixed."""
+        p = F.col("p_partkey")
+        w = F.split("p_name", " ")
+        extra = F.get(F.array(*[F.lit(x) for x in ("", " deluxe", " boots", " 2025", " verbier edition")]), (p % 5).cast("int"))
+        return self.raw("part").select(
+            (p % 4).alias("domain"), p.alias("other_id"), F.concat(F.element_at(w, 2), F.lit(" "), F.element_at(w, 1), extra).alias("other_title")
+        )
+
+    def match_titles(self) -> DataFrame:
+        p = F.col("p_partkey")
+        return self.raw("part").select(
+            (p % 4).alias("domain"), p.alias("product_id"), F.concat("p_name", F.lit(" "), F.lower("p_type"), F.when(p % 2 == 0, " boots").otherwise("")).alias("title")
+        )

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from merchgrid.plans import core
+from merchgrid.plans import catalog, core, matching
 
-MODULES = [core]
+MODULES = [core, catalog, matching]
 
 
 def queries() -> dict:

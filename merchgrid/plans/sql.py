@@ -25,14 +25,16 @@ CTES: dict[str, str] = {
             CASE p_partkey % 4 WHEN 0 THEN 'gender:womens' WHEN 1 THEN 'gender:mens' END,
             CASE WHEN p_partkey % 3 = 0 THEN 'season:winter' END) END AS tags,
         coalesce('<p>' || text || '</p>', '') AS body_html,
-        CASE WHEN p_partkey % 50 = 49 THEN 'draft' ELSE 'active' END AS status,
+        CASE WHEN p_partkey % 50 = 49 THEN 'draft' ELSE 'active' END AS status, split_part(p_name, ' ', 2) AS style,
+        CASE WHEN p_partkey % 34 = 0 THEN 'Supply > Forge > Gears' WHEN p_partkey % 51 = 0 THEN 'Supply > Bars' ELSE '' END AS category,
+        CASE WHEN p_partkey % 2 = 0 THEN 'female' ELSE '' END AS gender,
         CASE WHEN p_partkey % 97 <> 0 THEN epoch(ref_date)::BIGINT - (p_partkey % 90) * 86400 - p_partkey % 5000 END AS created_s
       FROM part LEFT JOIN documents ON doc_id = p_partkey CROSS JOIN ref""",
     "variants": f"""SELECT p * 100000 + s AS variant_id, p AS product_id, s AS position, 'SKU-' || p || '-' || s AS sku,
         CASE WHEN s % 9 = 0 THEN '' ELSE lpad((p * 1000 + s)::VARCHAR, 12, '0') END AS barcode, price,
         CASE WHEN disc_pts > 5 * n THEN floor(price * 1.25::DOUBLE * 4 + 0.5::DOUBLE) / 4 END AS compare_at_price,
         floor(price * (1 - disc_pts::DOUBLE / n / 100) * 0.6::DOUBLE * 4 + 0.5::DOUBLE) / 4 AS cost,
-        'Color' AS option1_name, {_COLORS}[((p + s) % 6)::INT + 1] AS option1_value,
+        CASE WHEN p % 10 = 9 THEN 'Material' ELSE 'Color' END AS option1_name, {_COLORS}[((p + s) % 6)::INT + 1] AS option1_value,
         'Size' AS option2_name, {_SIZES}[(s % 8)::INT + 1] AS option2_value,
         CASE WHEN p % 6 = 0 OR s % 5 = 0 THEN '' ELSE 'https://img.example.com/' || p || '/' || ((p + s) % 6) || '.jpg?v=' || s END AS image_src,
         CASE WHEN (p * 3 + s) % 31 = 0 THEN 0.0::DOUBLE ELSE ((p * 37 + s * 11) % 2500 + 40)::DOUBLE END AS grams,
@@ -82,6 +84,10 @@ CTES: dict[str, str] = {
               sum(n_image)::BIGINT AS n_image, sum(n_price)::BIGINT AS n_price,
               CASE WHEN sum(impressions) = 0 THEN 0.0::DOUBLE ELSE sum(clicks)::DOUBLE / sum(impressions)::DOUBLE END AS ctr
             FROM listing_resolved GROUP BY 1)""",
+    "catalog_items": f"""SELECT barcode, CASE WHEN position % 2 = 0 THEN 'https://cdn.example.org/' ELSE 'https://swatch.example.net/' END || barcode || '.jpg' AS image_url,
+        '' AS vendor, '' AS style, '' AS color FROM variants WHERE position % 7 = 1 AND barcode <> ''
+      UNION ALL SELECT '', 'https://cdn.example.org/style/' || p_partkey || '.jpg', p_brand, split_part(p_name, ' ', 2), {_COLORS}[(p_partkey % 6)::INT + 1]
+        FROM part WHERE p_partkey % 13 = 0""",
     "kept": "SELECT * FROM products WHERE status = 'active' AND vendor NOT IN ('Brand#25', 'Brand#24')",
     "vstats": """SELECT product_id, count(*) AS variant_count, bool_or(trim(image_src) <> '') AS any_image, avg(price) AS price, avg(cost) AS cost,
         arg_min(barcode, position) AS barcode, arg_min(sku, position) AS sku FROM variants GROUP BY 1""",
