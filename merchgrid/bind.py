@@ -319,3 +319,37 @@ class Tables:
         return self.raw("part").select(
             (p % 4).alias("domain"), p.alias("product_id"), F.concat("p_name", F.lit(" "), F.lower("p_type"), F.when(p % 2 == 0, " boots").otherwise("")).alias("title")
         )
+
+    # -- content -------------------------------------------------------------
+    def facts(self) -> DataFrame:
+        """Extracted facts per document: long lines are blocks, short lines are bullets."""
+        d = F.col("doc_id")
+        lines = F.split("text", "\n")
+        return self.raw("documents").select(
+            d, F.concat(F.lit("doc-"), d.cast("string")).alias("handle"),
+            F.regexp_extract("text", r"^(\S+\s+\S+)", 1).alias("product_name"),
+            F.when(d % 3 != 0, F.col("source")).otherwise("").alias("brand"),
+            F.filter(lines, lambda x: F.length(x) >= 120).alias("blocks"),
+            F.filter(lines, lambda x: (F.length(x) > 0) & (F.length(x) < 120)).alias("bullets"),
+            F.when(d % 4 == 0, F.create_map().cast("map<string,string>")).when(
+                d % 4 == 1, F.create_map(F.lit("weight"), F.concat(F.col("n_chars").cast("string"), F.lit(" g")))
+            ).otherwise(F.create_map(F.lit("weight"), F.concat(F.col("n_chars").cast("string"), F.lit(" g")), F.lit("fit"), F.col("lang"))).alias("specs"),
+            F.when(d % 3 == 0, "80% cotton, 20% nylon").when(d % 3 == 1, "soft shell fabric").otherwise("").alias("materials"),
+            F.when(d % 5 == 0, "machine wash cold inside").otherwise("").alias("care"),
+            F.when(d % 10 == 0, F.col("text")).otherwise("").alias("ld_description"), "lang", "text",
+        )
+
+    def outputs(self) -> DataFrame:
+        """Generated descriptions with facts and verification counts."""
+        f, d = self.facts(), F.col("doc_id")
+        li = F.transform(F.slice("bullets", 1, 9), lambda b: F.concat(F.lit("<li>"), F.regexp_replace(b, "[<>]", " "), F.lit("</li>")))
+        html = F.concat(
+            F.when(d % 9 != 8, F.concat(F.lit("<p>"), F.regexp_replace(F.coalesce(F.get("blocks", F.lit(0)), F.lit("A stunning perfect part.")), "[<>]", " "), F.lit("</p>"))).otherwise(""),
+            F.when(d % 2 == 0, F.concat(F.lit("<ul>"), F.array_join(li, ""), F.lit("</ul>"))).otherwise(""),
+            F.when(d % 3 == 0, F.lit("<h3>Specs</h3><table><tr><td>80% cotton, 20% nylon</td></tr></table>")).otherwise(""),
+        )
+        lab = self.raw("labels").select(F.col("doc_id").alias("lid"), "quality", "toxic")
+        return f.join(lab, d == F.col("lid"), "left").select(
+            *f.columns, html.alias("body_html"), F.when(F.col("quality") == 1, "PASS").when(F.col("quality") == 0, "FAIL").alias("verdict"),
+            (F.col("quality") * 3 + d % 3).alias("n_supported"), F.coalesce("toxic", F.lit(0)).alias("n_unsupported"), (d % 2).alias("n_embellished"),
+        )

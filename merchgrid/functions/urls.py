@@ -69,8 +69,8 @@ def same_domain(url: Column, domain: Column) -> Column:
 def image_reject_reason(url: Column) -> Column:
     """Why an image is not importable; null when it is."""
     low = F.lower(text(url))
-    ext = F.regexp_extract(F.lower(path(url)), r"\.([a-z0-9]{2,5})$", 1)
+    bare = F.substring_index(low, "?", 1)
     return (
-        F.when(low == "", "empty").when(low.startswith("data:"), "data_uri").when(ext.isin("svg", "gif", "ico", "bmp", "tif", "tiff"), "extension")
-        .when(low.rlike(r"icon|logo|sprite|placeholder|badge|pixel"), "decorative")
+        F.when(bare.endswith(".svg") | bare.endswith(".ico"), "unsupported format")
+        .when(low.rlike("icon|logo|badge|pixel"), "likely icon/badge").when(url.startswith("data:"), "data URI")
     )

@@ -127,5 +127,5 @@ def assign_hero(outputs: DataFrame) -> DataFrame:
         F.when(explicit, picked)
         .when(~F.col("has_color") & hero.isNotNull(), F.create_map(F.lit("__all__"), hero))
         .otherwise(F.create_map().cast("map<string,string>")).alias("assignment"),
-        F.when(~explicit & F.col("has_color"), "NO_VARIANT_IMAGES").when(~explicit & hero.isNull(), "NO_IMAGES").alias("warning"),
+        F.when(~explicit & F.col("has_color"), "COLOR_MATCHING_FAILED_NO_IMAGES_ASSIGNED").when(~explicit & hero.isNull(), "NO_IMAGES_FOR_VARIANT_ASSIGNMENT").alias("warning"),
     )

@@ -9,6 +9,7 @@ from merchgrid.functions import urls as U
 from merchgrid.functions.colors import normalize as normalize_color
 from merchgrid.functions.common import add_all, any_of, clamp, contains_any, flag, labels, ratio, strip, text
 from merchgrid.functions.ranking import top_k
+from merchgrid.functions.setsim import prefixes, token_frequency
 from merchgrid.functions.similarity import any_homonym, sequence_ratio
 from merchgrid.rules import matching as rules
 
@@ -451,18 +452,10 @@ def title_join(left: DataFrame, right: DataFrame, threshold: float = 0.3) -> Dat
     lset = left.withColumn("words", words("title"))
     lsets = lset.where(F.size("words") > 0).select("domain", "words").distinct()
     rsets = right.withColumn("rwords", words("other_title")).where(F.size("rwords") > 0).groupBy("domain", "rwords").agg(F.min("other_id").alias("other_id"))
-    freq = rsets.select("domain", F.explode("rwords").alias("w")).groupBy("domain", "w").agg(F.count(F.lit(1)).alias("df"))
-    # A pair with Jaccard > t shares more than t * |set| words of either side, so in one
-    # global word order it meets in the first |set| - floor(t * |set|) words of both.
-    def prefix(sets: DataFrame, col: str) -> DataFrame:
-        toks = sets.withColumn("w", F.explode(col)).join(freq, ["domain", "w"], "left")
-        ordered = toks.groupBy("domain", col).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))).alias("o"))
-        keep = F.size(col) - F.floor(F.lit(threshold) * F.size(col)).cast("int")
-        return ordered.select("domain", col, F.explode(F.slice("o", F.lit(1), keep)).alias("p")).select("domain", col, F.col("p.w").alias("w"))
-
-    posting = prefix(rsets.select("domain", "rwords"), "rwords")
+    freq = token_frequency(rsets, ["domain"], "rwords")
+    posting = prefixes(rsets.select("domain", "rwords"), ["domain"], "rwords", threshold, freq)
     size_ok = (F.size("rwords") * threshold < F.size("words")) & (F.size("words") * threshold < F.size("rwords"))
-    pairs = prefix(lsets, "words").join(posting, ["domain", "w"]).where(size_ok).select("domain", "words", "rwords").distinct()
+    pairs = prefixes(lsets, ["domain"], "words", threshold, freq).join(posting, ["domain", "w"]).where(size_ok).select("domain", "words", "rwords").distinct()
     pairs = pairs.join(rsets, ["domain", "rwords"])
     t, c = F.col("words"), F.col("rwords")
     jac = F.size(F.array_intersect(t, c)) / F.size(F.array_union(t, c)).cast("double")

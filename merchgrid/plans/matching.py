@@ -63,7 +63,9 @@ def title_gate(spark, sf):
 
 
 def title_gate_edit(spark, sf):
-    g = M.title_gate(Tables(spark, sf).title_pairs(), similarity=_edit)
+    # ASCII letters only: the oracle's edit distance counts bytes.
+    ascii_edit = lambda a, b: _edit(F.regexp_replace(a, r"[^\x00-\x7F]", ""), F.regexp_replace(b, r"[^\x00-\x7F]", ""))
+    g = M.title_gate(Tables(spark, sf).title_pairs(), similarity=ascii_edit)
     demo = F.coalesce(F.col("demographic_match").cast("int"), F.lit(-1)).cast("bigint")
     return g.select("conv_id", "turn", half_up(F.col("title_similarity"), 6).alias("title_similarity"), half_up(F.col("word_overlap"), 6).alias("word_overlap"),
                     demo.alias("demographic"), "passed")
@@ -77,7 +79,7 @@ def _decision_input(t):
 
 def candidate_decisions(spark, sf):
     t = Tables(spark, sf)
-    return M.decide(_decision_input(t), t.candidate_pages().dropDuplicates(["url"]))
+    return M.decide(_decision_input(t), t.candidate_pages())
 
 
 def _decision_columns(d):
@@ -206,15 +208,15 @@ _MEAN = lambda c: _MINUS(_TOK(c), _list(sorted(set(_GF + _GD))))
 _DEMO = lambda c: f"list_distinct(list_transform(list_intersect({_TOK(c)}, {_list(_GD)}), lambda w: CASE w WHEN 'men' THEN 'mens' WHEN 'women' THEN 'womens' ELSE w END))"
 
 
-def gate_sql(src: str) -> str:
+def gate_sql(src: str, clean: str = "{}") -> str:
     return f"""SELECT *, {_DEMO('page_title')} AS dp, {_DEMO('catalog_title')} AS dc, len(list_intersect({_MEAN('catalog_title')}, {_MEAN('page_title')}))::DOUBLE
-        / greatest(len({_MEAN('catalog_title')}), 1) AS word_overlap, {_LEV.format(a='lower(page_title)', b='lower(catalog_title)')} AS title_similarity FROM {src}"""
+        / greatest(len({_MEAN('catalog_title')}), 1) AS word_overlap, {_LEV.format(a=clean.format('lower(page_title)'), b=clean.format('lower(catalog_title)'))} AS title_similarity FROM {src}"""
 
 
 _GATE = {
     "pairs_": """SELECT a.conv_id, a.turn, a.text AS catalog_title, b.text AS page_title FROM conversations a JOIN conversations b
         ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.role = 'user' AND b.role = 'assistant'""",
-    "gated": gate_sql("pairs_"),
+    "gated": gate_sql("pairs_", "regexp_replace({}, '[^\\x00-\\x7F]', '', 'g')"),
 }
 _ACTIVE = lambda c: f"list_distinct(list_filter(list_transform({c}, lambda x: lower(trim(regexp_replace(regexp_replace(x, '\\s*[/|]\\s*', ' ', 'g'), '\\s+', ' ', 'g')))), lambda n: NOT list_has_any(string_split(n, ' '), {_list(rules.NEUTRALS)})))"
 _OVER = lambda a, b: f"CASE WHEN len(list_distinct(list_concat({a}, {b}))) = 0 THEN 1.0::DOUBLE ELSE floor(len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))) * 1000 + 0.5::DOUBLE) / 1000 END"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from merchgrid.plans import catalog, core, matching
+from merchgrid.plans import catalog, content, core, matching
 
-MODULES = [core, catalog, matching]
+MODULES = [core, catalog, matching, content]
 
 
 def queries() -> dict:
