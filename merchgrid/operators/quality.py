@@ -61,7 +61,7 @@ def output_quality(outputs: DataFrame) -> DataFrame:
     body = F.lower(strip(tag_free(html)))
     has_bullets, has_specs = F.size("bullets") > 0, F.size("specs") > 0
     staged = outputs.withColumns({
-        "_li": F.transform(F.regexp_extract_all(html, F.lit(r"(?i)([^<>]*)</li\s*>"), 1), strip), "_body": body,
+        "_li": F.transform(F.regexp_extract_all(html, F.lit(r"(?i)(?:^|>)([^<>]*)</li\s*>"), 1), strip), "_body": body,
         "_p": tag("p"), "_ul": tag("ul"), "_table": tag("table"), "_h3": tag("h3"), "_words": F.size(words(tag_free(html))),
     })
     n_li, b = F.size("_li"), F.col("_body")
