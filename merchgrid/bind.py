@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from merchgrid.operators.images import catalog_by_barcode
+from merchgrid.operators.intake import variant_options
+
 
 def quarter(c):
     """Round to quarter dollars."""
@@ -207,8 +210,9 @@ class Tables:
 
     def catalog_items(self) -> DataFrame:
         """Vendor catalog rows: images by barcode and by (vendor, style, colour)."""
-        v = self.variants().where((F.col("position") % 7 == 1) & (F.col("barcode") != ""))
-        host = F.when(F.col("position") % 2 == 0, F.lit("https://cdn.example.org/")).otherwise(F.lit("https://swatch.example.net/"))
+        full = F.col("product_id") % 10 == 3  # products whose every barcode is in the catalog
+        v = self.variants().where(((F.col("position") % 7 == 1) | full) & (F.col("barcode") != ""))
+        host = F.when((F.col("position") % 2 == 0) | full, F.lit("https://cdn.example.org/")).otherwise(F.lit("https://swatch.example.net/"))
         coded = v.select(
             F.col("barcode"), F.concat(host, F.col("barcode"), F.lit(".jpg")).alias("image_url"),
             F.lit("").alias("vendor"), F.lit("").alias("style"), F.lit("").alias("color"),
@@ -353,3 +357,80 @@ class Tables:
             *f.columns, html.alias("body_html"), F.when(F.col("quality") == 1, "PASS").when(F.col("quality") == 0, "FAIL").alias("verdict"),
             (F.col("quality") * 3 + d % 3).alias("n_supported"), F.coalesce("toxic", F.lit(0)).alias("n_unsupported"), (d % 2).alias("n_embellished"),
         )
+
+    # -- review ---------------------------------------------------------------
+    def decisions(self) -> DataFrame:
+        """Decision log: three tried candidates per part."""
+        p = F.col("p_partkey")
+        outcomes = ["accept", "reject_title_gate", "reject_bot_blocked", "skip_low_confidence", "reject_post_extraction", "accepted", "reject_title_gate"]
+        title = F.when(p % 3 == 1, F.concat("p_name", F.lit(" Low "), (p % 50).cast("string"))).otherwise(F.col("p_name"))
+
+        def tried(k: int):
+            kind = F.get(F.array(*[F.lit(o) for o in outcomes]), ((p * 3 + k * 5) % 7).cast("int"))
+            noun = F.element_at(F.split("p_name", " "), 2)
+            page = F.when((p + k) % 3 == 0, F.col("p_name")).when((p + k) % 3 == 1, F.concat(noun, F.lit(" boots deluxe edition"))).otherwise(F.lit("spare catalog entry"))
+            hundredth = lambda c: c / F.lit(100.0)
+            return F.struct(
+                F.concat(F.lit("https://x.example.com/"), p.cast("string"), F.lit(f"/{k}")).alias("url"), kind.alias("outcome"),
+                ((p * 7 + k * 13) % 100).cast("double").alias("resolver_confidence"), F.when((p + k) % 5 != 0, ((p * 3 + k) % 100).cast("double")).alias("confidence"),
+                page.alias("title_extracted"),
+                F.create_map(F.lit("title_similarity"), hundredth((p + k * 11) % 100), F.lit("word_overlap"), hundredth((p * 3 + k) % 50)).alias("metrics"),
+                F.create_map(F.lit("foreign"), F.when(p % 2 == 0, -20.0).otherwise(-5.0), F.lit("critical"), F.lit(-30.0), F.lit("demographic"), F.lit(-15.0)).alias("penalties"),
+                F.when((p + k) % 4 == 0, " -foreign_product(x)").otherwise("").alias("rescore_reasoning"),
+                F.struct(hundredth((p * 11 + k) % 100).alias("title_similarity"), hundredth((p * 5 + k) % 100).alias("price_ratio"),
+                         hundredth((p * 3 + k * 7) % 100).alias("color_overlap"), ((p + k) % 2).cast("double").alias("content_quality")).alias("signals"))
+
+        base = self.raw("part").select(
+            p.alias("decision_id"), F.concat(F.lit("h-"), (p % 700).cast("string")).alias("handle"), F.when(p % 6 == 0, "").otherwise(F.col("p_brand")).alias("vendor"),
+            title.alias("catalog_title"), (p * 10).alias("ts"), F.when(p % 9 == 0, F.array(F.lit("bolt"))).otherwise(F.array().cast("array<string>")).alias("type_words"),
+            F.array(*[tried(k) for k in range(3)]).alias("candidates_tried"), F.when(p % 2 == 0, F.array(F.lit("u"))).otherwise(F.array().cast("array<string>")).alias("resolver_candidates"))
+        ok = F.exists("candidates_tried", lambda c: c["outcome"].isin("accept", "accepted"))
+        return base.withColumn("outcome", F.when(ok, "accept").otherwise("no_match"))
+
+    def changes(self) -> DataFrame:
+        """Proposed product changes with their review state, from documents and labels."""
+        o, d = self.outputs(), F.col("doc_id")
+        status = (
+            F.when(F.col("verdict").isNull(), "pending").when(d % 11 == 0, "applied").when(d % 13 == 0, "reverted")
+            .when((d % 7 == 0) & (F.col("verdict") == "PASS"), "edited").when(F.col("verdict") == "PASS", "approved").otherwise("rejected"))
+        img = lambda n, salt: F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("https://i.example.com/"), ((d + i * salt) % 7).cast("string"), F.lit(".jpg")))
+        return o.select(
+            "doc_id", "handle", F.concat(F.lit("run_"), (d % 3).cast("string")).alias("run_id"), status.alias("status"),
+            F.when(F.col("n_unsupported") > 0, "toxic").when((status == "rejected") & (d % 2 == 0), "off topic").otherwise("").alias("reason"),
+            F.col("body_html").alias("new_body_html"), F.when(d % 4 == 0, F.col("body_html")).otherwise("<p>old</p>").alias("current_body_html"),
+            F.when(status == "edited", F.concat(F.lit("<b>x</b>"), F.col("body_html"))).otherwise("").alias("edited_body_html"), (d % 101).cast("int").alias("confidence"),
+            img(d % 4 + 1, 2).alias("current_images"), img(d % 3 + 1, 3).alias("new_images"), F.when(d % 5 == 0, "").otherwise("Bolt").alias("product_type"), F.lit("").alias("tags"))
+
+    def manifest(self) -> DataFrame:
+        p = F.col("p_partkey")
+        ids = lambda n: F.transform(F.sequence(F.lit(1), n), lambda i: p * 10 + i)
+        none = F.array().cast("array<bigint>")
+        return self.raw("part").select(
+            F.concat(F.lit("run_"), (p % 3).cast("string")).alias("run_id"), self._handle().alias("handle"), F.col("p_name").alias("before_body"),
+            F.transform(ids(p % 3 + 1), lambda i: F.struct(i.alias("id"), F.when(i % 2 == 0, F.array(i, i + 1)).otherwise(none).alias("variant_ids"))).alias("before_images"),
+            F.when(p % 4 != 0, F.lit("<p>new</p>")).alias("pushed_body"), F.when(p % 5 == 0, none).otherwise(ids(p % 4 + 1)).alias("images_created"))
+
+    def iteration_scores(self) -> DataFrame:
+        """Stored description scores of five prompt iterations."""
+        d, i = F.col("doc_id"), F.col("iteration")
+        return self.raw("documents").select(d, F.explode(F.sequence(F.lit(0), F.lit(4))).alias("iteration")).select(
+            i, F.concat(F.lit("doc-"), d.cast("string")).alias("handle"), ((d + i * 3) % 26).alias("structure"), ((d * 3 + i) % 16).alias("length"), ((d + i) % 16).alias("anti_hype"),
+            ((d * 5 + i * 2) % 16).alias("coverage"), (d % 10 == 0).alias("in_feedback"))
+
+    def vendors(self) -> DataFrame:
+        n = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
+        return self.raw("part").select("p_brand", n.alias("n")).distinct().where("n % 6 <> 5").select(
+            F.col("p_brand").alias("vendor"), (F.col("n") % 4 == 1).alias("blocked"), (F.col("n") % 8 == 1).alias("house_brand"))
+
+    def variants_with_options(self) -> DataFrame:
+        """Variants with colour, size and the catalog image of their barcode."""
+        return variant_options(self.variants()).join(catalog_by_barcode(self.catalog_items()), "barcode", "left")
+
+    def color_map(self) -> DataFrame:
+        """Scraped colour to image rows per product, a hero for some and none for others."""
+        p = F.col("product_id")
+        rows = self.page_colors().where(p % 8 != 7).select(
+            "product_id", F.when((p % 8 == 3) & (F.col("ord") <= 1), "__all__").otherwise(F.col("candidate")).alias("color"), F.col("ord").cast("bigint").alias("ord"),
+            F.concat(F.lit("https://scraped.example.com/"), p.cast("string"), F.lit("/"), F.col("ord").cast("string"), F.lit(".jpg")).alias("url"),
+            (p % 50 + 50).cast("int").alias("confidence"))
+        return rows

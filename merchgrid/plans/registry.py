@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from merchgrid.plans import catalog, content, core, matching
+from merchgrid.plans import catalog, content, core, matching, review
 
-MODULES = [core, catalog, matching, content]
+MODULES = [core, catalog, matching, content, review]
 
 
 def queries() -> dict:

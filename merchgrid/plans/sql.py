@@ -84,8 +84,8 @@ CTES: dict[str, str] = {
               sum(n_image)::BIGINT AS n_image, sum(n_price)::BIGINT AS n_price,
               CASE WHEN sum(impressions) = 0 THEN 0.0::DOUBLE ELSE sum(clicks)::DOUBLE / sum(impressions)::DOUBLE END AS ctr
             FROM listing_resolved GROUP BY 1)""",
-    "catalog_items": f"""SELECT barcode, CASE WHEN position % 2 = 0 THEN 'https://cdn.example.org/' ELSE 'https://swatch.example.net/' END || barcode || '.jpg' AS image_url,
-        '' AS vendor, '' AS style, '' AS color FROM variants WHERE position % 7 = 1 AND barcode <> ''
+    "catalog_items": f"""SELECT barcode, CASE WHEN position % 2 = 0 OR product_id % 10 = 3 THEN 'https://cdn.example.org/' ELSE 'https://swatch.example.net/' END || barcode || '.jpg' AS image_url,
+        '' AS vendor, '' AS style, '' AS color FROM variants WHERE (position % 7 = 1 OR product_id % 10 = 3) AND barcode <> ''
       UNION ALL SELECT '', 'https://cdn.example.org/style/' || p_partkey || '.jpg', p_brand, split_part(p_name, ' ', 2), {_COLORS}[(p_partkey % 6)::INT + 1]
         FROM part WHERE p_partkey % 13 = 0""",
     "facts": """SELECT doc_id, 'doc-' || doc_id AS handle, regexp_extract(text, '^(\\S+\\s+\\S+)', 1) AS product_name, CASE WHEN doc_id % 3 <> 0 THEN source ELSE '' END AS brand,
