@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from merchgrid.functions.partitioning import spread
 from merchgrid.operators.images import catalog_by_barcode
 from merchgrid.operators.intake import variant_options
 
@@ -17,6 +18,9 @@ def quarter(c):
     """Round to quarter dollars."""
     return F.floor(c * 4 + 0.5) / 4
 
+# Tables that feed expensive per-row work (text, regular expressions, Python).
+SPREAD_KEYS = {"part": "p_partkey", "documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
 COLORS = ["Red", "Navy Blue", "Matte Black / Polarized Gray", "Forest Green", "grey heather", "Off White"]
 PAGE_COLORS = ["red", "Navy Blue", "Matte Black | Polarized Gray", "Forest", "Heather Grey", "Forest Green - New", "Off", "Grey Heather"]
 SIZES = ["S", "M", "L", "XL", "XXS", "10.5", "32", "One Size"]
@@ -30,7 +34,8 @@ class Tables:
         self.sf_dir = sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(df, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
 
     # -- scalars -----------------------------------------------------------
     def reference_date(self):
@@ -108,16 +113,13 @@ class Tables:
             ).alias("image_src"),
             F.when((p * 3 + s) % 31 == 0, F.lit(0.0)).otherwise(((p * 37 + s * 11) % 2500 + 40).cast("double")).alias("grams"),
             (s % 13 != 0).alias("requires_shipping"),
+            ((p * 7 + s * 13) % 40).alias("qty"),
+            (F.col("disc_pts") > 5 * F.col("n")).alias("on_sale"),
         )
 
     def inventory_levels(self) -> DataFrame:
-        p, s = F.col("product_id"), F.col("position")
         return self.variants().select(
-            "variant_id", "product_id", "cost",
-            F.col("compare_at_price").isNotNull().alias("on_sale"),
-            F.concat(F.lit("loc"), (s % 3).cast("string")).alias("location"),
-            ((p * 7 + s * 13) % 40).alias("qty"),
-        )
+            "variant_id", "product_id", "cost", "on_sale", F.concat(F.lit("loc"), (F.col("position") % 3).cast("string")).alias("location"), "qty")
 
     def order_lines(self) -> DataFrame:
         """Sold units with their order date."""

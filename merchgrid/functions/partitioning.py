@@ -1,0 +1,16 @@
+"""Parallelism of small scans."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a scan that has fewer splits than the cluster has cores.
+
+    A table of a few row groups would leave expensive per-row work to a few tasks.  A
+    scan with enough splits - every large table - is returned as it is, so the shuffle
+    added here never moves more than a core count of splits.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def set_id(words: Column) -> Column:
+    """Digest that stands for a sorted word set, so joins carry 64 letters and not the words."""
+    return F.sha2(F.array_join(words, " "), 256)
+
+
 def token_frequency(sets: DataFrame, keys: list[str], col: str) -> DataFrame:
     """Number of sets of a block that hold a token."""
     return sets.select(*keys, F.explode(col).alias("w")).groupBy(*keys, "w").agg(F.count(F.lit(1)).alias("df"))
 
 
-def prefixes(sets: DataFrame, keys: list[str], col: str, threshold: float, freq: DataFrame) -> DataFrame:
+def prefixes(sets: DataFrame, keys: list[str], sid: str, col: str, threshold: float, freq: DataFrame) -> DataFrame:
     """Rarest tokens of every set that an exact threshold join has to look at.
 
     Two sets with Jaccard > t share more than ``t * |set|`` tokens of either side.  In
     one global token order they therefore meet in the first ``|set| - floor(t * |set|)``
     tokens of both, and frequent tokens stay out of the join.  No pair is lost.
+    Returns ``(keys, sid, size, w)``.
     """
-    toks = sets.withColumn("w", F.explode(col)).join(freq, [*keys, "w"], "left")
-    ordered = toks.groupBy(*keys, col).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))).alias("o"))
-    keep = F.size(col) - F.floor(F.lit(threshold) * F.size(col)).cast("int")
-    return ordered.select(*keys, col, F.explode(F.slice("o", F.lit(1), keep)).alias("p")).select(*keys, col, F.col("p.w").alias("w"))
+    toks = sets.select(*keys, sid, F.explode(col).alias("w")).join(freq, [*keys, "w"], "left")
+    ordered = toks.groupBy(*keys, sid).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))).alias("o"))
+    size = F.size("o")
+    keep = size - F.floor(F.lit(threshold) * size).cast("int")
+    return ordered.select(*keys, sid, size.alias("size"), F.explode(F.slice("o", F.lit(1), keep)).alias("p")).select(*keys, sid, "size", F.col("p.w").alias("w"))

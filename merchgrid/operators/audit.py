@@ -65,7 +65,22 @@ def variant_stats(variants: DataFrame) -> DataFrame:
     ).select("*", text(F.col("_first.barcode")).alias("barcode"), text(F.col("_first.sku")).alias("sku")).drop("_first")
 
 
-def gap_flags(products: DataFrame, stats: DataFrame, inventory: DataFrame) -> DataFrame:
+def variant_rollup(variants: DataFrame) -> DataFrame:
+    """Variant statistics and stock totals from rows that carry ``qty`` and ``on_sale``.
+
+    Both come out of one aggregation, so the variants are shuffled once (A1, A3).
+    """
+    value = F.col("qty") * F.col("cost")
+    has_image = strip(text(F.col("image_src"))) != ""
+    first = F.min_by(F.struct("barcode", "sku"), F.struct("position", "variant_id"))
+    return variants.groupBy("product_id").agg(
+        F.count(F.lit(1)).alias("variant_count"), F.bool_or(has_image).alias("any_image"), F.avg(F.coalesce("price", F.lit(0.0))).alias("price"),
+        F.avg(F.coalesce("cost", F.lit(0.0))).alias("cost"), first.alias("_first"), F.sum("qty").alias("total"), F.sum(value).alias("value"),
+        F.sum(F.when(~F.col("on_sale"), value).otherwise(F.lit(0.0))).alias("full_price_value"),
+    ).select("*", text(F.col("_first.barcode")).alias("barcode"), text(F.col("_first.sku")).alias("sku")).drop("_first")
+
+
+def gap_flags(products: DataFrame, stats: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
     """Products with their five completeness flags, stock values and identifiers."""
     plain = F.length(strip(F.regexp_replace(text(F.col("body_html")), "<[^>]+>", "")))
     count = F.coalesce("variant_count", F.lit(0))
@@ -78,10 +93,11 @@ def gap_flags(products: DataFrame, stats: DataFrame, inventory: DataFrame) -> Da
         (strip(text(F.col("product_type"))) != "").alias("has_product_type"),
         (strip(text(F.col("tags"))) != "").alias("has_tags"),
     )
+    joined = base.join(stats, "product_id", "left")
+    if inventory is not None:
+        joined = joined.join(inventory.select("product_id", "total", "value", "full_price_value"), "product_id", "left")
     return (
-        base.join(stats, "product_id", "left")
-        .join(inventory.select("product_id", "total", "value", "full_price_value"), "product_id", "left")
-        .select(
+        joined.select(
             "product_id", "handle", "title", "vendor", "product_type", "description_length", "has_product_type", "has_tags",
             any_image.alias("has_product_image"),
             (missing == 0).alias("has_all_variant_images"),
@@ -178,8 +194,12 @@ def priority(w: dict[str, Column]) -> Column:
 
 
 def audit(products, variants, levels_rollup, online, listing, vendor: str | None = None, weights: Weights = Weights()) -> DataFrame:
-    """The audit table: one row per active product with gaps and priority (M1)."""
-    scores = gap_flags(active_products(products, vendor), variant_stats(variants), levels_rollup)
+    """The audit table: one row per active product with gaps and priority (M1).
+
+    Without ``levels_rollup`` the stock figures come from the variant rows themselves.
+    """
+    stats = variant_stats(variants) if levels_rollup is not None else variant_rollup(variants)
+    scores = gap_flags(active_products(products, vendor), stats, levels_rollup)
     w = weights.columns()
     return add_signals(scores, online, listing).select(
         "*",

@@ -9,7 +9,7 @@ from merchgrid.functions import urls as U
 from merchgrid.functions.colors import normalize as normalize_color
 from merchgrid.functions.common import add_all, any_of, clamp, contains_any, flag, labels, ratio, strip, text
 from merchgrid.functions.ranking import top_k
-from merchgrid.functions.setsim import prefixes, token_frequency
+from merchgrid.functions.setsim import prefixes, set_id, token_frequency
 from merchgrid.functions.similarity import any_homonym, sequence_ratio
 from merchgrid.rules import matching as rules
 
@@ -449,19 +449,23 @@ def title_join(left: DataFrame, right: DataFrame, threshold: float = 0.3) -> Dat
     pair everything.  Every surviving pair is verified on the whole sets.
     """
     words = lambda c: F.array_sort(F.array_except(tokens(F.col(c)), lits(rules.CATALOG_FILLER)))
-    lset = left.withColumn("words", words("title"))
-    lsets = lset.where(F.size("words") > 0).select("domain", "words").distinct()
-    rsets = right.withColumn("rwords", words("other_title")).where(F.size("rwords") > 0).groupBy("domain", "rwords").agg(F.min("other_id").alias("other_id"))
+    lset = left.withColumn("words", words("title")).where(F.size("words") > 0).withColumn("sid", set_id(F.col("words")))
+    lsets = lset.groupBy("domain", "sid").agg(F.any_value("words").alias("words"))
+    rsets = (
+        right.withColumn("rwords", words("other_title")).where(F.size("rwords") > 0)
+        .groupBy("domain", set_id(F.col("rwords")).alias("rid")).agg(F.any_value("rwords").alias("rwords"), F.min("other_id").alias("other_id"))
+    )
     freq = token_frequency(rsets, ["domain"], "rwords")
-    posting = prefixes(rsets.select("domain", "rwords"), ["domain"], "rwords", threshold, freq)
-    size_ok = (F.size("rwords") * threshold < F.size("words")) & (F.size("words") * threshold < F.size("rwords"))
-    pairs = prefixes(lsets, ["domain"], "words", threshold, freq).join(posting, ["domain", "w"]).where(size_ok).select("domain", "words", "rwords").distinct()
-    pairs = pairs.join(rsets, ["domain", "rwords"])
+    mine = prefixes(lsets, ["domain"], "sid", "words", threshold, freq)
+    theirs = prefixes(rsets, ["domain"], "rid", "rwords", threshold, freq).withColumnRenamed("size", "rsize")
+    size_ok = (F.col("rsize") * threshold < F.col("size")) & (F.col("size") * threshold < F.col("rsize"))
+    met = mine.join(theirs, ["domain", "w"]).where(size_ok).select("domain", "sid", "rid").distinct()
+    pairs = met.join(lsets, ["domain", "sid"]).join(rsets, ["domain", "rid"])
     t, c = F.col("words"), F.col("rwords")
     jac = F.size(F.array_intersect(t, c)) / F.size(F.array_union(t, c)).cast("double")
     alien = has(F.array_except(F.array_except(c, t), lits(rules.CATALOG_GENERIC))) & has(F.array_except(F.array_except(t, c), lits(rules.CATALOG_GENERIC)))
     score = jac * F.when(alien, 0.5).otherwise(1.0)
-    best = pairs.withColumn("score", score).where(F.col("score") > threshold).groupBy("domain", "words").agg(
+    best = pairs.withColumn("score", score).where(F.col("score") > threshold).groupBy("domain", "sid").agg(
         F.min(F.struct((-F.col("score")).alias("neg"), "other_id")).alias("b")
     )
-    return lset.join(best, ["domain", "words"]).select("domain", "product_id", F.col("b.other_id").alias("other_id"), (-F.col("b.neg")).alias("score"))
+    return lset.join(best, ["domain", "sid"]).select("domain", "product_id", F.col("b.other_id").alias("other_id"), (-F.col("b.neg")).alias("score"))

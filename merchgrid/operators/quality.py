@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from merchgrid.functions.common import any_of, clamp, contains_any, flag, ratio, strip, text
 from merchgrid.functions.ranking import top_k
-from merchgrid.functions.setsim import prefixes, token_frequency
+from merchgrid.functions.setsim import prefixes, set_id, token_frequency
 from merchgrid.functions.urls import image_reject_reason
 from merchgrid.rules import quality as rules
 
@@ -121,21 +121,19 @@ def near_duplicate_counts(lines: DataFrame, key: str, threshold: float = 0.7) ->
     """
     sets = (
         lines.select(key, F.array_sort(F.array_distinct(words(F.lower("line")))).alias("s")).where(F.size("s") > 0)
-        .groupBy(key, "s").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(key, set_id(F.col("s")).alias("sid")).agg(F.count(F.lit(1)).alias("n"), F.any_value("s").alias("s"))
     )
     inside = sets.where("n > 1").select(key, (F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("pairs"))
-    distinct = sets.select(key, "s")
-    blocks = prefixes(distinct, [key], "s", threshold, token_frequency(distinct, [key], "s"))
-    a, b = blocks.withColumnRenamed("s", "sa"), blocks.withColumnRenamed("s", "sb")
-    sa, sb = F.col("sa"), F.col("sb")
-    close = F.size(F.array_intersect(sa, sb)) / F.size(F.array_union(sa, sb)).cast("double") > threshold
-    size_ok = (F.size(sa) * threshold < F.size(sb)) & (F.size(sb) * threshold < F.size(sa))
-    met = a.join(b, [key, "w"]).where((sa < sb) & size_ok).select(key, "sa", "sb").distinct().where(close)
-    across = (
-        met.join(sets.select(key, F.col("s").alias("sa"), F.col("n").alias("na")), [key, "sa"])
-        .join(sets.select(key, F.col("s").alias("sb"), F.col("n").alias("nb")), [key, "sb"])
-        .select(key, (F.col("na") * F.col("nb")).alias("pairs"))
-    )
+    blocks = prefixes(sets, [key], "sid", "s", threshold, token_frequency(sets, [key], "s"))
+    a, b = (blocks.select(key, "w", F.col("sid").alias(f"sid{x}"), F.col("size").alias(f"size{x}")) for x in "ab")
+    na, nb = F.col("sizea"), F.col("sizeb")
+    size_ok = (na * threshold < nb) & (nb * threshold < na)
+    met = a.join(b, [key, "w"]).where((F.col("sida") < F.col("sidb")) & size_ok).select(key, "sida", "sidb").distinct()
+    side = lambda x: sets.select(key, F.col("sid").alias(f"sid{x}"), F.col("s").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    across = met.join(side("a"), [key, "sida"]).join(side("b"), [key, "sidb"]).where(
+        shared / (F.size("sa") + F.size("sb") - shared).cast("double") > threshold
+    ).select(key, (F.col("na") * F.col("nb")).alias("pairs"))
     return inside.unionByName(across).groupBy(key).agg(F.sum("pairs").alias("pairs"))
 
 

@@ -20,9 +20,9 @@ GRID = W.weight_grid(seed=7, per_transform=8)
 
 
 def scores(t: Tables) -> DataFrame:
-    online = G.merge_online_signals(t.sessions_by_path(), t.online_sales(), t.products())
+    online = G.merge_online_signals(t.sessions_by_path(), t.online_sales(), t.handles())
     listing = G.listing_by_product(G.merge_listing(G.listing_performance(t.listing_perf()), G.listing_status(t.listing_status())), t.variants())
-    return A.audit(t.products(), t.variants(), I.inventory_totals(t.inventory_levels()), online, listing)
+    return A.audit(t.products(), t.variants(), None, online, listing)
 
 
 def audit_priority(spark: SparkSession, sf: str) -> DataFrame:

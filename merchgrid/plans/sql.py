@@ -38,12 +38,11 @@ CTES: dict[str, str] = {
         'Size' AS option2_name, {_SIZES}[(s % 8)::INT + 1] AS option2_value,
         CASE WHEN p % 6 = 0 OR s % 5 = 0 THEN '' ELSE 'https://img.example.com/' || p || '/' || ((p + s) % 6) || '.jpg?v=' || s END AS image_src,
         CASE WHEN (p * 3 + s) % 31 = 0 THEN 0.0::DOUBLE ELSE ((p * 37 + s * 11) % 2500 + 40)::DOUBLE END AS grams,
-        s % 13 <> 0 AS requires_shipping
+        s % 13 <> 0 AS requires_shipping, (p * 7 + s * 13) % 40 AS qty, disc_pts > 5 * n AS on_sale
       FROM (SELECT *, floor(cents / units / 100 * 4 + 0.5::DOUBLE) / 4 AS price
         FROM (SELECT l_partkey AS p, l_suppkey AS s, sum(floor(l_extendedprice * 100 + 0.5::DOUBLE)::BIGINT)::DOUBLE AS cents,
               sum(l_quantity::BIGINT)::DOUBLE AS units, sum(floor(l_discount * 100 + 0.5::DOUBLE)::BIGINT)::BIGINT AS disc_pts, count(*) AS n FROM lineitem GROUP BY 1, 2))""",
-    "levels": """SELECT variant_id, product_id, cost, compare_at_price IS NOT NULL AS on_sale, 'loc' || (position % 3) AS location,
-        (product_id * 7 + position * 13) % 40 AS qty FROM variants""",
+    "levels": """SELECT variant_id, product_id, cost, on_sale, 'loc' || (position % 3) AS location, qty FROM variants""",
     "inventory": """SELECT product_id, sum(qty)::BIGINT AS total, sum(qty * cost) AS value,
         sum(CASE WHEN on_sale THEN 0.0::DOUBLE ELSE qty * cost END) AS full_price_value FROM levels GROUP BY 1""",
     "order_lines": "SELECT l_partkey AS product_id, l_quantity AS units, o_orderdate AS sold_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
