@@ -102,7 +102,8 @@ def assign_slots(scored: DataFrame, group: str, bounded: bool, tie: str = "produ
     unpinned product takes the k-th free slot.  With the pins sorted, the j-th pin p
     precedes the k-th unpinned product exactly when p - (j - 1) <= k, so merging pins
     keyed by p - (j - 1) with unpinned rows keyed by k yields the slot as the position
-    in the merged order.  Pins outside 1..n and overridden duplicates keep rank 0, or
+    in the merged order (a pin keeps its own slot, earlier free slots may stay empty).
+    Pins outside 1..n and overridden duplicates keep rank 0, or
     are ranked by score with ``strict_pins``.
 
     ``bounded=True`` asserts groups of a known small size (a pre-limited collection);
@@ -130,7 +131,7 @@ def assign_slots(scored: DataFrame, group: str, bounded: bool, tie: str = "produ
         ranked.select(group, tie, F.col("_key").cast("bigint").alias("_key"), F.lit(1).alias("_kind"), F.lit(0).cast("bigint").alias("_slot"))
         .unionByName(pinned.select(group, tie, "_key", F.lit(0).alias("_kind"), "_slot")),
         [F.col("_key"), F.col("_kind"), F.col("_slot"), F.col(tie)], "_rank",
-    ).select(group, tie, F.col("_rank").cast("bigint").alias("rank"))
+    ).select(group, tie, F.when(F.col("_kind") == 0, F.col("_slot")).otherwise(F.col("_rank")).cast("bigint").alias("rank"))
     return scored.join(merged, [group, tie], "left").fillna({"rank": 0})
 
 

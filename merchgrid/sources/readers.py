@@ -167,19 +167,25 @@ STORE_SCHEMA = (
 
 def store_facts(products: DataFrame) -> DataFrame:
     """Facts of a vendor store's product JSON."""
-    default = lambda c: text(c) == "" if c is None else (text(c) == "") | F.lower(text(c)).isin("default title", "default")
+    default = lambda c: (text(c) == "") | F.lower(text(c)).isin("default title", "default")
     plain = strip(F.regexp_replace(F.regexp_replace(text(F.col("body_html")), r"(?i)</p>|<br\s*/?>", "\n\n"), "<[^>]+>", ""))
     blocks = F.slice(F.filter(F.transform(F.split(plain, r"\n\s*\n"), strip), lambda b: b != ""), 1, 5)
     option = F.map_from_entries(F.transform("variants", lambda v: F.struct(v["id"], v["option1"])))
     named = F.flatten(F.transform("images", lambda i: F.transform(F.coalesce(i["variant_ids"], F.array().cast("array<long>")), lambda v: F.struct(F.element_at(option, v).alias("color"), i["src"].alias("url")))))
-    pairs = F.array_distinct(F.filter(named, lambda p: ~default(p["color"])))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["color"]))
-    return products.select(
-        "id", "handle", F.col("title").alias("product_name"), F.col("vendor").alias("brand"), blocks.alias("description_blocks"),
-        F.when(text(F.col("product_type")) != "", F.create_map(F.lit("Product Type"), F.col("product_type"))).otherwise(F.create_map().cast("map<string,string>")).alias("specs"),
-        F.transform(F.filter("images", lambda i: text(i["src"]) != ""), lambda i: F.struct(i["src"].alias("url"), text(i["alt"]).alias("alt"), F.lit("store_json").alias("source_hint"))).alias("images"),
-        F.array_distinct(F.filter(F.transform("variants", lambda v: v["option1"]), lambda c: ~default(c))).alias("colors"),
-        F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.transform(F.filter(pairs, lambda p: p["color"] == k), lambda p: p["url"])))).alias("variant_image_candidates"))
+    staged = products.withColumn("_pairs", F.array_distinct(F.filter(named, lambda p: ~default(p["color"]))))
+    pairs, keys = F.col("_pairs"), F.array_distinct(F.transform("_pairs", lambda p: p["color"]))
+    pictures = F.transform(
+        F.filter("images", lambda i: text(i["src"]) != ""),
+        lambda i: F.struct(i["src"].alias("url"), text(i["alt"]).alias("alt"), F.lit("store_json").alias("source_hint")))
+    shaped = staged.withColumns({
+        "description_blocks": blocks, "_pictures": pictures,
+        "specs": F.when(text(F.col("product_type")) != "", F.create_map(F.lit("Product Type"), F.col("product_type"))).otherwise(F.create_map().cast("map<string,string>")),
+        "colors": F.array_distinct(F.filter(F.transform("variants", lambda v: v["option1"]), lambda c: ~default(c))),
+        "variant_image_candidates": F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.transform(F.filter(pairs, lambda p: p["color"] == k), lambda p: p["url"])))),
+    })
+    return shaped.select(
+        "id", "handle", F.col("title").alias("product_name"), F.col("vendor").alias("brand"), "description_blocks", "specs", F.col("_pictures").alias("images"),
+        "colors", "variant_image_candidates")
 
 
 def search_images(responses: DataFrame, min_dim: int = 500, one_per_domain: bool = True) -> DataFrame:
