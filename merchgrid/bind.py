@@ -32,10 +32,15 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
         self.sf_dir = sf_dir
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        return spread(df, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
+        """A driver table; the footer is read once per instance."""
+        if name not in self._raw:
+            path = f"{self.sf_dir}/{name}.parquet"
+            df = self.spark.read.parquet(path)
+            self._raw[name] = spread(df, SPREAD_KEYS[name], path) if name in SPREAD_KEYS else df
+        return self._raw[name]
 
     # -- scalars -----------------------------------------------------------
     def reference_date(self):

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+_splits: dict[tuple[str, str], int] = {}
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+
+def spread(df: DataFrame, key: str, source: str) -> DataFrame:
     """Hash-spread a scan that has fewer splits than the cluster has cores.
 
     A table of a few row groups would leave expensive per-row work to a few tasks.  A
     scan with enough splits - every large table - is returned as it is, so the shuffle
-    added here never moves more than a core count of splits.
+    added here never moves more than a core count of splits.  The split count of a
+    source is planned once per application.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    sc = df.sparkSession.sparkContext
+    at = (sc.applicationId, source)
+    if at not in _splits:
+        _splits[at] = df.rdd.getNumPartitions()
+    return df.repartition(sc.defaultParallelism, key) if _splits[at] < sc.defaultParallelism else df

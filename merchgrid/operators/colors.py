@@ -29,8 +29,8 @@ def match_colors(targets: DataFrame, candidates: DataFrame) -> DataFrame:
     t = targets.select("product_id", "color").distinct().withColumn("norm", normalize(F.col("color")))
     c = candidates.groupBy("product_id", "candidate").agg(F.min("ord").alias("ord")).withColumn("cnorm", normalize(F.col("candidate")))
     hit = lambda df, tier: df.select("product_id", "color", F.struct(F.lit(tier).alias("tier"), "ord", "candidate").alias("m"))
-    exact = hit(t.join(c, (t.product_id == c.product_id) & (t.color == c.candidate)).drop(c.product_id), 1)
-    normal = hit(t.join(c, (t.product_id == c.product_id) & (t.norm == c.cnorm)).drop(c.product_id), 2)
+    exact = hit(t.join(c.withColumn("color", F.col("candidate")), ["product_id", "color"]), 1)
+    normal = hit(t.join(c.withColumn("norm", F.col("cnorm")), ["product_id", "norm"]), 2)
     done = exact.unionByName(normal).groupBy("product_id", "color").agg(F.min("m").alias("m"))
     rest = t.join(done.select("product_id", "color"), ["product_id", "color"], "left_anti")
     head = lambda n: F.left(F.col(n), F.lit(3))
