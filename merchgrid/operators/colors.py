@@ -49,6 +49,14 @@ def color_groups(variants: DataFrame) -> DataFrame:
     return named.select("product_id", F.col("option1_value").alias("color"), url.alias("image_url")).distinct()
 
 
+def image_pairs(variants: DataFrame) -> DataFrame:
+    """One row per (product, colour, image without query) with its first variant as representative."""
+    named = variants.where("option1_value <> '' and image_src <> ''").withColumn("image_url", F.substring_index("image_src", "?", 1))
+    return named.groupBy("product_id", F.col("option1_value").alias("color"), "image_url").agg(
+        F.min_by(F.struct("variant_id", "image_src"), F.struct("position", "variant_id")).alias("r")
+    ).select("product_id", "color", "image_url", "r.variant_id", "r.image_src")
+
+
 def family_votes(groups: DataFrame, labels: DataFrame) -> DataFrame:
     """Colour family per (product, colour): most voted image label, else the name.
 
@@ -105,3 +113,16 @@ def assign_images(images: DataFrame, options: DataFrame) -> DataFrame:
             .select("product_id", F.filter("pool", lambda o: o["option"] != F.col("s.option")).alias("pool"), F.col("s.ord").cast("bigint").alias("last"))
             .where(F.size("pool") > 0)
         )
+
+
+def selected_images(variants: DataFrame, mapped: DataFrame, images: DataFrame) -> DataFrame:
+    """Position of the proposed image of every variant colour.
+
+    ``mapped(product_id, color, ord, url)`` is the colour map, ``images(product_id, position,
+    url)`` the proposed list; colours meet through the tiers of ``match_colors``.
+    """
+    first = mapped.groupBy("product_id", "color").agg(F.min("ord").alias("ord"), F.min_by("url", "ord").alias("url"))
+    found = match_colors(variants.where("color <> ''").select("product_id", "color"), first.select("product_id", F.col("color").alias("candidate"), "ord"))
+    place = images.groupBy("product_id", "url").agg(F.min("position").alias("position"))
+    return found.join(first.select("product_id", F.col("color").alias("matched"), "url"), ["product_id", "matched"]).join(place, ["product_id", "url"], "left").select(
+        "product_id", "color", "url", F.coalesce("position", F.lit(0)).alias("position"))

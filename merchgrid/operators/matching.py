@@ -469,3 +469,9 @@ def title_join(left: DataFrame, right: DataFrame, threshold: float = 0.3) -> Dat
         F.min(F.struct((-F.col("score")).alias("neg"), "other_id")).alias("b")
     )
     return lset.join(best, ["domain", "sid"]).select("domain", "product_id", F.col("b.other_id").alias("other_id"), (-F.col("b.neg")).alias("score"))
+
+
+def with_context(candidates: DataFrame, products: DataFrame, vendors: DataFrame) -> DataFrame:
+    """Candidates with product title and price and the vendor's domain; off-domain rows are marked."""
+    c = candidates.join(products.select("product_id", F.col("title").alias("product_title"), "vendor", "price"), "product_id")
+    return c.join(vendors.select("vendor", "domain"), "vendor", "left").withColumn("on_domain", F.coalesce(U.same_domain(F.col("url"), F.col("domain")), F.lit(False)))

@@ -80,3 +80,11 @@ def gtin_quality(variants: DataFrame, products: DataFrame) -> DataFrame:
     return per_product.join(products.select("product_id", "vendor"), "product_id").groupBy("vendor").agg(
         F.sum("coded").alias("coded"), F.sum("invalid").alias("invalid")
     )
+
+
+def output_flags(outputs: DataFrame) -> DataFrame:
+    """Policy flags of a generated output: prohibited terms of the body, then title problems."""
+    none = F.array().cast("array<string>")
+    body = F.when(text(F.col("body_html")) != "", prohibited_terms(F.col("body_html"))).otherwise(none)
+    title = F.when(text(F.col("title")) != "", title_violations(F.col("title"))).otherwise(none)
+    return outputs.withColumn("policy_flags", F.concat(body, title))

@@ -329,6 +329,10 @@ ORACLES = {
     "variant_order_check": with_tables("SELECT * FROM verdicts", _ORDER),
     "variant_order_rows": with_tables("SELECT product_id, variant_id, label, actual_place, expected_place FROM placed_ JOIN verdicts USING (product_id) WHERE verdict = 'violation'", _ORDER),
     "color_family": with_tables("SELECT product_id, n.color, family FROM names_ n JOIN families_ f ON f.color = n.color", _FAM),
+    "color_terms": with_tables(f"""SELECT color, {_NORM.format(c='color')} AS normalized, coalesce(CASE WHEN nw = 1 THEN plain END, array_to_string(ws, ' ')) AS term, variants
+        FROM (SELECT *, len(ws) AS nw FROM (SELECT option1_value AS color, count(*) AS variants, list_filter(regexp_split_to_array(lower(replace(option1_value, '/', ' ')), '\\s+'),
+          lambda w: w <> '' AND w NOT IN ({", ".join(f"'{m}'" for m in crules.MODIFIERS)})) AS ws FROM variants GROUP BY 1))
+        LEFT JOIN ({values(crules.by_name(crules.PLAIN_NAMES), "k", "plain")}) ON k = ws[1]"""),
     "color_match": with_tables("""SELECT product_id, color, candidate AS matched, tier FROM (SELECT *, row_number() OVER (PARTITION BY product_id, color ORDER BY tier, ord) AS rn
         FROM pairs WHERE tier IS NOT NULL) WHERE rn = 1""", _MATCH),
     "color_family_vote": with_tables("""SELECT product_id, color, images, coalesce(label, family) AS family,

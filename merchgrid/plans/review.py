@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 from merchgrid.bind import Tables
 from merchgrid.functions.common import half_up
 from merchgrid.functions.similarity import edit_ratio
+from merchgrid.operators import colors as C
 from merchgrid.operators import feedback as B
 from merchgrid.operators import intake as N
 from merchgrid.operators import matching as M
 from merchgrid.operators import pages as P
+from merchgrid.operators import policy as Y
 from merchgrid.operators import review as R
 from merchgrid.plans import core
-from merchgrid.plans.catalog import _IMG, _MATCH, _NORM
+from merchgrid.plans.catalog import _IMG, _MATCH, _NORM, _unicode_words
 from merchgrid.plans.matching import _HITS, _LEV, _MEAN
 from merchgrid.plans.sql import r, with_tables
+from merchgrid.sources import readers as S
 from merchgrid.streaming import jobs as J
 
 PROPOSALS = [
@@ -71,6 +74,34 @@ def color_variants(spark, sf):
     return N.color_variants(t.variants(), wanted)
 
 
+def image_pairs(spark, sf):
+    return C.image_pairs(Tables(spark, sf).variants())
+
+
+def selected_images(spark, sf):
+    t = Tables(spark, sf)
+    m = t.color_map().where("color <> '__all__'")
+    proposed = m.where("ord % 2 = 0").select("product_id", (F.col("ord") + 1).alias("position"), "url")
+    return C.selected_images(t.variants_with_options(), m, proposed)
+
+
+def output_policy(spark, sf):
+    o = Tables(spark, sf).outputs().withColumn("title", F.element_at(F.split("text", "\n"), 1))
+    return Y.output_flags(o).select("handle", F.array_join("policy_flags", "; ").alias("flags")).where("flags <> ''")
+
+
+def mismatch_vendors(spark, sf):
+    t = Tables(spark, sf)
+    v = t.raw("part").select(F.col("p_brand").alias("vendor"), F.when(F.col("p_partkey") % 7 < 2, "mismatch").otherwise("match").alias("verdict"))
+    return R.mismatch_vendors(v)
+
+
+def collection_lookup(spark, sf):
+    t = Tables(spark, sf)
+    p = S.collection_products(S.list_products(t.products(), vendor="Brand#2"), t.collection_members(), "promo")
+    return S.variants_by(t.variants(), p, "product_id").select("variant_id", "product_id", "sku")
+
+
 # -- pages ------------------------------------------------------------------------
 def page_extract(spark, sf):
     e = P.extract(Tables(spark, sf).raw("pages"))
@@ -229,7 +260,7 @@ def daily_outcomes(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    known_colors, route_status, catalog_direct, color_image_merge, store_colors, variant_image_rows, color_variants, page_extract, page_titles, apply_summary,
+    known_colors, route_status, catalog_direct, color_image_merge, store_colors, variant_image_rows, color_variants, image_pairs, selected_images, output_policy, mismatch_vendors, collection_lookup, page_extract, page_titles, apply_summary,
     disposition_join, feedback_rows, feedback_summary, rejection_reasons, change_plan, review_rows, undo_plan, undo_totals, vendor_capped_batch, resume_antijoin,
     run_status, regression_check, failure_clusters, cluster_handles, replay_diff, replay_diff_edit, replay_summary, outcome_histogram, iteration_results,
     iteration_compare, campaign_metrics, rolling_signals, daily_outcomes,
@@ -282,6 +313,7 @@ _STORE = _OPT | {
     "kept_": f"""SELECT m.product_id, m.color, m.ord FROM cmap m WHERE m.color = '__all__' OR NOT EXISTS (SELECT 1 FROM ss WHERE ss.product_id = m.product_id)
         OR EXISTS (SELECT 1 FROM ss WHERE ss.product_id = m.product_id AND (starts_with({_SF('m.color')}, s) OR starts_with(s, {_SF('m.color')}) OR split_part({_SF('m.color')}, ' / ', 1) = split_part(s, ' / ', 1)))""",
 }
+_FLAGS = ", ".join(f"CASE WHEN regexp_matches(body_html, '(?i){_unicode_words(p)}') THEN '{m.replace(chr(39), chr(39) * 2)}' END" for p, m in Y.PROHIBITED)
 _UNESC = lambda c: f"trim(replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'))"
 
 _CHANGES = {
@@ -354,6 +386,15 @@ ORACLES = {
         UNION ALL SELECT product_id, 0, '', 'Color', '', '', 0, 'VARIANT_IMAGE_NOT_ASSIGNED' FROM handles WHERE product_id NOT IN (SELECT product_id FROM cmap)""", _EXPAND),
     "color_variants": with_tables("""SELECT DISTINCT v.product_id, variant_id, w.color FROM variants v JOIN (SELECT product_id, candidate AS color FROM page_colors UNION ALL SELECT product_id, 'XL' FROM handles) w
         ON w.product_id = v.product_id AND (w.color = option1_value OR w.color = option2_value)""", _MATCH),
+    "image_pairs": with_tables("""SELECT product_id, option1_value AS color, split_part(image_src, '?', 1) AS image_url, arg_min(variant_id, position) AS variant_id, arg_min(image_src, position) AS image_src
+        FROM variants WHERE option1_value <> '' AND image_src <> '' GROUP BY 1, 2, 3"""),
+    "selected_images": with_tables("""SELECT product_id, color, url, CASE WHEN o % 2 = 0 THEN o + 1 ELSE 0 END AS position FROM mm JOIN (SELECT product_id, url, min(ord) AS o FROM cmap GROUP BY 1, 2) USING (product_id, url)""", _EXPAND),
+    "output_policy": with_tables(f"""SELECT handle, concat_ws('; ', CASE WHEN body_html <> '' THEN nullif(concat_ws('; ', {_FLAGS}), '') END, CASE WHEN t <> '' THEN
+          CASE WHEN trim(t) = '' THEN 'Title is empty' ELSE nullif(concat_ws('; ', CASE WHEN length(t) > 150 THEN 'Title exceeds 150 characters (' || length(t) || ')' END,
+          CASE WHEN t = upper(t) AND length(t) > 10 THEN 'Title is all caps (GMC may flag as spammy)' END, CASE WHEN regexp_matches(t, '[!]{{2,}}|[?]{{2,}}') THEN 'Title contains excessive punctuation' END), '') END END) AS flags
+        FROM (SELECT *, string_split(text, chr(10))[1] AS t FROM outputs) WHERE flags <> ''"""),
+    "mismatch_vendors": "SELECT p_brand AS vendor, count(*) AS mismatches FROM part WHERE p_partkey % 7 < 2 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "collection_lookup": with_tables("SELECT variant_id, product_id, sku FROM variants WHERE product_id IN (SELECT product_id FROM products JOIN part ON p_partkey = product_id WHERE vendor = 'Brand#2' AND status = 'active' AND p_type = 'PROMO')"),
     "page_titles": f"""SELECT page_id, {_UNESC("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS page_title, {_UNESC("regexp_extract(html, '<h1[^>]*>([^<]*)', 1)")} AS h1,
         len(regexp_extract_all(html, '<li[ >]')) AS items, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs FROM pages""",
     "apply_summary": with_tables(f"""SELECT run_id, count(*) AS total, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status IN ('approved', 'edited')) AS approved,

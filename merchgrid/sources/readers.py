@@ -257,3 +257,18 @@ def shape_variants(variants: DataFrame) -> DataFrame:
     if "weight_unit" in variants.columns:
         cols["weight_unit"] = F.coalesce(F.nullif("weight_unit", F.lit("")), F.lit("lb"))
     return variants.withColumns(cols | {"requires_shipping": F.coalesce("requires_shipping", F.lit(True))})
+
+
+def get_product(products: DataFrame, handle: str) -> DataFrame:
+    """Point lookup by handle."""
+    return products.where(F.col("handle") == handle)
+
+
+def variants_by(variants: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Variants for a table of product ids, barcodes or variant ids (S3): an equi-join, never a loop."""
+    return variants.join(keys.select(column).where(F.col(column).isNotNull()).distinct(), column, "left_semi")
+
+
+def collection_products(products: DataFrame, members: DataFrame, collection: str) -> DataFrame:
+    """Products of a collection."""
+    return products.join(members.where(F.col("collection") == collection).select("product_id").distinct(), "product_id", "left_semi")
