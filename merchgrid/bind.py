@@ -47,6 +47,10 @@ class Tables:
         """Latest order date as a scalar subquery column."""
         return self.raw("orders").agg(F.max("o_orderdate").cast("timestamp")).scalar()
 
+    def last_sale(self):
+        """The same as stored, without a time zone."""
+        return self.raw("orders").agg(F.max("o_orderdate")).scalar()
+
     def part_count(self):
         return self.raw("part").agg(F.count(F.lit(1))).scalar()
 
@@ -130,7 +134,7 @@ class Tables:
         """Sold units with their order date."""
         return self.raw("lineitem").select("l_orderkey", "l_partkey", "l_quantity").join(
             self.raw("orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")
-        ).select(F.col("l_partkey").alias("product_id"), F.col("l_quantity").alias("units"), F.col("o_orderdate").cast("timestamp").alias("sold_at"))
+        ).select(F.col("l_partkey").alias("product_id"), F.col("l_quantity").alias("units"), F.col("o_orderdate").alias("sold_at"))
 
     # -- traffic -----------------------------------------------------------
     def _events(self) -> DataFrame:

@@ -34,7 +34,6 @@ def inventory_totals(levels: DataFrame) -> DataFrame:
 
 def sales_velocity(lines: DataFrame, reference, days: int = 28) -> DataFrame:
     """Units and weekly average over the trailing window (A2)."""
-    recent = F.unix_seconds("sold_at") > F.unix_seconds(reference) - days * 86400
-    return lines.where(recent).groupBy("product_id").agg(F.sum("units").alias("units")).withColumn(
+    return lines.where(F.col("sold_at") > reference - F.make_dt_interval(F.lit(days))).groupBy("product_id").agg(F.sum("units").alias("units")).withColumn(
         "weekly_avg", F.col("units") / F.lit(days / 7.0)
     )

@@ -90,7 +90,7 @@ def inventory_rollup(spark, sf):
 
 def sales_velocity(spark, sf):
     t = Tables(spark, sf)
-    return I.sales_velocity(t.order_lines(), t.reference_date())
+    return I.sales_velocity(t.order_lines(), t.last_sale())
 
 
 def _members(t: Tables) -> DataFrame:
@@ -100,7 +100,7 @@ def _members(t: Tables) -> DataFrame:
 
 def _ranked(t: Tables, limit) -> DataFrame:
     inv = I.inventory_totals(t.inventory_levels())
-    vel = I.sales_velocity(t.order_lines(), t.reference_date())
+    vel = I.sales_velocity(t.order_lines(), t.last_sale())
     return R.rank_collections(_members(t), t.variants(), vel, inv, t.rank_overrides(), t.reference_date(), limit=limit)
 
 

@@ -247,9 +247,9 @@ def campaign_metrics(spark, sf):
 # -- traffic windows (the batch form of the streaming jobs) ------------------------------
 def rolling_signals(spark, sf):
     t = Tables(spark, sf)
-    ev = t.raw("events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("product_id", F.col("event_id") % t.part_count())
+    ev = t.raw("events").withColumn("product_id", F.col("event_id") % t.part_count())
     s = J.rolling_signals(ev)
-    return s.select((F.unix_seconds("window_start") / 86400).cast("bigint").alias("start_day"), "product_id", "sessions", "orders", half_up(F.col("revenue"), 2).alias("revenue"),
+    return s.select(F.datediff(F.to_date("window_start"), F.lit("1970-01-01").cast("date")).cast("bigint").alias("start_day"), "product_id", "sessions", "orders", half_up(F.col("revenue"), 2).alias("revenue"),
                     half_up(F.col("opportunity_gap"), 6).alias("opportunity_gap"))
 
 
