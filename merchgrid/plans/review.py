@@ -314,7 +314,8 @@ _STORE = _OPT | {
         OR EXISTS (SELECT 1 FROM ss WHERE ss.product_id = m.product_id AND (starts_with({_SF('m.color')}, s) OR starts_with(s, {_SF('m.color')}) OR split_part({_SF('m.color')}, ' / ', 1) = split_part(s, ' / ', 1)))""",
 }
 _FLAGS = ", ".join(f"CASE WHEN regexp_matches(body_html, '(?i){_unicode_words(p)}') THEN '{m.replace(chr(39), chr(39) * 2)}' END" for p, m in Y.PROHIBITED)
-_UNESC = lambda c: f"trim(replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'))"
+# An HTML parser also decodes an entity that lost its semicolon.
+_UNESC = lambda c: f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '\"', 'g'), '&amp;?', '&', 'g'))"
 
 _CHANGES = {
     "changes_": """SELECT *, doc_id % 101 AS confidence, 'run_' || (doc_id % 3) AS run_id,
