@@ -88,11 +88,11 @@ def merge_color_images(scraped: DataFrame, catalog: DataFrame) -> DataFrame:
     """
     names = scraped.groupBy("product_id", "color").agg(F.min("ord").alias("ord")).withColumnRenamed("color", "candidate")
     found = match_colors(catalog.select("product_id", "color"), names).select("product_id", "color", "matched")
-    moved = catalog.join(found, ["product_id", "color"], "left").select(
-        "product_id", F.coalesce("matched", "color").alias("color"), (F.col("ord") + 1_000_000).alias("ord"), "url")
-    rows = scraped.select("product_id", "color", "ord", "url").unionByName(moved).withColumn("norm", normalize(F.col("color")))
-    lead = rows.groupBy("product_id", "norm").agg(F.min_by("color", F.struct("ord", "color")).alias("color"))
-    return rows.groupBy("product_id", "norm", "url").agg(F.min("ord").alias("ord")).join(lead, ["product_id", "norm"]).select("product_id", "color", "ord", "url")
+    at = lambda source: F.struct(F.lit(source).alias("source"), "ord").alias("place")  # scraped names and images come first
+    moved = catalog.join(found, ["product_id", "color"], "left").select("product_id", F.coalesce("matched", "color").alias("color"), at(1), "url")
+    rows = scraped.select("product_id", "color", at(0), "url").unionByName(moved).withColumn("norm", normalize(F.col("color")))
+    lead = rows.groupBy("product_id", "norm").agg(F.min_by("color", F.struct("place", "color")).alias("color"))
+    return rows.groupBy("product_id", "norm", "url").agg(F.min("place").alias("place")).join(lead, ["product_id", "norm"]).select("product_id", "color", "place", "url")
 
 
 def store_form(c: Column) -> Column:
