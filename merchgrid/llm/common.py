@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 #: White space of every word rule here, as a regular expression class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -58,13 +58,14 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, salt
     ``groups`` has ``keys``, ``n`` (rows that hold the key) and the values to attach.  Keys
     with ``n >= total / HEAVY`` come by broadcast: the counts add up to ``total``, so there are
     at most ``HEAVY``.  Their rows then pass the shuffle join under a key that meets nothing
-    and is dealt out by ``salt``; every other key is too small to weigh on a task.
+    and is dealt out by ``salt``; every other key is too small to weigh on a task.  (The zero of
+    the other side is computed, or the optimizer would take the salt out of the join's keys.)
     """
     values = [c for c in groups.columns if c not in keys]
     big = groups.where(F.col("n") * HEAVY >= F.lit(total))
     small = groups.where(F.col("n") * HEAVY < F.lit(total))
     big = big.select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.lit(True).alias("_big"), *[F.col(v).alias(f"_b_{v}") for v in values])
-    small = small.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.lit(0).alias("_s_salt"), *[F.col(v).alias(f"_s_{v}") for v in values])
+    small = small.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int").alias("_s_salt"), *[F.col(v).alias(f"_s_{v}") for v in values])
     out = rows.join(F.broadcast(big), [F.col(k) == F.col(f"_b_{k}") for k in keys], "left")
     out = out.withColumn("_salt", F.when(F.col("_big"), F.lit(1) + F.pmod(F.xxhash64(salt), F.lit(1 << 20)).cast("int")).otherwise(F.lit(0)))
     out = out.join(small, [F.col(k) == F.col(f"_s_{k}") for k in keys] + [F.col("_salt") == F.col("_s_salt")], "left")
@@ -85,7 +86,7 @@ def widened(schema: StructType, **added: str) -> StructType:
     """``schema`` with columns added at its end; columns of the same names are replaced."""
     out = StructType([f for f in schema.fields if f.name not in added])
     for name, kind in added.items():
-        out.add(name, kind)
+        out.add(name, DataType.fromDDL(kind))
     return out
 
 

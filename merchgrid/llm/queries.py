@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchgrid.llm import bpe, exact_dedup, language_id
+from merchgrid.llm import bpe, exact_dedup, html_text, language_id, pii, quality, warc
 from merchgrid.llm.common import bare, remainder
 
 
@@ -19,14 +19,44 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = bare(_read(spark, sf, "documents"), "doc_id", "text")
+    labels = bare(_read(spark, sf, "labels"), "doc_id", "quality").where(remainder("doc_id", 5) != 0)
+    # the sample is taken among the labels first, so only its texts are joined
+    chosen = labels.where("quality is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(quality.MAX_ROWS)
+    model = quality.fit(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("label")))
+    out = quality.score(docs.withColumn("held_out", remainder("doc_id", 5) == 0), model)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf, "documents"), _vocabulary())
 
 
+def op3_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.archived(_read(spark, sf, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    out = html_text.with_text(bare(_read(spark, sf, "pages"), "page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf, "documents"))
 
 
+def _equals(value: str):
+    return lambda x: x == value
+
+
+def op9_pii(spark: SparkSession, sf: str) -> DataFrame:
+    out = pii.with_spans(bare(_read(spark, sf, "documents"), "doc_id", "text")).drop("text")
+    base = F.filter("pii", lambda s: s["kind"].isin(pii.BASE))
+    counts = {k: F.size(F.filter(F.transform("pii", lambda s: s["kind"]), _equals(k))).cast("long") for k in pii.BASE}
+    return out.select("doc_id", *[n.alias(f"n_{k}") for k, n in counts.items()], F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
+
+
 def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = _read(spark, sf, "documents")
     held = remainder("doc_id", 4) == 2
@@ -36,8 +66,12 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
+    "op3_warc": op3_warc,
+    "op4_html_text": op4_html_text,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_pii": op9_pii,
     "op10_language_id": op10_language_id,
 }
-ORACLES = {"op6_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op3_warc": warc.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
