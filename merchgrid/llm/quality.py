@@ -29,6 +29,8 @@ from merchgrid.llm.vec import codes, grams, mix, span_hashes, words
 BUCKETS = 1 << 17
 DIM = 16
 EPOCHS = 8
+#: Small training sets are gone through more often, until this many steps.
+MIN_STEPS = 32768
 RATE = 1.0
 #: Labelled rows learned from, at most.
 MAX_ROWS = 4096
@@ -75,9 +77,10 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes
     out = np.zeros((classes, DIM), np.float32)
     share = np.bincount(labels, minlength=classes) + 0.5
     bias = np.log(share / share.sum()).astype(np.float32)
-    steps = max(1, EPOCHS * len(docs))
+    epochs = max(EPOCHS, -(-MIN_STEPS // max(1, len(docs))))
+    steps = max(1, epochs * len(docs))
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         for k in rng.permutation(len(docs)):
             at, n = docs[k]
             rate = RATE * (1 - step / steps)

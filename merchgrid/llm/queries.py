@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchgrid.llm import bpe, exact_dedup, html_text, language_id, pii, quality, warc
+from merchgrid.llm import bpe, decontaminate, exact_dedup, html_text, language_id, ngram_join, pii, quality, warc
 from merchgrid.llm.common import bare, remainder
 
 
@@ -42,10 +42,20 @@ def op4_html_text(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op5_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    out = decontaminate.with_leaks(bare(_read(spark, sf, "documents"), "doc_id", "text"), _read(spark, sf, "benchmark")).drop("text")
+    items = F.array_distinct(F.transform("leaks", lambda x: x["item_id"]))
+    return out.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.size(items).cast("long").alias("n_items"), items.alias("item_ids"), F.to_json("leaks").alias("spans"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.jaccard_classes(_read(spark, sf, "documents")).select("doc_id", "class_id", "n_links", "set_id")
+
+
 def _equals(value: str):
     return lambda x: x == value
 
@@ -70,7 +80,9 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_warc": op3_warc,
     "op4_html_text": op4_html_text,
+    "op5_decontaminate": op5_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_ngram_join": op8_ngram_join,
     "op9_pii": op9_pii,
     "op10_language_id": op10_language_id,
 }
