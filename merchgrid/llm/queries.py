@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchgrid.llm import bpe, decontaminate, exact_dedup, html_text, language_id, ngram_join, pii, quality, warc
+from merchgrid.llm import bpe, decontaminate, exact_dedup, html_text, language_id, lm_score, ngram_join, pii, quality, warc
 from merchgrid.llm.common import bare, remainder
 
 
@@ -52,6 +52,13 @@ def op6_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    docs = bare(_read(spark, sf, "documents"), "doc_id", "text")
+    held = remainder("doc_id", 7) == 2
+    out = lm_score.score(docs, docs.where(~held).select("text"))
+    return out.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.jaccard_classes(_read(spark, sf, "documents")).select("doc_id", "class_id", "n_links", "set_id")
 
@@ -82,6 +89,7 @@ QUERIES = {
     "op4_html_text": op4_html_text,
     "op5_decontaminate": op5_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_lm_score": op7_lm_score,
     "op8_ngram_join": op8_ngram_join,
     "op9_pii": op9_pii,
     "op10_language_id": op10_language_id,
