@@ -258,20 +258,26 @@ def decoded(tokens: DataFrame, path: str, ids: str = "token_ids", text: str = "d
     return tokens.mapInArrow(run, widened(tokens.schema, **{text: "string"}))
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: encode and decode every text in one pass."""
+def round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: encode and decode every text in one pass; with ``token_ids`` if asked for."""
     spec = _spec(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(spec.value)
         for b in chunks(batches, 4 << 20):
-            n, a, d = [], [], []
+            n, a, d, kept = [], [], [], []
             for t in texts(b, "text"):
                 ids = np.asarray(bpe.encode(t), np.int64)
                 n.append(len(ids))
+                if keep_ids:
+                    kept.append(ids.astype(np.int32))
                 a.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 d.append(hashlib.sha256(bpe.decode(ids).encode("utf-8")).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            cols = {"doc_id": b.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(d, pa.string())}
+            if keep_ids:
+                cols["token_ids"] = pa.array(kept, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     docs = bare(docs, "doc_id", "text")
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * keep_ids)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from merchgrid.llm import bpe, decontaminate, exact_dedup, html_text, language_id, lm_score, ngram_join, pii, quality, warc
 from merchgrid.llm.common import bare, remainder
 
@@ -93,5 +94,6 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_pii": op9_pii,
     "op10_language_id": op10_language_id,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op3_warc": warc.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
