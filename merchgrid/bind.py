@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchgrid.functions.partitioning import spread
-from merchgrid.operators.images import catalog_by_barcode
+from merchgrid.operators.images import with_catalog_image
 from merchgrid.operators.intake import variant_options
 
 
@@ -18,8 +17,6 @@ def quarter(c):
     """Round to quarter dollars."""
     return F.floor(c * 4 + 0.5) / 4
 
-# Tables that feed expensive per-row work (text, regular expressions, Python).
-SPREAD_KEYS = {"part": "p_partkey", "documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 COLORS = ["Red", "Navy Blue", "Matte Black / Polarized Gray", "Forest Green", "grey heather", "Off White"]
 PAGE_COLORS = ["red", "Navy Blue", "Matte Black | Polarized Gray", "Forest", "Heather Grey", "Forest Green - New", "Off", "Grey Heather"]
@@ -38,8 +35,7 @@ class Tables:
         """A driver table; the footer is read once per instance."""
         if name not in self._raw:
             path = f"{self.sf_dir}/{name}.parquet"
-            df = self.spark.read.parquet(path)
-            self._raw[name] = spread(df, SPREAD_KEYS[name], path) if name in SPREAD_KEYS else df
+            self._raw[name] = self.spark.read.parquet(path)
         return self._raw[name]
 
     # -- scalars -----------------------------------------------------------
@@ -357,9 +353,9 @@ class Tables:
     def outputs(self) -> DataFrame:
         """Generated descriptions with facts and verification counts."""
         f, d = self.facts(), F.col("doc_id")
-        li = F.transform(F.slice("bullets", 1, 9), lambda b: F.concat(F.lit("<li>"), F.regexp_replace(b, "[<>]", " "), F.lit("</li>")))
+        li = F.transform("bullets", lambda b: F.concat(F.lit("<li>"), F.regexp_replace(b, "[<>]", " "), F.lit("</li>")))
         html = F.concat(
-            F.when(d % 9 != 8, F.concat(F.lit("<p>"), F.regexp_replace(F.coalesce(F.get("blocks", F.lit(0)), F.lit("A stunning perfect part.")), "[<>]", " "), F.lit("</p>"))).otherwise(""),
+            F.when(d % 9 != 8, F.concat(F.lit("<p>"), F.regexp_replace(F.when(F.size("blocks") > 0, F.array_join("blocks", "\n")).otherwise("A stunning perfect part."), "[<>]", " "), F.lit("</p>"))).otherwise(""),
             F.when(d % 2 == 0, F.concat(F.lit("<ul>"), F.array_join(li, ""), F.lit("</ul>"))).otherwise(""),
             F.when(d % 3 == 0, F.lit("<h3>Specs</h3><table><tr><td>80% cotton, 20% nylon</td></tr></table>")).otherwise(""),
         )
@@ -435,7 +431,7 @@ class Tables:
 
     def variants_with_options(self) -> DataFrame:
         """Variants with colour, size and the catalog image of their barcode."""
-        return variant_options(self.variants()).join(catalog_by_barcode(self.catalog_items()), "barcode", "left")
+        return with_catalog_image(variant_options(self.variants()), self.catalog_items())
 
     def color_map(self) -> DataFrame:
         """Scraped colour to image rows per product, a hero for some and none for others."""

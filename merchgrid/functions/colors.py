@@ -28,7 +28,7 @@ def family(color: Column) -> Column:
     """Colour family of a vendor's colour name; null when nothing fits."""
     name = strip(text(color))
     low = F.lower(name)
-    creative = rules.by_name(rules.CREATIVE_NAMES)
+    creative = rules.CREATIVE_NAMES
     parts = F.split(name, "/")
     slash_pair = (F.size(parts) >= 2) & F.forall(parts, lambda p: strip(p) != "")
     exact = lookup(low, {f.lower(): f for f in rules.FAMILIES})
@@ -45,7 +45,7 @@ def query_term(color: Column) -> Column:
     base = F.regexp_replace(base, r"(?i)\s+\S*\s*lens$", "")
     words = F.filter(F.split(F.lower(F.replace(base, F.lit("/"), F.lit(" "))), r"\s+"), lambda w: (w != "") & ~w.isin(rules.MODIFIERS))
     lone = F.element_at(words, 1)
-    plain = F.when(F.size(words) == 1, F.split(F.coalesce(lookup(lone, rules.by_name(rules.PLAIN_NAMES)), lone), " ")).otherwise(words)
+    plain = F.when(F.size(words) == 1, F.split(F.coalesce(lookup(lone, rules.PLAIN_NAMES), lone), " ")).otherwise(words)
     kept = F.filter(plain, lambda w, i: (i == 0) | (w != F.get(plain, i - 1)))
     return F.when(F.size(words) == 0, strip(F.lower(color))).otherwise(F.array_join(kept, " "))
 

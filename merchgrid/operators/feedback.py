@@ -169,7 +169,7 @@ def replay_title_gate(decisions: DataFrame, items: list[Proposal], similarity=se
     usable = (text(F.col("title_extracted")) != "") & (text(F.col("catalog_title")) != "") & ~F.col("outcome").isin("reject_bot_blocked", "skip_low_confidence")
     match, overlap = gate_words(F.col("title_extracted"), F.col("catalog_title"))
     c = _candidates(decisions).where(usable).withColumns({"clash": F.coalesce(~match, F.lit(False)), "overlap": overlap}).withColumn(
-        "sim", similarity(F.lower("title_extracted"), F.lower("catalog_title")))
+        "sim", similarity(F.when(~F.col("clash"), F.lower("title_extracted")), F.when(~F.col("clash"), F.lower("catalog_title"))))  # a clash decides alone
     low = lambda s, o: F.col("clash") | ((F.col("sim") < s) & (F.col("overlap") < o))
     p = c.select("*", F.explode(props).alias("p")).select("*", "p.*")
     s = F.when(F.col("parameter") == "title_gate.title_similarity", F.col("proposed")).otherwise(0.4)

@@ -22,6 +22,13 @@ def catalog_by_barcode(items: DataFrame) -> DataFrame:
     )
 
 
+def with_catalog_image(variants: DataFrame, items: DataFrame) -> DataFrame:
+    """``variants`` with the catalog image of their barcode; rows without a barcode, often most of a shop, stay out of the join."""
+    known = variants.where("barcode <> ''").join(catalog_by_barcode(items), "barcode", "left")
+    blank = variants.where("barcode is null or barcode = ''").withColumn("catalog_image", F.lit(None).cast("string"))
+    return known.select(*variants.columns, "catalog_image").unionByName(blank)
+
+
 def catalog_by_style(items: DataFrame) -> DataFrame:
     return items.where("style <> '' and image_url <> ''").where(~is_swatch(F.col("image_url"))).groupBy("vendor", "style", "color").agg(
         F.min("image_url").alias("style_image")
@@ -44,8 +51,8 @@ def propagate_images(products: DataFrame, variants: DataFrame, items: DataFrame)
             F.when(F.col("option1_value") == "", "Unknown").otherwise(F.col("option1_value")).alias("color"),
         )
         .join(has_color, "product_id")
-        .join(catalog_by_barcode(items), "barcode", "left")
     )
+    v = with_catalog_image(v, items)
     at = F.struct("position", "variant_id")
     own = F.when(F.col("image_src") != "", at)
     found = F.when(F.col("catalog_image").isNotNull(), at)

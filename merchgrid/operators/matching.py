@@ -240,16 +240,18 @@ def select_candidate(candidates: DataFrame, key: str = "product_id") -> DataFram
 # -- gates ----------------------------------------------------------------------
 
 
-def bot_blocked(page: Column) -> Column:
-    """Anti-bot page (P13): all markers on a short page, the main ones in the first 2000 characters else."""
-    short = contains_any(F.lower(text(page)), rules.BOT_MARKERS + rules.BOT_MARKERS_SHORT)
-    # The first 2000 characters are the rule itself: a block replaces the whole page.
-    head = contains_any(F.lower(F.left(text(page), F.lit(2000))), rules.BOT_MARKERS)
-    return F.when(F.length(text(page)) < 500, short).otherwise(head)
+def bot_blocked(page: Column, head: int | None = None, short: int = 500) -> Column:
+    """Anti-bot page (P13): all markers on a page under ``short`` characters, the main ones on any other.
+
+    ``head`` looks for the main ones in the first characters only; by default in the whole page.
+    """
+    low = F.lower(text(page))
+    main = contains_any(low if head is None else F.left(low, F.lit(head)), rules.BOT_MARKERS)
+    return main | ((F.length(text(page)) < short) & contains_any(low, rules.BOT_MARKERS_SHORT))
 
 
 def meaning_words(c: Column) -> Column:
-    return F.array_except(tokens(c), lits(sorted(set(rules.GATE_FILLER + rules.GATE_DEMOGRAPHICS + ["junior", "jr"]))))
+    return F.array_except(tokens(c), lits(sorted(set(rules.GATE_FILLER + rules.DEMOGRAPHICS))))
 
 
 def best_heading(markdown: Column, catalog_title: Column) -> Column:
@@ -266,7 +268,7 @@ def best_heading(markdown: Column, catalog_title: Column) -> Column:
 def gate_words(page: Column, catalog: Column) -> tuple[Column, Column]:
     """(demographic match or null, word overlap) of two titles."""
     demo = lambda c: F.array_distinct(F.transform(
-        F.array_intersect(tokens(c), lits(rules.GATE_DEMOGRAPHICS + ["junior", "jr"])),
+        F.array_intersect(tokens(c), lits(rules.DEMOGRAPHICS)),
         lambda w: F.when(w == "men", "mens").when(w == "women", "womens").otherwise(w)))
     dp, dc = demo(page), demo(catalog)
     match = F.when(has(dp) & has(dc), overlaps(dp, dc))
@@ -274,11 +276,12 @@ def gate_words(page: Column, catalog: Column) -> tuple[Column, Column]:
     return match, F.size(F.array_intersect(wc, meaning_words(page))) / F.greatest(F.size(wc), F.lit(1)).cast("double")
 
 
-def title_gate(pairs: DataFrame, min_similarity: float = 0.4, min_overlap: float = 0.3, similarity=sequence_ratio) -> DataFrame:
-    """Cheap title check (M18). Expects ``page_title, catalog_title``."""
+def title_gate(pairs: DataFrame, min_similarity: float = 0.4, min_overlap: float = 0.3, similarity=sequence_ratio, needed: Column | None = None) -> DataFrame:
+    """Cheap title check (M18). Expects ``page_title, catalog_title``; where ``needed`` is false the similarity stays null."""
+    only = (lambda c: c) if needed is None else (lambda c: F.when(needed, c))
     match, overlap = gate_words(F.col("page_title"), F.col("catalog_title"))
     staged = pairs.withColumns({"demographic_match": match, "word_overlap": overlap}).withColumn(
-        "title_similarity", similarity(F.lower("page_title"), F.lower("catalog_title"))
+        "title_similarity", similarity(only(F.lower("page_title")), only(F.lower("catalog_title")))
     )
     clash = F.coalesce(~F.col("demographic_match"), F.lit(False))
     low = (F.col("title_similarity") < min_similarity) & (F.col("word_overlap") < min_overlap)
@@ -335,17 +338,18 @@ def price_score(scraped: Column, known: Column) -> Column:
     return F.when(scraped.isNotNull() & (known > 0), F.when(gap > 0.2, decay).otherwise(1.0)).otherwise(F.lit(0.5))
 
 
-def post_extraction(rows: DataFrame, similarity=sequence_ratio, threshold: float = 50.0) -> DataFrame:
+def post_extraction(rows: DataFrame, similarity=sequence_ratio, threshold: float = 50.0, needed: Column | None = None) -> DataFrame:
     """Confidence from title, price, colours and content.
 
     Expects ``product_name, catalog_title, scraped_price, catalog_price, catalog_colors,
-    vendor_colors, content_score``.
+    vendor_colors, content_score``; where ``needed`` is false the confidence stays null.
     """
+    only = (lambda c: c) if needed is None else (lambda c: F.when(needed, c))
     named = text(F.col("product_name")) != ""
-    staged = rows.withColumn("_sim", similarity(F.lower(text(F.col("product_name"))), F.lower("catalog_title")))
+    staged = rows.withColumn("_sim", similarity(only(F.lower(text(F.col("product_name")))), only(F.lower("catalog_title"))))
     colors = F.when(has(F.col("vendor_colors")) & has(F.col("catalog_colors")), color_overlap(F.col("catalog_colors"), F.col("vendor_colors"))).otherwise(0.5)
     staged = staged.withColumns({
-        "sig_title": F.when(named, F.col("_sim")).otherwise(0.0), "sig_price": price_score(F.col("scraped_price"), F.col("catalog_price")),
+        "sig_title": only(F.when(named, F.col("_sim")).otherwise(0.0)), "sig_price": price_score(F.col("scraped_price"), F.col("catalog_price")),
         "sig_color": colors, "sig_quality": flag(F.col("content_score") >= 30),
     }).drop("_sim")
     total = F.col("sig_title") * 40 + F.col("sig_price") * 25 + F.col("sig_color") * 25 + F.col("sig_quality") * 10
@@ -361,8 +365,13 @@ def decide(candidates: DataFrame, pages: DataFrame, similarity=sequence_ratio, k
     """
     tried = top_k(candidates, ["product_id"], [F.desc("confidence"), F.col("ord")], k, out="attempt").join(pages, "url", "left")
     staged = tried.withColumn("page_title", best_heading(F.col("markdown"), F.col("catalog_title")))
-    gated = title_gate(staged, similarity=similarity)
-    scored = post_extraction(gated.withColumn("content_score", F.coalesce("content_score", F.lit(0.0))), similarity=similarity)
+    # the ratios run only on rows that nothing cheaper has decided
+    open_ = (F.col("confidence") >= 50) & (text(F.col("markdown")) != "") & ~bot_blocked(F.col("markdown"))
+    staged = staged.withColumn("_open", F.coalesce(open_, F.lit(False)))
+    gated = title_gate(staged, similarity=similarity, needed=F.col("_open") & F.col("page_title").isNotNull())
+    named = F.col("_open") & (F.col("page_title").isNull() | F.col("passed")) & (text(F.col("product_name")) != "")
+    gated = gated.withColumn("_open", F.coalesce(named, F.lit(False))).withColumn("content_score", F.coalesce("content_score", F.lit(0.0)))
+    scored = post_extraction(gated, similarity=similarity, needed=F.col("_open")).drop("_open")
     outcome = (
         F.when(F.col("confidence") < 50, "skip_low_confidence")
         .when((text(F.col("markdown")) == "") | bot_blocked(F.col("markdown")), "reject_bot_blocked")

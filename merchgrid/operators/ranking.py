@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchgrid.functions.common import add_all, clamp, half_up, labels, ratio
-from merchgrid.functions.ranking import distributed_rank, top_k
+from merchgrid.functions.ranking import distributed_rank
 from merchgrid.rules import catalog as rules
+from merchgrid.session import durable
 
 NO_SALES_WEEKS = 999.0  # sentinel: weeks of supply without sales
 NO_DATE_DAYS = 999      # sentinel: age without a creation date
@@ -95,7 +96,7 @@ def notes() -> Column:
     ), ", ")
 
 
-def assign_slots(scored: DataFrame, group: str, bounded: bool, tie: str = "product_id", strict_pins: bool = False) -> DataFrame:
+def assign_slots(scored: DataFrame, group: str, tie: str = "product_id", strict_pins: bool = False) -> DataFrame:
     """Final rank with pins.
 
     A valid pin (1..n, the last row of a duplicate pin) takes its slot; the k-th
@@ -106,12 +107,12 @@ def assign_slots(scored: DataFrame, group: str, bounded: bool, tie: str = "produ
     Pins outside 1..n and overridden duplicates keep rank 0, or
     are ranked by score with ``strict_pins``.
 
-    ``bounded=True`` asserts groups of a known small size (a pre-limited collection);
-    otherwise positions come from range-partitioned ranks and no group meets one task.
+    Positions come from range-partitioned ranks, so no group meets one task.  The scored
+    rows are written once and read by every step.
     """
+    scored = durable(scored)
+
     def position(df: DataFrame, order: list, out: str) -> DataFrame:
-        if bounded:
-            return df.withColumn(out, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
         return distributed_rank(df, [group], order, out)
 
     sizes = scored.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
@@ -136,13 +137,11 @@ def assign_slots(scored: DataFrame, group: str, bounded: bool, tie: str = "produ
 
 
 def rank_collections(members: DataFrame, variants, velocity, inventory, overrides, reference: Column,
-                     group: str = "collection", limit: int | None = 200) -> DataFrame:
+                     group: str = "collection", limit: int | None = None) -> DataFrame:
     """Rank every collection in one job (M7).
 
-    ``limit`` is the reference's pre-limit per collection, applied in product order;
-    ``None`` ranks whole collections of any size.
+    Whole collections are scored and ranked; ``limit`` returns the first ranks only (pins
+    that are out of range, rank 0, included).
     """
-    pool = top_k(members, [group], [F.col("product_id")], limit).drop("pos") if limit else members
-    scored = score(rank_metrics(pool, variants, velocity, inventory, overrides, reference), group)
-    bounded = limit is not None and limit <= 1000
-    return assign_slots(scored, group, bounded=bounded)
+    ranked = assign_slots(score(rank_metrics(members, variants, velocity, inventory, overrides, reference), group), group)
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)

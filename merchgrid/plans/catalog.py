@@ -143,8 +143,8 @@ def policy_terms(spark, sf):
 
 def title_policy(spark, sf):
     t = Tables(spark, sf)
-    heads = t.raw("documents").select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("title"))
-    return heads.select("doc_id", F.array_join(P.title_violations(F.col("title")), "; ").alias("violations")).where("violations <> ''")
+    heads = t.raw("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "title"))
+    return heads.select("doc_id", F.col("line").cast("bigint").alias("line"), F.array_join(P.title_violations(F.col("title")), "; ").alias("violations")).where("violations <> ''")
 
 
 def required_attributes(spark, sf):
@@ -247,7 +247,7 @@ _ORDER = {
     "verdicts": "SELECT product_id, CASE WHEN bool_or(actual_place <> expected_place) THEN 'violation' ELSE 'sorted' END AS verdict FROM placed_ GROUP BY 1",
 }
 
-_CREATIVE = values(crules.by_name(crules.CREATIVE_NAMES), "k", "v")
+_CREATIVE = values(crules.CREATIVE_NAMES, "k", "v")
 _FAMILY = "CASE " + " ".join(f"WHEN low = '{f.lower()}' THEN '{f}'" for f in crules.FAMILIES) + " END"
 _INSIDE = "CASE " + " ".join(f"WHEN contains(low, '{f.lower()}') THEN '{f}'" for f in crules.FAMILY_PRIORITY) + " END"
 _FAM = {
@@ -332,7 +332,7 @@ ORACLES = {
     "color_terms": with_tables(f"""SELECT color, {_NORM.format(c='color')} AS normalized, coalesce(CASE WHEN nw = 1 THEN plain END, array_to_string(ws, ' ')) AS term, variants
         FROM (SELECT *, len(ws) AS nw FROM (SELECT option1_value AS color, count(*) AS variants, list_filter(regexp_split_to_array(lower(replace(option1_value, '/', ' ')), '\\s+'),
           lambda w: w <> '' AND w NOT IN ({", ".join(f"'{m}'" for m in crules.MODIFIERS)})) AS ws FROM variants GROUP BY 1))
-        LEFT JOIN ({values(crules.by_name(crules.PLAIN_NAMES), "k", "plain")}) ON k = ws[1]"""),
+        LEFT JOIN ({values(crules.PLAIN_NAMES, "k", "plain")}) ON k = ws[1]"""),
     "color_match": with_tables("""SELECT product_id, color, candidate AS matched, tier FROM (SELECT *, row_number() OVER (PARTITION BY product_id, color ORDER BY tier, ord) AS rn
         FROM pairs WHERE tier IS NOT NULL) WHERE rn = 1""", _MATCH),
     "color_family_vote": with_tables("""SELECT product_id, color, images, coalesce(label, family) AS family,
@@ -343,10 +343,10 @@ ORACLES = {
         regexp_matches(barcode, '^(\\d{{8}}|\\d{{12,14}})$') AND NOT regexp_matches(barcode, '^0+$') AND (10 - ({_DIGITS}) % 10) % 10 = substr(pad, 14, 1)::INT AS ok
         FROM (SELECT product_id, barcode, lpad(barcode, 14, '0') AS pad FROM variants WHERE barcode <> '')) JOIN products USING (product_id) GROUP BY 1"""),
     "policy_terms": f"SELECT term, count(*) AS documents FROM ({_PROHIB}) GROUP BY 1",
-    "title_policy": """SELECT doc_id, CASE WHEN trim(t) = '' THEN 'Title is empty' ELSE concat_ws('; ', CASE WHEN length(t) > 150 THEN 'Title exceeds 150 characters (' || length(t) || ')' END,
+    "title_policy": """SELECT doc_id, line, CASE WHEN trim(t) = '' THEN 'Title is empty' ELSE concat_ws('; ', CASE WHEN length(t) > 150 THEN 'Title exceeds 150 characters (' || length(t) || ')' END,
         CASE WHEN t = upper(t) AND length(t) > 10 THEN 'Title is all caps (GMC may flag as spammy)' END,
         CASE WHEN regexp_matches(t, '[!]{2,}|[?]{2,}') THEN 'Title contains excessive punctuation' END) END AS violations
-        FROM (SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents) WHERE violations <> ''""",
+        FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS t FROM documents) WHERE violations <> ''""",
     "required_attributes": with_tables("""SELECT product_id, concat_ws('; ', CASE WHEN trim(body_html) = '' THEN 'Missing required attribute: Product description' END,
         CASE WHEN NOT coalesce(any_image, false) THEN 'Missing required attribute: Product image' END,
         CASE WHEN coalesce(price, 0) = 0 THEN 'Missing required attribute: Product price' END) AS missing FROM products LEFT JOIN vstats USING (product_id) WHERE missing <> ''"""),

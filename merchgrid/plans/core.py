@@ -109,7 +109,7 @@ def _rank_columns(df):
 
 
 def collection_rank(spark, sf):
-    return _rank_columns(_ranked(Tables(spark, sf), 200))
+    return _rank_columns(_ranked(Tables(spark, sf), None))
 
 
 def rank_with_pins(spark, sf):
@@ -286,7 +286,7 @@ ORACLES = {
         {r('sum(CASE WHEN on_sale THEN 0.0::DOUBLE ELSE qty * cost END)', 2)} AS full_price_value,
         {', '.join(f"coalesce(sum(qty) FILTER (location = 'loc{i}'), 0)::BIGINT AS loc{i}" for i in range(3))} FROM levels GROUP BY 1"""),
     "sales_velocity": with_tables("SELECT product_id, units, weekly_avg FROM velocity"),
-    "collection_rank": with_tables(_RANK_OUT, _RANK | {"pool": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY product_id) AS rn FROM members) WHERE rn <= 200"}),
+    "collection_rank": with_tables(_RANK_OUT, _RANK | {"pool": "SELECT * FROM members"}),
     "rank_with_pins": with_tables(_RANK_OUT, _RANK | {"pool": "SELECT * FROM members"}),
     "margin": with_tables(f"SELECT product_id, {r('margin_pct', 3)} AS margin_pct FROM margins", _RANK),
     "coverage_topn": with_tables(f"SELECT top_count, {_COMP} FROM composed", _sweep_ctes(f"({_ONE})")),

@@ -203,7 +203,7 @@ _HITS = _URL | {
     "uniq_url": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id, regexp_replace(lower(url), '/+$', '') ORDER BY confidence DESC, ord) AS dup FROM hits) WHERE dup = 1""",
 }
 
-_GF, _GD = rules.GATE_FILLER, rules.GATE_DEMOGRAPHICS + ["junior", "jr"]
+_GF, _GD = rules.GATE_FILLER, rules.DEMOGRAPHICS
 _MEAN = lambda c: _MINUS(_TOK(c), _list(sorted(set(_GF + _GD))))
 _DEMO = lambda c: f"list_distinct(list_transform(list_intersect({_TOK(c)}, {_list(_GD)}), lambda w: CASE w WHEN 'men' THEN 'mens' WHEN 'women' THEN 'womens' ELSE w END))"
 
@@ -237,6 +237,7 @@ _DECIDE = _URL | {
     "d6": """SELECT *, CASE WHEN score < 50 THEN 'skip_low_confidence' WHEN blocked THEN 'reject_bot_blocked' WHEN page_title IS NOT NULL AND NOT passed THEN 'reject_title_gate'
         WHEN product_name = '' THEN 'reject_extraction_failed' WHEN conf < 50 THEN 'reject_post_extraction' ELSE 'accept' END AS outcome FROM d5""",
     "d7": "SELECT *, min(CASE WHEN outcome = 'accept' THEN attempt END) OVER (PARTITION BY product_id) AS okat FROM d6",
+    "d8": "SELECT * REPLACE (CASE WHEN outcome IN ('accept', 'reject_post_extraction') THEN conf END AS conf) FROM d7",
 }
 _SEASON = {
     "sr": """SELECT p_partkey AS product_id, CASE p_partkey % 3 WHEN 0 THEN ['Red', 'Black', 'Forest Green'] WHEN 1 THEN ['Navy Blue', 'Sand / Oat'] ELSE ['Red'] END AS cc,
@@ -273,7 +274,7 @@ ORACLES = {
         CASE WHEN len(dp) > 0 AND len(dc) > 0 THEN list_has_any(dp, dc)::BIGINT ELSE -1 END AS demographic,
         NOT (len(dp) > 0 AND len(dc) > 0 AND NOT list_has_any(dp, dc)) AND NOT (gated.title_similarity < 0.4 AND gated.word_overlap < 0.3) AS passed FROM gated""", _GATE),
     "candidate_decisions_edit": with_tables(f"""SELECT product_id, attempt, url, outcome, coalesce(page_title, '') AS title_extracted, {r('CASE WHEN page_title IS NULL THEN 0 ELSE word_overlap END', 6)} AS word_overlap,
-        {r('sp', 6)} AS sig_price, {r('sc', 6)} AS sig_color, {r('conf', 4)} AS match_confidence FROM d7 WHERE okat IS NULL OR attempt <= okat""", _DECIDE),
+        {r('sp', 6)} AS sig_price, {r('sc', 6)} AS sig_color, {r('conf', 4)} AS match_confidence FROM d8 WHERE okat IS NULL OR attempt <= okat""", _DECIDE),
     "season_flags": with_tables(f"""SELECT product_id, {r('co', 3)} AS color_overlap, uy::VARCHAR AS year_hints,
         concat_ws(',', CASE WHEN low THEN 'LOW_COLOR_OVERLAP' END, CASE WHEN mis THEN 'URL_YEAR_MISMATCH' END, CASE WHEN newer THEN 'POSSIBLE_NEWER_MODEL' END) AS flags,
         CASE WHEN NOT low AND NOT mis AND NOT newer THEN 'No season mismatch signals detected.'

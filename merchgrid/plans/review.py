@@ -126,8 +126,7 @@ def disposition_join(spark, sf):
     lab = t.raw("labels").select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("handle"), F.when(F.col("quality") == 1, "approved").when(F.col("toxic") == 1, "rejected").otherwise("skip").alias("status"),
         F.when(F.col("toxic") == 1, "toxic").alias("reason"), F.lit(None).cast("string").alias("edited_body_html"))
-    c = t.changes().where("status = 'pending' or doc_id % 2 = 0")
-    return B.apply_dispositions(c, lab).select("handle", "status", "reason")
+    return B.apply_dispositions(t.changes(), lab).select("handle", "status", "reason")
 
 
 def feedback_rows(spark, sf):
@@ -402,7 +401,7 @@ ORACLES = {
         count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (status = 'applied') AS applied,
         {r("(count(*) FILTER (status IN ('approved', 'edited')))::DOUBLE / greatest(count(*) FILTER (status <> 'pending'), 1)", 6)} AS approval_rate FROM ch GROUP BY 1""", _CHANGES),
     "disposition_join": with_tables("""SELECT handle, CASE WHEN l.quality = 1 THEN 'approved' WHEN l.toxic = 1 THEN 'rejected' ELSE status END AS status,
-        CASE WHEN l.quality <> 1 AND l.toxic = 1 THEN 'toxic' ELSE reason END AS reason FROM ch LEFT JOIN labels l ON l.doc_id = ch.doc_id WHERE status = 'pending' OR ch.doc_id % 2 = 0""".replace("WHERE status", "WHERE ch.status"), _CHANGES),
+        CASE WHEN l.quality <> 1 AND l.toxic = 1 THEN 'toxic' ELSE reason END AS reason FROM ch LEFT JOIN labels l ON l.doc_id = ch.doc_id""", _CHANGES),
     "feedback_rows": with_tables("SELECT handle, run_id, disposition, reason, length(final_html) AS final_chars, confidence FROM fb", _CHANGES),
     "feedback_summary": with_tables(f"""SELECT count(*) AS total, count(*) FILTER (disposition = 'approved') AS approved, count(*) FILTER (disposition = 'rejected') AS rejected, count(*) FILTER (disposition = 'edited') AS edited,
         {r("(count(*) FILTER (disposition = 'approved'))::DOUBLE / greatest(count(*), 1)", 6)} AS approval_rate FROM fb""", _CHANGES),

@@ -92,8 +92,8 @@ CTES: dict[str, str] = {
         CASE doc_id % 4 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN [n_chars || ' g'] ELSE [n_chars || ' g', lang] END AS specs,
         CASE doc_id % 3 WHEN 0 THEN '80% cotton, 20% nylon' WHEN 1 THEN 'soft shell fabric' ELSE '' END AS materials,
         CASE WHEN doc_id % 5 = 0 THEN 'machine wash cold inside' ELSE '' END AS care, CASE WHEN doc_id % 10 = 0 THEN text ELSE '' END AS ld, text, lang FROM documents""",
-    "outputs": """SELECT f.*, CASE WHEN f.doc_id % 9 <> 8 THEN '<p>' || regexp_replace(coalesce(blocks[1], 'A stunning perfect part.'), '[<>]', ' ', 'g') || '</p>' ELSE '' END
-        || CASE WHEN f.doc_id % 2 = 0 THEN '<ul>' || array_to_string(list_transform(bullets[1:9], lambda b: '<li>' || regexp_replace(b, '[<>]', ' ', 'g') || '</li>'), '') || '</ul>' ELSE '' END
+    "outputs": """SELECT f.*, CASE WHEN f.doc_id % 9 <> 8 THEN '<p>' || regexp_replace(CASE WHEN len(blocks) > 0 THEN array_to_string(blocks, chr(10)) ELSE 'A stunning perfect part.' END, '[<>]', ' ', 'g') || '</p>' ELSE '' END
+        || CASE WHEN f.doc_id % 2 = 0 THEN '<ul>' || array_to_string(list_transform(bullets, lambda b: '<li>' || regexp_replace(b, '[<>]', ' ', 'g') || '</li>'), '') || '</ul>' ELSE '' END
         || CASE WHEN f.doc_id % 3 = 0 THEN '<h3>Specs</h3><table><tr><td>80% cotton, 20% nylon</td></tr></table>' ELSE '' END AS body_html,
         quality, quality * 3 + f.doc_id % 3 AS ns, coalesce(toxic, 0) AS nu, f.doc_id % 2 AS ne FROM facts f LEFT JOIN labels l ON l.doc_id = f.doc_id""",
     "kept": "SELECT * FROM products WHERE status = 'active' AND vendor NOT IN ('Brand#25', 'Brand#24')",

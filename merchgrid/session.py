@@ -17,8 +17,11 @@ def local_session(cores: str = "8", app: str = "merchgrid") -> SparkSession:
         .config("spark.sql.shuffle.partitions", n)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.files.minPartitionNum", n)
+        .config("spark.sql.files.openCostInBytes", "65536")  # small tables are read in as many splits as there are cores
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("MERCHGRID_DRIVER_MEMORY", "12g"))
+        .config("spark.checkpoint.dir", os.environ.get("MERCHGRID_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="merchgrid-ckpt-"))
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # call sites cost more than the plan
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -27,17 +30,16 @@ def local_session(cores: str = "8", app: str = "merchgrid") -> SparkSession:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint.
+    """Cut lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only a
-    local master without that setting (tests) gets a temporary folder.
+    A session in one process that lacks the setting is given a folder of its own; a cluster must name a shared one.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not sc.master.startswith("local"):
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="merchgrid-ckpt-")
         sc.setCheckpointDir(folder)

@@ -30,19 +30,30 @@ def scored(spark, groups):
 
 def test_pins_fixture(spark):
     items = [(1, 9, None), (2, 8, 1), (3, 7, None), (4, 1, 3), (5, 0.5, 9)]
-    for bounded in (True, False):
-        out = {r.product_id: r["rank"] for r in R.assign_slots(scored(spark, {"a": items}), "g", bounded).collect()}
-        assert [out[i] for i in range(1, 6)] == [2, 1, 4, 3, 0]
+    out = {r.product_id: r["rank"] for r in R.assign_slots(scored(spark, {"a": items}), "g").collect()}
+    assert [out[i] for i in range(1, 6)] == [2, 1, 4, 3, 0]
 
 
 def test_pins_random_groups(spark):
     rng = random.Random(4)
     groups = {f"g{k}": [(i, rng.randint(0, 6), rng.choice([None, None, None, rng.randint(1, 14)])) for i in range(rng.randint(1, 12))] for k in range(15)}
     df = scored(spark, groups)
-    for bounded in (True, False):
-        got = {(r.g, r.product_id): r["rank"] for r in R.assign_slots(df, "g", bounded).collect()}
-        for g, items in groups.items():
-            assert {i: got[g, i] for i, _, _ in items} == slots_by_hand(items)
+    got = {(r.g, r.product_id): r["rank"] for r in R.assign_slots(df, "g").collect()}
+    for g, items in groups.items():
+        assert {i: got[g, i] for i, _, _ in items} == slots_by_hand(items)
+
+
+def test_no_product_of_a_large_collection_is_cut(spark):
+    n = 5000
+    members = spark.range(1, n + 1).select(F.lit("c").alias("collection"), F.col("id").alias("product_id"), F.concat(F.lit("h"), "id").alias("handle"), F.lit(None).cast("timestamp").alias("created_at"))
+    v = spark.range(1, n + 1).select(F.col("id").alias("product_id"), F.lit(5.0).alias("cost"), F.lit(10.0).alias("price"))
+    vel = spark.range(1, n + 1).select(F.col("id").alias("product_id"), F.col("id").cast("double").alias("weekly_avg"))
+    inv = v.select("product_id", F.lit(50).cast("long").alias("total"))
+    none = spark.createDataFrame([], "handle string, pin long, boost double, bury boolean")
+    ref = F.to_timestamp(F.lit("2024-01-01"))
+    out = R.rank_collections(members, v, vel, inv, none, ref)
+    assert out.count() == n and out.where("rank = 1").first().product_id == n
+    assert sorted(r["rank"] for r in R.rank_collections(members, v, vel, inv, none, ref, limit=3).collect()) == [1, 2, 3]
 
 
 def test_distributed_rank_with_one_hot_group(spark):
