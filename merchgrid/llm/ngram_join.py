@@ -13,7 +13,8 @@ A bucket may hold a third of all nodes, so pairs are never listed:
   members of a hub are linked with each other, which is counted, not listed.
 * What remains is verified by pairs of blocks that share a bucket: the sets of both blocks
   travel once, intersections are a matrix product, and only sums per node leave the task.  Blocks of
-  near members of one hub aren't paired with each other.
+  near members of one hub aren't paired with each other.  A group of m texts that are neither copies nor near
+  the hub costs (m / ``BLOCK_NODES``) squared block pairs: its links may be as many as its pairs.
 
 Classes are the connected components of the links, found by rounds of smallest labels with
 pointer jumping over stored tables.  Groups of any size are looked up by ``attach``.
@@ -45,9 +46,10 @@ N = 5
 THRESHOLD = (4, 5)
 RECALL = 0.9999
 MAX_HASHES = 300
-BLOCK_NODES = 128
+#: Nodes of a block, and the n-grams that they may have together on average.
+BLOCK_NODES, BLOCK_GRAMS = 512, 1 << 20
 #: Columns of the incidence matrix multiplied at once.
-COLUMNS = 1 << 14
+COLUMNS = 1 << 13
 
 
 def choose_bands(threshold: float, recall: float = RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -93,18 +95,18 @@ def set_key(s: np.ndarray) -> str | None:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """``(rid, doc_id, text_key, set_key, bands)`` per row."""
+    """``(rid, doc_id, text_key, set_key, size, bands)`` per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _constants(bands * rows)
         for batch in chunks(batches, 4 << 20):
             sets = [ngrams(t, n) for t in texts(batch, "text")]
-            cols = [*(batch.column(c) for c in ("rid", "doc_id", "text_key")), pa.array([set_key(s) for s in sets], pa.string()), pa.array([band_hashes(s, a, b, bands, rows) if len(s) else [] for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["rid", "doc_id", "text_key", "set_key", "bands"])
+            cols = [*(batch.column(c) for c in ("rid", "doc_id", "text_key")), pa.array([set_key(s) for s in sets], pa.string()), pa.array([len(s) for s in sets], pa.int64()), pa.array([band_hashes(s, a, b, bands, rows) if len(s) else [] for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["rid", "doc_id", "text_key", "set_key", "size", "bands"])
 
     kind = bare(docs, "doc_id").schema["doc_id"].dataType.simpleString()
     rows_ = bare(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
-    return rows_.mapInArrow(run, f"rid long, doc_id {kind}, text_key long, set_key string, bands array<long>")
+    return rows_.mapInArrow(run, f"rid long, doc_id {kind}, text_key long, set_key string, size long, bands array<long>")
 
 
 def gram_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -205,7 +207,7 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: tuple[int, int] = TH
     bands, rows = choose_bands(threshold[0] / threshold[1], recall)
     sig = stored(signatures(docs, n, bands, rows))
     some = sig.where("set_key is not null")
-    nodes = stored(some.groupBy("set_key").agg(F.min("rid").alias("node"), F.count(F.lit(1)).alias("n")))
+    nodes = stored(some.groupBy("set_key").agg(F.min("rid").alias("node"), F.count(F.lit(1)).alias("n"), F.max("size").alias("size")))
     members = sig.join(nodes.select("node"), sig["rid"] == F.col("node")).select("node", "doc_id", F.explode("bands").alias("band"))
 
     # candidates: nodes that share a band
@@ -213,11 +215,12 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: tuple[int, int] = TH
     n_nodes = nodes.count()
     met = stored(attach(members, buckets, ["band"], n_nodes * bands, F.struct("node", "band")).where("leader is not null").select("node", "doc_id", "band", "leader"))
     homes = met.groupBy("node").agg(F.min("leader").alias("hub"), F.first("doc_id").alias("doc_id"))
-    crowd = homes.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
-    homes = attach(homes, crowd, ["hub"], n_nodes, F.col("node")).withColumn("blocks", F.ceil(F.col("n") / BLOCK_NODES)).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks"))).drop("n")
+    homes = homes.join(nodes.select("node", "size", "set_key", F.col("n").alias("w")), "node")
+    crowd = homes.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("volume"))
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("volume") / BLOCK_GRAMS))
+    wanted = attach(homes, crowd, ["hub"], n_nodes, F.col("node")).withColumn("blocks", parts).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")))
 
     # their full sets
-    wanted = homes.join(nodes.withColumnRenamed("n", "w"), "node")
     texts_ = bare(docs, "doc_id", "text").join(wanted.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     full = gram_sets(texts_, n).groupBy("set_key").agg(F.min("grams").alias("grams"))
     sets = stored(wanted.join(full, "set_key").select("node", "w", "hub", "blk", "blocks", "grams"))
