@@ -45,17 +45,21 @@ def _letters() -> np.ndarray:
 
 
 def buckets_of(text: str, orders: int = ORDERS, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
-    """Buckets of the n-grams of a text, window by window.  Runs of other characters are one gap; grams that hold only a gap are left out."""
+    """Buckets of the n-grams of a text, window by window, each n-gram once.  Runs of other characters are one gap."""
     table = _letters()
+    carry, last = np.zeros(1, np.uint32), 0
     for lo in range(0, len(text), WINDOW):
-        x = table[codes(text[max(0, lo - 1) : lo + WINDOW + orders - 1])]
-        if not x.any():
-            continue
-        x = np.concatenate([[0], x, [0]]).astype(np.uint32) if lo == 0 else np.concatenate([x, [0]]).astype(np.uint32)
-        keep = x != 0
-        keep[1:] |= x[:-1] != 0  # the first of a gap stays
-        x = x[keep]
-        found = [grams(x[x != 0], 1)] + [grams(x, n) for n in range(2, orders + 1)]
+        y = table[codes(text[lo : lo + WINDOW])]
+        keep = y != 0
+        keep[1:] |= y[:-1] != 0  # the first of a gap stays
+        keep[0] |= last != 0
+        last = y[-1]
+        x = y[keep]
+        if last and lo + WINDOW >= len(text):
+            x = np.append(x, np.uint32(0))
+        cur = np.concatenate([carry, x])
+        found = [grams(x[x != 0], 1)] + [grams(cur[max(0, len(carry) - n + 1) :], n) for n in range(2, orders + 1)]
+        carry = cur[-(orders - 1) :]
         yield (np.concatenate(found) % np.uint64(buckets)).astype(np.int64)
 
 
