@@ -3,7 +3,7 @@
 Texts are folded to lower-case letters and digits with one gap between words.  A passage of
 ``n`` characters that occurs with at most ``k`` edits shares ``n - q + 1 - k q`` of its
 q-grams with its place in the text, on diagonals (text position minus passage position) that lie
-within ``k`` of each other.  Shared q-grams are counted per passage in diagonal bands of twice
+within ``k`` of each other.  Shared q-grams are counted per passage in diagonal bands of at least twice
 that width, each overlapping the next by half, so one band holds them all; bands that meet the
 bound are regions that may hold the passage, and a banded alignment decides: it is a leak if
 the whole passage aligns with at most ``k = EDITS * n`` edits.  Nothing within the budget is lost.
@@ -79,6 +79,9 @@ class Passages:
     item: np.ndarray
     pos: np.ndarray
     seen: np.ndarray
+    many: np.ndarray  # entries of each q-gram
+    shift: np.ndarray  # half a band of each passage is two to this power wide, over its budget
+    longest: int
 
 
 def index(items: list[tuple[int, str]], q: int = Q, edits: float = EDITS) -> Passages:
@@ -94,7 +97,9 @@ def index(items: list[tuple[int, str]], q: int = Q, edits: float = EDITS) -> Pas
     keys, first = np.unique(key[order], return_index=True)
     seen = np.zeros(1 << _BITS, bool)
     seen[(keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-    return Passages([i for i, _ in kept], [x for _, x in kept], budget, n - q + 1 - budget * q, keys, np.append(first, len(key)), item[order], pos[order], seen)
+    shift = np.ceil(np.log2(budget + 1)).astype(np.int32)
+    first = np.append(first, len(key)).astype(np.int32)
+    return Passages([i for i, _ in kept], [x for _, x in kept], budget, n - q + 1 - budget * q, keys, first, item[order].astype(np.int32), pos[order].astype(np.int32), seen, np.diff(first), shift, int(n.max(initial=0)))
 
 
 def _last_row(a: np.ndarray, b: np.ndarray, lo: int, hi: int, k: int) -> np.ndarray | None:
@@ -138,31 +143,36 @@ def leaks_in(x: np.ndarray, p: Passages, q: int = Q) -> list[tuple[int, int, int
     k[k == len(p.keys)] = 0
     hit = p.keys[k] == h[at]
     at, k = at[hit], k[hit]
-    many = p.first[k + 1] - p.first[k]
     if not len(at):
         return []
-    entry = np.repeat(p.first[k] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-    item, pos = p.item[entry], p.pos[entry]
-    # a passage with fewer hits than its bound anywhere can't be here
-    enough = np.bincount(item, minlength=len(p.ids)) >= p.bound
-    sure = enough[item]
-    item, pos, diag = item[sure], pos[sure], (np.repeat(at, many) - p.pos[entry])[sure]
-    width = p.budget[item] + 1
-    band = np.floor_divide(diag, width)
-    item, pos, band = np.concatenate([item, item]), np.concatenate([pos, pos]), np.concatenate([band, band - 1])
-    order = np.lexsort((pos, band, item))
-    item, pos, band = item[order], pos[order], band[order]
-    new = np.ones(len(item), bool)
-    new[1:] = (item[1:] != item[:-1]) | (band[1:] != band[:-1])
-    fresh = new.copy()
-    fresh[1:] |= pos[1:] != pos[:-1]
-    starts = np.flatnonzero(new)
-    counts = np.add.reduceat(fresh.astype(np.int64), starts) if len(starts) else np.empty(0, np.int64)
+    many = p.many[k]
+    ends = np.cumsum(many)
+    entry = np.repeat(p.first[k] - ends + many, many)
+    entry += np.arange(ends[-1], dtype=np.int32)
+    item = p.item[entry]
+    diag = np.repeat(at.astype(np.int32), many) - p.pos[entry]
+    # half bands, counted without telling equal q-grams apart: an upper bound of what two neighbours share
+    low = int(p.longest)
+    wide = ((len(x) + low) >> int(p.shift.min())) + 3
+    key = item * np.int64(wide) + ((diag + low) >> p.shift[item])
+    if wide * len(p.ids) <= 8 * len(key) + (1 << 20):
+        halves = np.bincount(key, minlength=wide * len(p.ids))
+        spots = np.flatnonzero(halves)
+        counts, beside = halves[spots], halves[np.minimum(spots + 1, len(halves) - 1)]
+    else:
+        spots, counts = np.unique(key, return_counts=True)
+        beside = np.where(np.append(spots[1:] == spots[:-1] + 1, False), np.append(counts[1:], 0), 0)
+    bound = p.bound[spots // wide]
+    bands = spots[counts + beside >= bound]
     out: list[tuple[int, int, int, int]] = []
-    for s in starts[counts >= p.bound[item[starts]]]:
-        i, w = int(item[s]), int(p.budget[item[s]]) + 1
-        lo = int(band[s]) * w
-        if out and out[-1][0] == i and lo + w >= out[-1][1] - w and lo <= out[-1][1] + w:
+    for spot in bands:
+        i = int(spot // wide)
+        w = 1 << int(p.shift[i])
+        lo = int(spot % wide) * w - low
+        mine = (key == spot) | (key == spot + 1)
+        if len(np.unique(p.pos[entry[mine]])) < p.bound[i]:
+            continue
+        if out and out[-1][0] == i and lo <= out[-1][1] <= lo + w:
             continue  # the neighbouring band has found this place
         got = aligned(p.texts[i], x, lo, lo + 2 * w - 1, int(p.budget[i]))
         if got:
@@ -173,7 +183,7 @@ def leaks_in(x: np.ndarray, p: Passages, q: int = Q) -> list[tuple[int, int, int
 def find(text: str, p: Passages, q: int = Q) -> list[tuple[int, int, int, int]]:
     """``(item_id, start, end, edits)`` of all leaks in a text, offsets in code points."""
     x, at = folded(text)
-    reach = 2 * max((len(t) for t in p.texts), default=0)
+    reach = 2 * p.longest
     out = set()
     for lo in range(0, max(1, len(x)), WINDOW):
         for i, a, b, e in leaks_in(x[lo : lo + WINDOW + reach], p, q):
