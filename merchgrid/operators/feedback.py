@@ -257,6 +257,12 @@ def replay_summary(decisions: DataFrame, changes: DataFrame, items: list[Proposa
 # -- runs and iterations ------------------------------------------------------------
 
 
+def mark_feedback(scores: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Scores with ``in_feedback``: the handle was rejected or edited by a reviewer."""
+    marked = feedback.where(F.col("disposition").isin("rejected", "edited")).select("handle").distinct().withColumn("in_feedback", F.lit(True))
+    return scores.drop("in_feedback").join(marked, "handle", "left").fillna({"in_feedback": False})
+
+
 def iteration_results(scores: DataFrame) -> DataFrame:
     """Axis means, feedback-weighted mean and maximum per iteration.
 

@@ -225,26 +225,36 @@ def truncated(c: Column, limit: int) -> Column:
     return F.when(F.length(c) > limit, F.concat(F.left(c, F.lit(limit - 3)), F.lit("..."))).otherwise(c)
 
 
-def fallback_html(blocks: Column, bullets: Column, specs: Column) -> Column:
-    """Plain description from facts; null without any."""
-    intro = F.when(F.size(blocks) > 0, F.concat(F.lit("<p>"), escape_html(truncated(F.get(blocks, F.lit(0)), 500)), F.lit("</p>")))
-    items = F.transform(F.slice(bullets, 1, 6), lambda b: F.concat(F.lit("<li>"), escape_html(truncated(b, 100)), F.lit("</li>")))
+def fallback_html(blocks: Column, bullets: Column, specs: Column, chars: int = 500, items_: int = 6, item_chars: int = 100, rows_: int = 8) -> Column:
+    """Plain description from facts; null without any.
+
+    The format is a short draft: the first block up to ``chars`` characters, ``items_`` features of ``item_chars``, ``rows_`` specifications.
+    """
+    intro = F.when(F.size(blocks) > 0, F.concat(F.lit("<p>"), escape_html(truncated(F.get(blocks, F.lit(0)), chars)), F.lit("</p>")))
+    items = F.transform(F.slice(bullets, 1, items_), lambda b: F.concat(F.lit("<li>"), escape_html(truncated(b, item_chars)), F.lit("</li>")))
     features = F.when(F.size(bullets) > 0, F.concat(F.lit("<h3>Features</h3>\n<ul>\n"), F.array_join(items, "\n"), F.lit("\n</ul>")))
     rows = F.transform(
-        F.slice(F.map_entries(specs), 1, 8),
+        F.slice(F.map_entries(specs), 1, rows_),
         lambda e: F.concat(F.lit("<tr><td>"), escape_html(e["key"]), F.lit("</td><td>"), escape_html(e["value"]), F.lit("</td></tr>")))
     table = F.when(F.size(specs) > 0, F.concat(F.lit("<h3>Specifications</h3>\n<table>\n"), F.array_join(rows, "\n"), F.lit("\n</table>")))
     return F.nullif(F.concat_ws("\n", intro, features, table), F.lit(""))
 
 
-def prompt_facts(facts: DataFrame) -> DataFrame:
-    """Facts without rating noise and body measures, capped at 3/6/10."""
+def scoring_inputs(outputs: DataFrame, facts: DataFrame, verifications: DataFrame) -> DataFrame:
+    """What ``output_quality`` reads, joined from artifacts (J16): outputs with a body and facts, verified or not."""
+    body = outputs.where(text(F.col("body_html")) != "").select("handle", "body_html")
+    return body.join(facts, "handle").join(verifications.select("handle", "verdict", "n_supported", "n_unsupported", "n_embellished"), "handle", "left")
+
+
+def prompt_facts(facts: DataFrame, blocks: int | None = None, bullets: int | None = None, specs: int | None = None) -> DataFrame:
+    """Facts without rating noise and body measures (P23); the numbers bound what a prompt holds, by default nothing."""
+    few = lambda c, n: c if n is None else F.slice(c, 1, n)
     clean = lambda c: strip(F.regexp_replace(F.regexp_replace(c, r"\d+\.?\d*\(\d+\)\d+\s*total reviews?", ""), r"\d+\.?\d*\s*out of \d+\s*stars?", ""))
-    first_specs = F.map_from_entries(F.slice(F.map_entries("specs"), 1, 10))
+    first_specs = F.map_from_entries(few(F.map_entries("specs"), specs))
     return facts.withColumns({
         "product_name": clean(text(F.col("product_name"))),
-        "blocks": F.filter(F.transform(F.slice("blocks", 1, 3), clean), lambda b: b != ""),
-        "bullets": F.slice("bullets", 1, 6),
+        "blocks": F.filter(F.transform(few(F.col("blocks"), blocks), clean), lambda b: b != ""),
+        "bullets": few(F.col("bullets"), bullets),
         "specs": F.map_filter(first_specs, lambda k, v: ~contains_any(F.lower(k), rules.MEASURE_KEYS)),
     })
 

@@ -23,6 +23,18 @@ def change_plan(changes: DataFrame) -> DataFrame:
         "handle", ((strip(body) != "") & (body != text(F.col("current_body_html")))).alias("body_changed"), *[c.alias(n) for n, c in d.items()])
 
 
+def artifact_changes(outputs: DataFrame, selected: DataFrame, products: DataFrame) -> DataFrame:
+    """Review changes from run artifacts and the store.
+
+    ``outputs(handle, body_html, source_url, images)``, ``selected(handle, selected_url)``, ``products(handle, title,
+    vendor, body_html)``.  Unknown handles are skipped; an output without a source takes the selected URL.
+    """
+    store = products.select("handle", "title", "vendor", F.col("body_html").alias("current_body_html"))
+    url = selected.select("handle", F.col("selected_url").alias("_url"))
+    rows = outputs.join(store, "handle").join(url, "handle", "left")
+    return rows.select("handle", "title", "vendor", "current_body_html", F.col("body_html").alias("new_body_html"), "images", F.coalesce(F.nullif("source_url", F.lit("")), "_url").alias("source_url"))
+
+
 def review_rows(changes: DataFrame) -> DataFrame:
     """Reviewable changes with a confidence class and missing-field flags."""
     has_body, has_images = strip(text(F.col("new_body_html"))) != "", F.size("new_images") > 0

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from merchgrid.plans import catalog, content, core, matching, review
+from merchgrid.plans import catalog, content, core, matching, reports, review
 
-MODULES = [core, catalog, matching, content, review]
+MODULES = [core, catalog, matching, content, review, reports]
 
 
 def queries() -> dict:

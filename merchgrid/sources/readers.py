@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,8 +26,8 @@ def parse_bool(c: Column) -> Column:
     return F.lower(strip(text(c))).isin(TRUE_WORDS)
 
 
-def read_input(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
-    """Work CSV by header names (S7). Rows without a handle or vendor, or with an unreadable score, are dropped."""
+def read_input(spark: SparkSession, path: str, rejected: bool = False) -> DataFrame:
+    """Work CSV by header names (S7). Rows without a handle or vendor, or with an unreadable score, are left out; ``rejected`` returns those instead."""
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")
     raw = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
     missing = [c for c in REQUIRED_INPUT if c not in raw.columns]
@@ -47,8 +46,7 @@ def read_input(spark: SparkSession, path: str, max_rows: int | None = None) -> D
             out.append(score.try_cast("double").alias(name))
         else:
             out.append((text(col(src)) if name == "gaps" else col(src)).alias(name))
-    rows = raw.where(ok).select(*out)
-    return rows.limit(max_rows) if max_rows else rows
+    return raw.where(~F.coalesce(ok, F.lit(False)) if rejected else ok).select(*out)
 
 
 def vendor_counts(rows: DataFrame) -> DataFrame:
@@ -86,9 +84,10 @@ DECISION_SCHEMA = (
 
 
 def read_decisions(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Decision log (S11) as analysis input: malformed lines are dropped, or fail when ``strict``.
+    """Decision log (S11) as analysis input: malformed lines are left out (``rejected_lines`` returns them), or fail when ``strict``.
 
-    Both candidate shapes are folded into one, accepted is spelt ``accept``, and the
+    The id of a decision is its handle, time and a digest of the whole record, so two records
+    of one handle differ unless they are the same.  Both candidate shapes are folded into one, accepted is spelt ``accept``, and the
     numeric fields become a metrics map.
     """
     mode = "FAILFAST" if strict else "DROPMALFORMED"
@@ -101,12 +100,18 @@ def read_decisions(spark: SparkSession, path: str, strict: bool = False) -> Data
         F.map_filter(F.create_map(F.lit("title_similarity"), c["title_similarity"], F.lit("word_overlap"), c["word_overlap"]), lambda k, v: v.isNotNull()).alias("metrics"),
         F.coalesce(c["penalties"], F.create_map().cast("map<string,double>")).alias("penalties"), c["rescore_reasoning"].alias("rescore_reasoning"), c["signals"].alias("signals")))
     return raw.select(
-        F.concat_ws("#", "handle", F.coalesce(F.col("timestamp").cast("string"), F.xxhash64("handle", "outcome").cast("string"))).alias("decision_id"),
+        F.concat_ws("#", "handle", F.coalesce(F.col("timestamp").cast("string"), F.lit("")), F.sha2(F.to_json(F.struct(*raw.columns)), 256)).alias("decision_id"),
         "handle", text(F.col("vendor")).alias("vendor"), text(F.col("catalog_title")).alias("catalog_title"), F.col("timestamp").alias("ts"), "outcome", "final_url",
         F.coalesce("type_words", F.array().cast("array<string>")).alias("type_words"), tried.alias("candidates_tried"),
         F.transform(F.coalesce("resolver_candidates", F.array().cast(raw.schema["resolver_candidates"].dataType)), lambda c: c["url"]).alias("resolver_candidates"))
 
 
+def rejected_lines(spark: SparkSession, path: str, schema: str = DECISION_SCHEMA) -> DataFrame:
+    """``(file, line)`` of the lines of a JSON-lines log that a reader with ``schema`` leaves out."""
+    raw = spark.read.schema(schema + ", _bad string").option("recursiveFileLookup", "true").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
+    return raw.select(F.col("_metadata.file_path").alias("file"), "handle", "_bad").where("_bad is not null or handle is null").select("file", F.col("_bad").alias("line"))
+
+
 def read_artifacts(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
     """``<root>/<handle>/<name>`` JSON files, unreadable ones dropped; the handle is the folder."""
     raw = spark.read.schema(schema + ", _bad string").json(f"{root}/*/{name}", multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
@@ -138,7 +143,7 @@ VENDOR_DEFAULTS = {
 
 def read_vendors(spark: SparkSession, path: str) -> DataFrame:
     """Vendor dimension from one small JSON or YAML configuration file."""
-    body = Path(path).read_text(encoding="utf-8")
+    body = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())  # one small file, from any store
     if path.endswith((".yaml", ".yml")):
         import yaml  # optional dependency
 

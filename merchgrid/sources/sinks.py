@@ -125,13 +125,13 @@ def replace_queue(queue: DataFrame, path: str) -> None:
 
 
 def append_decisions(decisions: DataFrame, path: str, run_id: str) -> None:
-    """Append decision records of a run as JSON lines."""
-    decisions.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").json(path)
+    """Decision records of a run as JSON lines (K12); a repeated run replaces its own records only."""
+    write_run_json(decisions.withColumn("run_id", F.lit(run_id)), path)
 
 
 def write_run_json(df: DataFrame, path: str, run_column: str = "run_id") -> None:
-    """Feedback, manifests, scores and artifacts by run."""
-    df.write.mode("append").partitionBy(run_column).json(path)
+    """Feedback, manifests, scores and artifacts by run (K13): the partitions of the runs in ``df`` are replaced, others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run_column).json(path)
 
 
 def run_report(results: DataFrame) -> DataFrame:

@@ -174,3 +174,39 @@ def test_streams_equal_batches(spark, tmp_path):
     batch = J.outcome_counts(spark.read.schema(S.DECISION_SCHEMA).json(str(tmp_path / "log")))
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(spark.table("counted")) == rows(batch)
+
+
+def test_a_repeated_run_replaces_its_rows(spark, tmp_path):
+    from merchgrid.sources import sinks
+
+    path = str(tmp_path / "log")
+    df = spark.createDataFrame([("a", "accept"), ("b", "no_match")], "handle string, outcome string")
+    for run in ("r1", "r2", "r1"):
+        sinks.append_decisions(df, path, run)
+    assert spark.read.json(path).count() == 4
+    scores = spark.createDataFrame([("r1", 1), ("r2", 2)], "run_id string, score int")
+    for _ in range(2):
+        sinks.write_run_json(scores, str(tmp_path / "scores"))
+    assert spark.read.json(str(tmp_path / "scores")).count() == 2
+
+
+def test_records_of_one_handle_have_ids_of_their_own(spark, tmp_path):
+    (tmp_path / "d.jsonl").write_text('{"handle": "h", "outcome": "no_match", "retries": 1}\n{"handle": "h", "outcome": "no_match", "retries": 2}\nnot json\n{"outcome": "x"}\n', encoding="utf-8")
+    d = S.read_decisions(spark, str(tmp_path))
+    assert d.select("decision_id").distinct().count() == 2
+    assert S.rejected_lines(spark, str(tmp_path)).count() == 2
+
+
+def test_rejected_input_rows_are_counted(spark, tmp_path):
+    (tmp_path / "i.csv").write_text("Product Handle,Vendor,Has Image,Has Variant Images,Has Description,Priority Score\na,V,yes,no,yes,1\n,V,yes,no,yes,1\nb,V,yes,no,yes,oops\n", encoding="utf-8")
+    assert [r.handle for r in S.read_input(spark, str(tmp_path / "i.csv")).collect()] == ["a"]
+    assert S.read_input(spark, str(tmp_path / "i.csv"), rejected=True).count() == 2
+
+
+def test_blank_barcodes_stay_out_of_the_join(spark):
+    from merchgrid.operators.images import with_catalog_image
+
+    v = spark.createDataFrame([(i, "" if i % 2 else f"{i}") for i in range(100)], "variant_id long, barcode string")
+    items = spark.createDataFrame([("2", "https://x/2.jpg"), ("", "https://x/no.jpg")], "barcode string, image_url string")
+    out = with_catalog_image(v, items)
+    assert out.count() == 100 and [r.variant_id for r in out.where("catalog_image is not null").collect()] == [2]
