@@ -6,6 +6,8 @@ element list (operators/pages.py).
 
 from __future__ import annotations
 
+import json
+import re
 import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -83,18 +85,44 @@ class _Elements(HTMLParser):
         return sorted(self.done, key=lambda e: e["ord"])
 
 
-def elements_of(html: str | None) -> list[dict]:
-    """Elements of one page; broken markup yields what was read so far."""
-    parser = _Elements()
+def store_product(script: str) -> str | None:
+    """Text of the first product object with a list of variants inside a script.
+
+    Objects are decoded where they begin: behind ``meta =`` (its ``product``), or at the
+    brace that opens just before a ``variants`` list.
+    """
+    if "variants" not in script:
+        return None
+    starts = [(m.end() - 1, True) for m in re.finditer(r"\bmeta\s*=\s*\{", script)]
+    starts += [(m.start(), False) for m in re.finditer(r'\{[^{}]*"variants"\s*:\s*\[', script)]
+    for at, wrapped in starts:
+        try:
+            found = json.JSONDecoder().raw_decode(script, at)[0]
+        except ValueError:
+            continue
+        product = found.get("product") if wrapped else found
+        if isinstance(product, dict) and isinstance(product.get("variants"), list):
+            return json.dumps(product)
+    return None
+
+
+def elements_of(html: str | None) -> tuple[list[dict], str | None]:
+    """Elements of one page, and what stopped the parser, if anything did: then they end where it stopped."""
+    parser, error = _Elements(), None
     try:
         parser.feed(html or "")
         parser.close()
-    except Exception:  # noqa: BLE001 - a malformed page must not fail the job
-        pass
-    return parser.result()
+    except Exception as e:  # noqa: BLE001 - a malformed page must not fail the job; the row tells of it
+        error = f"{type(e).__name__}: {e}"
+    out = parser.result()
+    for e in out:
+        if e["tag"] == "script" and (product := store_product(e["text"])):
+            e["attrs"]["store_product"] = product
+    return out, error
 
 
 def parse_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """mapInPandas body: the page columns with ``html`` replaced by ``elements``."""
+    """mapInPandas body: the page columns with ``html`` replaced by ``elements`` and ``parse_error``."""
     for pdf in batches:
-        yield pdf.drop(columns="html").assign(elements=[elements_of(h) for h in pdf["html"]])
+        found = [elements_of(h) for h in pdf["html"]]
+        yield pdf.drop(columns="html").assign(elements=[f[0] for f in found], parse_error=[f[1] for f in found])

@@ -149,3 +149,29 @@ def test_variant_order(spark):
     assert {r.product_id: r.verdict for r in V.order_check(df).collect()} == {1: "sorted", 2: "violation", 3: "sorted", 5: "no_position_data"}
     got = {r.variant_id: (r.actual_place, r.expected_place) for r in V.order_rows(df).collect()}
     assert got == {10: (1, 1), 11: (2, 3), 12: (3, 2)}
+
+
+def _page(spark, body):
+    from merchgrid.operators import pages as P
+
+    return P.extract(spark.createDataFrame([(1, "https://s.example.com/p/x", f"<html><body>{body}</body></html>")], "page_id long, url string, html string")).first()
+
+
+def test_store_product_inside_a_script(spark):
+    r = _page(spark, """<h1>Name</h1><script>var meta = {"product": {"options": ["Size", "Color"], "variants": [
+        {"option1": "S", "option2": "Red", "featured_image": {"src": "/a.jpg"}}, {"option1": "M", "option2": "Red", "image": "/b.jpg"}, {"option1": "S", "option2": "Blue {x}", "featured_image": null}]}};
+        </script>""")
+    assert (r.colors, r.sizes, r.parse_error) == (["Red", "Blue {x}"], ["S", "M"], None)
+    assert r.variant_image_candidates == {"Red": ["https://s.example.com/a.jpg", "https://s.example.com/b.jpg"]}
+    r = _page(spark, '<script>x = 1; window.data = {"id": 1, "variants": [{"option1": "Teal", "option2": "10"}]}; f({"variants": 3});</script>')
+    assert (r.colors, r.sizes) == (["Teal"], ["10"])
+
+
+def test_offer_images_by_colour(spark):
+    r = _page(spark, """<script type="application/ld+json">{"@type": "Product", "name": "N", "offers": [{"name": "N - L / black", "image": "/k.jpg"}, {"name": "N - M / black", "image": "/k.jpg"}, {"name": "N - M / red"}]}</script>""")
+    assert (r.colors, r.sizes) == (["black", "red"], ["L", "M"]) and r.variant_image_candidates == {"black": ["https://s.example.com/k.jpg"]}
+
+
+def test_no_block_or_bullet_is_cut(spark):
+    r = _page(spark, "<main>" + "".join(f"<p>This is paragraph number {i} of a long page.</p>" for i in range(40)) + "<ul>" + "".join(f"<li>a feature that is number {i} and long enough to stay</li>" for i in range(30)) + "</ul></main>")
+    assert len(r.description_blocks) == 40 and len(r.feature_bullets) == 30
