@@ -91,9 +91,9 @@ def assign_images(images: DataFrame, options: DataFrame) -> DataFrame:
     first = labelled.groupBy("product_id", F.col("label").alias("option")).agg(F.min(F.struct("ord", "url")).alias("i"))
     done = first.select("product_id", "option", "i.url", F.lit("label").alias("via"))
     # Images that lost their label's colour do not come back: only unlabelled ones are described.
-    free = images.where("label is null and description is not null").select(
+    free = durable(images.where("label is null and description is not null").select(
         "product_id", "ord", "url", description_words(F.col("description")).alias("words")
-    )
+    ))
     open_options = options.join(done.select("product_id", "option"), ["product_id", "option"], "left_anti")
     state = durable(
         open_options.groupBy("product_id").agg(

@@ -12,6 +12,7 @@ from merchgrid.functions.ranking import top_k
 from merchgrid.functions.setsim import prefixes, set_id, token_frequency
 from merchgrid.functions.similarity import any_homonym, sequence_ratio
 from merchgrid.rules import matching as rules
+from merchgrid.session import durable
 
 
 def lits(words: list[str]) -> Column:
@@ -458,9 +459,9 @@ def title_join(left: DataFrame, right: DataFrame, threshold: float = 0.3) -> Dat
     pair everything.  Every surviving pair is verified on the whole sets.
     """
     words = lambda c: F.array_sort(F.array_except(tokens(F.col(c)), lits(rules.CATALOG_FILLER)))
-    lset = left.withColumn("words", words("title")).where(F.size("words") > 0).withColumn("sid", set_id(F.col("words")))
+    lset = durable(left.withColumn("words", words("title")).where(F.size("words") > 0).withColumn("sid", set_id(F.col("words"))))
     lsets = lset.groupBy("domain", "sid").agg(F.any_value("words").alias("words"))
-    rsets = (
+    rsets = durable(
         right.withColumn("rwords", words("other_title")).where(F.size("rwords") > 0)
         .groupBy("domain", set_id(F.col("rwords")).alias("rid")).agg(F.any_value("rwords").alias("rwords"), F.min("other_id").alias("other_id"))
     )

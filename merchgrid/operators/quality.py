@@ -10,6 +10,7 @@ from merchgrid.functions.ranking import top_k
 from merchgrid.functions.setsim import prefixes, set_id, token_frequency
 from merchgrid.functions.urls import image_reject_reason
 from merchgrid.rules import quality as rules
+from merchgrid.session import durable
 
 BOILERPLATE_RE = "(?i)(?:" + ")|(?:".join(rules.BOILERPLATE) + ")"
 
@@ -119,7 +120,8 @@ def near_duplicate_counts(lines: DataFrame, key: str, threshold: float = 0.7) ->
     block of n copies adds n(n-1)/2 without listing a pair; different sets meet through
     their rare words only, and every surviving pair is verified on the whole sets.
     """
-    sets = (
+    # seven steps read the sets: they are built once and written
+    sets = durable(
         lines.select(key, F.array_sort(F.array_distinct(words(F.lower("line")))).alias("s")).where(F.size("s") > 0)
         .groupBy(key, set_id(F.col("s")).alias("sid")).agg(F.count(F.lit(1)).alias("n"), F.any_value("s").alias("s"))
     )
@@ -147,7 +149,8 @@ def ngrams(lines: Column, n: int = 6) -> Column:
 
 def shared_ngrams(blocks: Column, bullets: Column) -> Column:
     """Distinct 6-grams that occur in a block and in a bullet."""
-    return F.size(F.array_intersect(ngrams(blocks), ngrams(bullets)))
+    both = (F.size(blocks) > 0) & (F.size(bullets) > 0)
+    return F.when(both, F.size(F.array_intersect(ngrams(blocks), ngrams(bullets)))).otherwise(0)
 
 
 # -- fact score (M23) -----------------------------------------------------------

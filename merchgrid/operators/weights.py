@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from merchgrid.functions.common import ratio
 from merchgrid.operators.audit import WEIGHT_BOUNDS, Weights, priority
+from merchgrid.session import durable
 
 
 def _composite(vl: Column, vc: Column, ic: Column, ta: Column) -> Column:
@@ -65,11 +66,12 @@ def sweep(scores: DataFrame, grid: list[tuple[int, Weights]], top_n: int = 50) -
     vectors = F.array(*[
         F.struct(F.lit(i).alias("weight_id"), *[F.lit(v).alias(k) for k, v in asdict(w).items()]) for i, w in grid
     ])
-    slim = scores.select(
+    # totals and the top rows read the same snapshot: the audit is planned and run once
+    slim = durable(scores.select(
         "product_id", "vendor", "variants_missing_images", "variant_count", "inventory_value", "full_price_inventory_value",
         "online_sessions", "opportunity_gap", "listing_impressions", "discovery_gap", "listing_disapproved",
         "has_product_image", "has_all_variant_images", "has_description", "has_product_type", "has_tags",
-    )
+    ))
     wide = slim.select("*", F.explode(vectors).alias("w")).select(
         "product_id", "vendor", "variants_missing_images", "inventory_value", "online_sessions", "listing_impressions",
         F.col("w.weight_id").alias("weight_id"), priority({k: F.col(f"w.{k}") for k in asdict(Weights())}).alias("p"),
