@@ -31,6 +31,8 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +47,7 @@ OWN = LEAVES - WIDE * WIDE
 #: Tokens whose counts are broadcast.
 FREQUENT = 1 << 17
 #: Distinct tokens that a task counts before it hands them on.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 #: Rows of the weight table of each (level, feature); a power of two.
 ROWS = 1 << 13
 ROUNDS = 3
@@ -53,8 +55,8 @@ BATCH = 1 << 15
 RATE = 2.0
 #: History features of each level: word before, the one before it, both.
 FEATURES = (("prev", "skip", "both"), ("prev", "skip"), ("prev",))
-#: A text is scored in pieces of so many tokens.
-PIECE = 1 << 17
+#: Tokens scored in one numpy step.
+PIECE = 1 << 15
 END = b""
 
 
@@ -101,6 +103,19 @@ class Lexicon:
     leaf_count: np.ndarray  # tokens and distinct tokens of the shared leaves
     leaf_distinct: np.ndarray
 
+    @cached_property
+    def place(self) -> dict[bytes, int]:
+        """Row of each frequent token in the two arrays below."""
+        return {t: i for i, t in enumerate(self.count)}
+
+    @cached_property
+    def leaves(self) -> np.ndarray:
+        return np.array([self.own[t] if t in self.own else leaf_of(t) for t in self.count], np.int64)
+
+    @cached_property
+    def log_counts(self) -> np.ndarray:
+        return np.log10(np.fromiter(self.count.values(), float, len(self.count)) + 1)
+
 
 def lexicon(counts: DataFrame) -> Lexicon:
     total, distinct = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
@@ -208,18 +223,37 @@ def gradient_step(w: np.ndarray, used: np.ndarray, leaf: np.ndarray, prev: np.nd
             w[row] += (rate * np.add.reduceat(p[order], starts, axis=0) / np.sqrt(used[row] * n + 4.0)[:, None]).astype(np.float32)
 
 
-def encoded(lex: Lexicon, text: str) -> tuple[list[bytes], np.ndarray]:
-    """Tokens of a text and their leaves."""
-    words = tokens(text)
-    own = lex.own
-    return words, np.fromiter((own[t] if t in own else leaf_of(t) for t in words), np.int64, len(words))
-
-
-def histories(leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two leaves before each token of one text; before its start stands the end."""
+@dataclass
+class Encoded:
+    """Tokens of several texts, one after the other."""
+
+    words: list[bytes]
+    size: np.ndarray  # tokens of each text
+    place: np.ndarray  # row of each frequent token, -1 for the others
+    leaf: np.ndarray
+    prev: np.ndarray
+    skip: np.ndarray
+
+
+def encoded(lex: Lexicon, several: list[str]) -> Encoded:
+    words: list[bytes] = []
+    size = []
+    for t in several:
+        before = len(words)
+        words += tokens(t)
+        size.append(len(words) - before)
+    size = np.array(size, np.int64)
+    place = np.array(list(map(lex.place.get, words, repeat(-1))), np.int64)
+    leaf = lex.leaves[place] if len(lex.leaves) else np.zeros(len(words), np.int64)
+    for i in np.flatnonzero(place < 0):
+        leaf[i] = lex.own[words[i]] if words[i] in lex.own else leaf_of(words[i])
+    # before the start of a text stands the end, as it does behind the text before
     prev, skip = np.zeros_like(leaf), np.zeros_like(leaf)
     prev[1:], skip[2:] = leaf[:-1], leaf[:-2]
-    return prev, skip
+    starts = np.cumsum(size) - size
+    prev[starts] = 0
+    skip[starts] = 0
+    return Encoded(words, size, place, leaf, prev, skip)
 
 
 def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> np.ndarray:
@@ -235,24 +269,10 @@ def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> np.ndarray:
             first = sent.value
             mine, used = first.copy(), np.zeros(len(first))
             known = lexed.value
-            wait: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            held = 0
-
-            def learn() -> None:
-                leaf, prev, skip = (np.concatenate(x) for x in zip(*wait, strict=True))
-                for lo in range(0, len(leaf), BATCH):
-                    gradient_step(mine, used, leaf[lo : lo + BATCH], prev[lo : lo + BATCH], skip[lo : lo + BATCH])
-
-            for b in chunks(batches, 4 << 20):
-                for t in texts(b, "text"):
-                    leaf = encoded(known, t)[1]
-                    wait.append((leaf, *histories(leaf)))
-                    held += len(leaf)
-                    if held >= BATCH:
-                        learn()
-                        wait, held = [], 0
-            if wait:
-                learn()
+            for b in chunks(batches, 1 << 20):
+                e = encoded(known, texts(b, "text"))
+                for lo in range(0, len(e.leaf), BATCH):
+                    gradient_step(mine, used, e.leaf[lo : lo + BATCH], e.prev[lo : lo + BATCH], e.skip[lo : lo + BATCH])
             rows = np.flatnonzero(used)
             moved = (mine[rows] - first[rows]) * used[rows, None]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(used[rows]), *(pa.array(moved[:, j].astype(np.float32)) for j in range(WIDE))], names=["row", "used", *(f"g{j}" for j in range(WIDE))])
@@ -278,26 +298,25 @@ def score(docs: DataFrame, learn: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, weights = lexed.value, sent.value
-        log_count = {t: math.log10(c + 1) for t, c in known.count.items()}
         in_leaf = np.log10(known.leaf_count + known.leaf_distinct + 1)
         norm = math.log10(known.total + known.distinct + 1)
-        for b in chunks(batches, 4 << 20):
-            n_tokens, n_known, base, model, rare = [], [], [], [], []
-            for t in texts(b, "text"):
-                words, leaf = encoded(known, t)
-                prev, skip = histories(leaf)
-                logs = list(map(log_count.get, words))
-                rest = [x for x, y in zip(words, logs, strict=True) if y is None]
-                have = np.array([0.0 if y is None else y for y in logs])
-                shared = leaf >= OWN
-                s = sum(log_leaf(weights, leaf[k : k + PIECE], prev[k : k + PIECE], skip[k : k + PIECE]).sum() for k in range(0, len(leaf), PIECE)) / math.log(10)
-                # a shared leaf gives its tokens their smoothed share of its count; rare ones get theirs by the join
-                s += have[shared].sum() - in_leaf[leaf[shared] - OWN].sum()
-                n_tokens.append(len(words))
-                n_known.append(len(words) - len(rest))
-                base.append(have.sum() - len(words) * norm)
-                model.append(float(s) if known.total else 0.0)
-                rare.append(rest)
+        for b in chunks(batches, 1 << 20):
+            e = encoded(known, texts(b, "text"))
+            logs = np.concatenate([log_leaf(weights, e.leaf[k : k + PIECE], e.prev[k : k + PIECE], e.skip[k : k + PIECE]) for k in range(0, len(e.leaf), PIECE)]) / math.log(10)
+            frequent = e.place >= 0
+            have = np.where(frequent, known.log_counts[e.place], 0.0) if len(known.log_counts) else np.zeros(len(e.leaf))
+            # a shared leaf gives its tokens their smoothed share of its count; rare ones get theirs by the join
+            shared = e.leaf >= OWN
+            logs[shared] += have[shared] - in_leaf[e.leaf[shared] - OWN]
+            ends = np.cumsum(e.size)
+            starts = ends - e.size
+            n_tokens = e.size
+            n_known = np.add.reduceat(frequent.astype(np.int64), starts)
+            base = np.add.reduceat(have, starts) - e.size * norm
+            model = np.add.reduceat(logs, starts) if known.total else np.zeros(len(e.size))
+            spots = np.flatnonzero(~frequent)
+            cut = np.searchsorted(spots, np.append(starts, len(e.leaf)))
+            rare = [[e.words[i] for i in spots[cut[k] : cut[k + 1]]] for k in range(len(e.size))]
             cols = [b.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), pa.array(rare, pa.list_(pa.binary()))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "n_known", "base", "model", "rare"])
 

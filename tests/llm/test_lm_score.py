@@ -53,10 +53,19 @@ def test_probabilities_add_up_and_learn():
     for prev, skip in ((0, 0), (1, 2), (4000, 17)):
         assert np.exp(lm.log_leaf(w, leaf, np.full(lm.LEAVES, prev), np.full(lm.LEAVES, skip))).sum() == pytest.approx(1, abs=1e-4)
     text = np.array([1, 2] * 2000 + [0])
-    h = lm.histories(text)
+    h = (np.concatenate([[0], text[:-1]]), np.concatenate([[0, 0], text[:-2]]))
     before = lm.log_leaf(w, text, *h).sum()
     used = np.zeros(len(w))
     for _ in range(10):
         lm.gradient_step(w, used, text, *h)
     assert lm.log_leaf(w, text, *h).sum() > before / 2
     assert np.exp(lm.log_leaf(w, leaf, np.full(lm.LEAVES, 1), np.full(lm.LEAVES, 2))).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_texts_in_a_row_keep_their_own_histories():
+    lex = lm.Lexicon(10, 3, {b"": 4, b"a": 3, b"b": 3}, {b"": 0, b"a": 1, b"b": 2}, np.zeros(256), np.zeros(256))
+    both = lm.encoded(lex, ["a b zz", "", "b"])
+    apart = [lm.encoded(lex, [t]) for t in ("a b zz", "", "b")]
+    for name in ("leaf", "prev", "skip", "place", "size"):
+        assert np.array_equal(getattr(both, name), np.concatenate([getattr(x, name) for x in apart])), name
+    assert both.leaf[2] == lm.leaf_of(b"zz") >= lm.OWN
