@@ -18,6 +18,10 @@ def quarter(c):
     return F.floor(c * 4 + 0.5) / 4
 
 
+# Tables that feed expensive per-row work, and the key by which ``spark.merchgrid.scan.partitions`` deals them out.  That
+# setting is for a session over a few files of one row group; a table of many splits needs none, and by default there is none.
+DEALT = {"part": "p_partkey", "documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
 COLORS = ["Red", "Navy Blue", "Matte Black / Polarized Gray", "Forest Green", "grey heather", "Off White"]
 PAGE_COLORS = ["red", "Navy Blue", "Matte Black | Polarized Gray", "Forest", "Heather Grey", "Forest Green - New", "Off", "Grey Heather"]
 SIZES = ["S", "M", "L", "XL", "XXS", "10.5", "32", "One Size"]
@@ -35,7 +39,9 @@ class Tables:
         """A driver table; the footer is read once per instance."""
         if name not in self._raw:
             path = f"{self.sf_dir}/{name}.parquet"
-            self._raw[name] = self.spark.read.parquet(path)
+            df = self.spark.read.parquet(path)
+            dealt = self.spark.conf.get("spark.merchgrid.scan.partitions", None)
+            self._raw[name] = df.repartition(int(dealt), DEALT[name]) if dealt and name in DEALT else df
         return self._raw[name]
 
     # -- scalars -----------------------------------------------------------

@@ -17,8 +17,7 @@ def local_session(cores: str = "8", app: str = "merchgrid") -> SparkSession:
         .config("spark.sql.shuffle.partitions", n)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.files.minPartitionNum", n)
-        .config("spark.sql.files.openCostInBytes", "65536")  # small tables are read in as many splits as there are cores
+        .config("spark.merchgrid.scan.partitions", n)  # local tables are single row groups, which a scan can't split
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("MERCHGRID_DRIVER_MEMORY", "12g"))
         .config("spark.checkpoint.dir", os.environ.get("MERCHGRID_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="merchgrid-ckpt-"))
