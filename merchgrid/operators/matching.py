@@ -11,6 +11,7 @@ from merchgrid.functions.common import add_all, any_of, clamp, contains_any, fla
 from merchgrid.functions.ranking import top_k
 from merchgrid.functions.setsim import prefixes, set_id, token_frequency
 from merchgrid.functions.similarity import any_homonym, sequence_ratio
+from merchgrid.operators.images import with_catalog_image
 from merchgrid.rules import matching as rules
 from merchgrid.session import durable
 
@@ -450,6 +451,32 @@ def cross_reference(rows: DataFrame, similarity=sequence_ratio) -> DataFrame:
     )).drop("_r")
 
 
+def catalog_cross_check(rows: DataFrame, variants: DataFrame, products: DataFrame, items: DataFrame, descriptions: DataFrame, similarity=sequence_ratio) -> DataFrame:
+    """Scraped rows against the catalog (J12): warnings with their values, and what the catalog itself offers.
+
+    ``rows(row_id, handle, barcode, product_name, scraped_price)``, ``descriptions(product_id, description)``.  Rows whose
+    barcode no variant has come back without warnings; those without a barcode stay out of every join on it.
+    """
+    price = variants.where("barcode <> ''").groupBy("barcode").agg(F.min_by("price", "variant_id").alias("known_price"))
+    store = products.select("handle", "product_id", F.col("title").alias("catalog_title"))
+    text_ = descriptions.where("description <> ''").groupBy("product_id").agg(F.min("description").alias("catalog_description"))
+    known = with_catalog_image(rows.where("barcode <> ''").join(price, "barcode").join(store, "handle", "left"), items).join(text_, "product_id", "left")
+    name, title = text(F.col("product_name")), text(F.col("catalog_title"))
+    both = (name != "") & (title != "")
+    known = known.withColumn("_r", similarity(F.when(both, F.lower(name)), F.when(both, F.lower(title))))
+    share = F.concat(F.bround(F.col("_r") * 100).cast("int").cast("string"), F.lit("%"))
+    said = lambda kind: F.concat(F.lit(f"{kind}: scraped='"), name, F.lit("' vs catalog='"), title, F.lit("' (similarity="), share, F.lit(")"))
+    far = (F.col("known_price") > 0) & (F.abs(F.col("scraped_price") - F.col("known_price")) / F.col("known_price") > 0.5)
+    dollars = lambda c: F.format_string("$%.2f", F.col(c))
+    warnings = labels(
+        (F.col("_r") < 0.3, said("PRODUCT_NAME_MISMATCH")), ((F.col("_r") >= 0.3) & (F.col("_r") < 0.6), said("PRODUCT_NAME_LOW_SIMILARITY")),
+        (far, F.concat(F.lit("PRICE_MISMATCH: scraped="), dollars("scraped_price"), F.lit(" vs catalog="), dollars("known_price"))))
+    checked = known.select("row_id", warnings.alias("warnings"), "catalog_image", "catalog_description")
+    none = F.lit(None).cast("string")
+    rest = rows.where("barcode <> ''").join(price, "barcode", "left_anti").unionByName(rows.where("barcode is null or barcode = ''"))
+    return checked.unionByName(rest.select("row_id", F.array().cast("array<string>").alias("warnings"), none.alias("catalog_image"), none.alias("catalog_description")))
+
+
 def title_join(left: DataFrame, right: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Best word-Jaccard match of every left title in another catalog of its domain.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from merchgrid.bind import Tables
 from merchgrid.functions import urls as U
 from merchgrid.functions.common import half_up
+from merchgrid.functions.similarity import edit_ratio
 from merchgrid.operators import audit as A
 from merchgrid.operators import feedback as B
 from merchgrid.operators import health as H
@@ -144,11 +145,22 @@ def cross_check_edit(spark, sf):
     rows = t.products().select(
         "product_id", (i % 4 != 0).alias("barcode_known"), F.when(i % 3 == 0, F.lit("zzzz qqqq")).when(i % 3 == 1, F.substring("title", 1, 5)).otherwise(F.col("title")).alias("product_name"), F.col("title").alias("catalog_title"),
         (i % 90 + 10).cast("double").alias("scraped_price"), F.lit(40.0).alias("known_price"))
-    from merchgrid.functions.similarity import edit_ratio
-
     return X.cross_reference(rows, similarity=edit_ratio).select("product_id", F.array_join("warnings", ",").alias("warnings"))
 
 
+def catalog_check_edit(spark, sf):
+    """The whole catalog check over every variant, with the edit-distance ratio."""
+    t = Tables(spark, sf)
+    i = F.col("position")
+    shop = t.products().select("product_id", "handle", "title")
+    rows = t.variants().join(shop, "product_id").select(
+        F.col("variant_id").alias("row_id"), F.when(i % 12 == 5, F.concat(F.lit("gone-"), "handle")).otherwise(F.col("handle")).alias("handle"), F.when(i % 10 == 7, F.concat(F.lit("x"), "barcode")).otherwise(F.col("barcode")).alias("barcode"),
+        F.when(i % 3 == 0, F.lit("zzzz qqqq")).when(i % 3 == 1, F.substring("title", 1, 5)).otherwise(F.col("title")).alias("product_name"), F.when(i % 5 != 2, F.col("price") * (1 + i % 4)).alias("scraped_price"))
+    d = t.raw("documents").select((F.col("doc_id") * 2).alias("product_id"), F.substring("text", 1, 20).alias("description"))
+    out = X.catalog_cross_check(rows, t.variants(), t.products(), t.catalog_items(), d, similarity=edit_ratio)
+    return out.select("row_id", F.array_join("warnings", "; ").alias("warnings"), F.coalesce("catalog_image", F.lit("")).alias("image"), F.coalesce("catalog_description", F.lit("")).alias("description"))
+
+
 def run_reports(spark, sf):
     c = Tables(spark, sf).changes()
     rows = c.select("handle", F.col("product_type").alias("vendor"), "status", "confidence", F.array(F.lit("A"), F.col("reason")).alias("warnings"), F.concat(F.lit(" "), F.col("run_id")).alias("source_url"))
@@ -186,7 +198,7 @@ def feedback_weighted(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     store_values, store_lookup, shaped_products, shaped_variants, hero_images, health_images, ranked_handles, shipping_sheet, bulk_images, backfill_rows, url_checks, extraction_scores, brand_colors,
-    prompt_facts, clean_descriptions, hero_assign, cross_check_edit, run_reports, artifact_changes, scoring_inputs, feedback_weighted,
+    prompt_facts, clean_descriptions, hero_assign, cross_check_edit, catalog_check_edit, run_reports, artifact_changes, scoring_inputs, feedback_weighted,
 )}
 
 # ---------------------------------------------------------------- oracles
@@ -233,6 +245,13 @@ ORACLES = {
     "cross_check_edit": with_tables(f"""SELECT product_id, concat_ws(',', CASE WHEN k AND {_DISTANCE} < 0.3 THEN 'PRODUCT_NAME_MISMATCH' END, CASE WHEN k AND {_DISTANCE} >= 0.3 AND {_DISTANCE} < 0.6 THEN 'PRODUCT_NAME_LOW_SIMILARITY' END,
         CASE WHEN k AND abs(product_id % 90 + 10 - 40) > 20 THEN 'PRICE_MISMATCH' END) AS warnings
         FROM (SELECT product_id, title, product_id % 4 <> 0 AS k, CASE product_id % 3 WHEN 0 THEN 'zzzz qqqq' WHEN 1 THEN left(title, 5) ELSE title END AS pn FROM products)"""),
+    "catalog_check_edit": with_tables(f"""SELECT variant_id AS row_id, coalesce(concat_ws('; ', CASE WHEN rr < 0.3 THEN 'PRODUCT_NAME_MISMATCH: ' || said WHEN rr < 0.6 THEN 'PRODUCT_NAME_LOW_SIMILARITY: ' || said END,
+        CASE WHEN known AND abs(scraped - kp) / kp > 0.5 THEN 'PRICE_MISMATCH: scraped=' || printf('$%.2f', scraped) || ' vs catalog=' || printf('$%.2f', kp) END), '') AS warnings,
+        CASE WHEN known THEN coalesce(catalog_image, '') ELSE '' END AS image, CASE WHEN known AND in_store THEN coalesce(dd, '') ELSE '' END AS description
+        FROM (SELECT *, CASE WHEN known AND in_store THEN {_DISTANCE} END AS rr, 'scraped=' || chr(39) || pn || chr(39) || ' vs catalog=' || chr(39) || title || chr(39) || ' (similarity=' || round_even({_DISTANCE} * 100, 0)::INT || '%)' AS said
+          FROM (SELECT v.variant_id, v.price AS kp, title, catalog_image, v.barcode <> '' AND position % 10 <> 7 AS known, position % 12 <> 5 AS in_store, left(d.text, 20) AS dd,
+            CASE position % 3 WHEN 0 THEN 'zzzz qqqq' WHEN 1 THEN left(title, 5) ELSE title END AS pn, CASE WHEN position % 5 <> 2 THEN v.price * (1 + position % 4) END AS scraped
+            FROM variants v JOIN products p USING (product_id) LEFT JOIN barcodes USING (barcode) LEFT JOIN documents d ON d.doc_id * 2 = product_id AND d.text <> ''))""", _IMG),
     "run_reports": with_tables("SELECT handle AS product_handle, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'Bolt' END AS vendor, status, confidence, 'A; ' || reason AS warnings, run_id AS source_url FROM ch", _CHANGES),
     "artifact_changes": with_tables("""SELECT handle, vendor, CASE WHEN product_id % 2 = 0 THEN 'https://s/' || product_id WHEN product_id % 3 <> 0 THEN 'https://r/' || product_id ELSE '' END AS source_url, length(title) + 7 AS chars
         FROM products WHERE product_id % 6 <> 0"""),
