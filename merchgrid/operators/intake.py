@@ -157,6 +157,20 @@ def expand_variant_images(mapped: DataFrame, variants: DataFrame, products: Data
     return out.select(*base)
 
 
+def export_variant_images(rows: DataFrame, mapped: DataFrame) -> DataFrame:
+    """Variant images by exact option value (J10, export-row form).
+
+    ``rows(product_id, row_id, option1_name .. option3_value)``, ``mapped(product_id, color, ord, url)``.  Of a row's colour
+    options the first one with an image counts, with the colour's first image.
+    """
+    options = F.array(*[F.struct(text(F.col(f"option{k}_name")).alias("name"), text(F.col(f"option{k}_value")).alias("value")) for k in (1, 2, 3)])
+    named = rows.select("product_id", "row_id", F.posexplode(options).alias("at", "o")).where(F.lower("o.name").isin("color", "colour") & (F.col("o.value") != ""))
+    first = mapped.where(text(F.col("url")) != "").groupBy("product_id", F.col("color").alias("option_value")).agg(F.min_by("url", "ord").alias("image"))
+    found = named.select("product_id", "row_id", "at", F.col("o.value").alias("option_value")).join(first, ["product_id", "option_value"])
+    best = found.groupBy("product_id", "row_id").agg(F.min_by(F.struct("option_value", "image"), "at").alias("b"))
+    return best.select("product_id", "row_id", F.lit("Color").alias("option_name"), "b.option_value", "b.image", F.lit(85).alias("confidence"))
+
+
 def option_map(row: DataFrame) -> DataFrame:
     """Option name to value per export row, empty names and values dropped."""
     pairs = F.filter(

@@ -20,7 +20,8 @@ from merchgrid.operators import shipping as S
 from merchgrid.operators import weights as W
 from merchgrid.plans.catalog import _IMG
 from merchgrid.plans.core import _HEALTH, _SHIP, scores
-from merchgrid.plans.review import _CHANGES
+from merchgrid.plans.matching import _URL
+from merchgrid.plans.review import _CHANGES, _OPT, _VENDORS
 from merchgrid.plans.sql import r, with_tables
 from merchgrid.sources import readers, sinks
 
@@ -161,6 +162,21 @@ def catalog_check_edit(spark, sf):
     return out.select("row_id", F.array_join("warnings", "; ").alias("warnings"), F.coalesce("catalog_image", F.lit("")).alias("image"), F.coalesce("catalog_description", F.lit("")).alias("description"))
 
 
+def export_images(spark, sf):
+    t = Tables(spark, sf)
+    none = F.lit("")
+    rows = t.variants().select("product_id", F.col("variant_id").alias("row_id"), "option1_name", "option1_value", "option2_name", "option2_value", none.alias("option3_name"), none.alias("option3_value"))
+    return N.export_variant_images(rows, t.color_map()).select("product_id", "row_id", "option_value", "image")
+
+
+def candidate_context(spark, sf):
+    t = Tables(spark, sf)
+    v = t.vendors().select("vendor", F.concat(F.lower(F.regexp_replace("vendor", "#", "")), F.lit(".example.com")).alias("domain"))
+    p = t.products().withColumn("price", F.col("product_id").cast("double"))
+    c = X.with_context(t.search_results().select("product_id", "ord", "url"), p, v)
+    return c.select("product_id", "ord", F.col("price").alias("price"), F.coalesce("domain", F.lit("")).alias("domain"), "on_domain")
+
+
 def run_reports(spark, sf):
     c = Tables(spark, sf).changes()
     rows = c.select("handle", F.col("product_type").alias("vendor"), "status", "confidence", F.array(F.lit("A"), F.col("reason")).alias("warnings"), F.concat(F.lit(" "), F.col("run_id")).alias("source_url"))
@@ -198,7 +214,7 @@ def feedback_weighted(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     store_values, store_lookup, shaped_products, shaped_variants, hero_images, health_images, ranked_handles, shipping_sheet, bulk_images, backfill_rows, url_checks, extraction_scores, brand_colors,
-    prompt_facts, clean_descriptions, hero_assign, cross_check_edit, catalog_check_edit, run_reports, artifact_changes, scoring_inputs, feedback_weighted,
+    prompt_facts, clean_descriptions, hero_assign, cross_check_edit, catalog_check_edit, export_images, candidate_context, run_reports, artifact_changes, scoring_inputs, feedback_weighted,
 )}
 
 # ---------------------------------------------------------------- oracles
@@ -252,6 +268,11 @@ ORACLES = {
           FROM (SELECT v.variant_id, v.price AS kp, title, catalog_image, v.barcode <> '' AND position % 10 <> 7 AS known, position % 12 <> 5 AS in_store, left(d.text, 20) AS dd,
             CASE position % 3 WHEN 0 THEN 'zzzz qqqq' WHEN 1 THEN left(title, 5) ELSE title END AS pn, CASE WHEN position % 5 <> 2 THEN v.price * (1 + position % 4) END AS scraped
             FROM variants v JOIN products p USING (product_id) LEFT JOIN barcodes USING (barcode) LEFT JOIN documents d ON d.doc_id * 2 = product_id AND d.text <> ''))""", _IMG),
+    "export_images": with_tables("""SELECT v.product_id, variant_id AS row_id, option1_value AS option_value, url AS image FROM variants v
+        JOIN (SELECT product_id, color, arg_min(url, ord) AS url FROM cmap GROUP BY 1, 2) m ON m.product_id = v.product_id AND m.color = option1_value WHERE lower(option1_name) = 'color'""", _OPT),
+    "candidate_context": with_tables("""SELECT product_id, ord, product_id::DOUBLE AS price, coalesce(domain, '') AS domain, coalesce(contains(h, domain) OR contains(domain, h), false) AS on_domain
+        FROM (SELECT u.product_id, u.ord, CASE WHEN vv_.vendor IS NULL THEN NULL ELSE lower(replace(vv_.vendor, '#', '')) || '.example.com' END AS domain, regexp_replace(lower(regexp_extract(u.url, '^[a-z]+://([^/?#:]*)', 1)), '^www\\.', '') AS h
+          FROM u4 u JOIN products p ON p.product_id = u.product_id LEFT JOIN vendors_ vv_ ON vv_.vendor = p.vendor)""", _URL | _VENDORS),
     "run_reports": with_tables("SELECT handle AS product_handle, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'Bolt' END AS vendor, status, confidence, 'A; ' || reason AS warnings, run_id AS source_url FROM ch", _CHANGES),
     "artifact_changes": with_tables("""SELECT handle, vendor, CASE WHEN product_id % 2 = 0 THEN 'https://s/' || product_id WHEN product_id % 3 <> 0 THEN 'https://r/' || product_id ELSE '' END AS source_url, length(title) + 7 AS chars
         FROM products WHERE product_id % 6 <> 0"""),
