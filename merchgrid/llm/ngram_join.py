@@ -7,7 +7,7 @@ that share one are candidates.  Candidates are verified on their full n-gram set
 
 A bucket may hold a third of all nodes, so pairs are never listed:
 
-* Every node looks up to a hub, the smallest node of its buckets.  Members of a hub are cut
+* Every node looks up to a hub, the smallest node of its buckets, and on to that node's own hub.  Members of a hub are cut
   into blocks of about ``BLOCK_NODES`` and compared with the hub's set.  A node within half the
   allowed distance of the hub is near; by the triangle inequality of set differences all near
   members of a hub are linked with each other, which is counted, not listed.
@@ -46,6 +46,8 @@ N = 5
 THRESHOLD = (4, 5)
 RECALL = 0.9999
 MAX_HASHES = 300
+#: Times that a node's hub gives way to the hub's own; any number gives the same links, more gathers a group around fewer hubs.
+HUB_STEPS = 3
 #: Nodes of a block, and the n-grams that they may have together on average.
 BLOCK_NODES, BLOCK_GRAMS = 512, 1 << 20
 #: Columns of the incidence matrix multiplied at once.
@@ -215,6 +217,11 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: tuple[int, int] = TH
     n_nodes = nodes.count()
     met = stored(attach(members, buckets, ["band"], n_nodes * bands, F.struct("node", "band")).where("leader is not null").select("node", "doc_id", "band", "leader"))
     homes = met.groupBy("node").agg(F.min("leader").alias("hub"), F.first("doc_id").alias("doc_id"))
+    for _ in range(HUB_STEPS):
+        homes = stored(homes)
+        above = homes.select(F.col("node").alias("hub"), F.col("hub").alias("top"))
+        targets = homes.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).join(above, "hub")
+        homes = attach(homes, targets, ["hub"], n_nodes, F.col("node")).select("node", "doc_id", F.coalesce("top", "hub").alias("hub"))
     homes = homes.join(nodes.select("node", "size", "set_key", F.col("n").alias("w")), "node")
     crowd = homes.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("volume"))
     parts = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("volume") / BLOCK_GRAMS))
