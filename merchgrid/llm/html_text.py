@@ -6,8 +6,8 @@ by element or by the words of class, id and role) leave empty lines behind, as d
 ``article`` and ``main``.  Text lengths are then summed over windows of ``WINDOW`` lines: the sum
 surges where text begins and dives to zero where it ends.  What lies between a dive and
 the next is one stretch; a stretch is kept if its sum passes ``SURGE`` somewhere, link texts not
-counted.  Where the page has an ``article`` or ``main`` with text, its stretches are kept whatever their
-size and those outside are not.  If no stretch surges, the longest is kept.
+counted.  Inside an ``article`` or ``main`` the threshold is zero, outside it is ``SURGE`` whether the page has
+such elements or not.  If no stretch surges, the longest is kept.
 
 Work is linear in the page; pages are independent of each other.  Defined results: null html
 counts as empty; a page without text gives the empty string; a tag cut off by the end of the page is
@@ -165,12 +165,9 @@ def extract(html: str) -> str:
         elif empty == WINDOW and stretches[-1]:  # the sum over a window dives to zero
             stretches.append([])
     stretches = [s for s in stretches if s]
-    if any(s[0][2] for s in stretches):
-        kept = [s for s in stretches if s[0][2]]
-    else:
-        kept = [s for s in stretches if any(sum(x[1] for x in s[k : k + WINDOW]) > SURGE for k in range(len(s)))]
-        if not kept and stretches:
-            kept = [max(stretches, key=lambda s: sum(x[1] for x in s))]
+    kept = [s for s in stretches if any(sum(x[1] for x in s[k : k + WINDOW]) > (0 if s[0][2] else SURGE) for k in range(len(s)))]
+    if not kept and stretches:
+        kept = [max(stretches, key=lambda s: sum(x[1] for x in s))]
     return "\n".join(x[0] for s in kept for x in s)
 
 

@@ -25,6 +25,15 @@ def test_other_parts():
         assert extract(f"<body>{j}<article><header><h1>H</h1></header>{body}</article>") == "H\n" + text
 
 
+def test_sums_decide_beside_articles():
+    body = "word " * 39 + "word"
+    cards = '<article><a href="/x">One more story</a></article>'
+    assert extract(f"<body>{cards}<div><p>{body}</p></div>{cards}</body>") == body
+    assert extract(f"<body><div><p>{body}</p></div><main><p>One line.</p></main></body>") == body + "\nOne line."
+    assert extract(f"<body><div>Low.</div><article><p>{body}</p></article></body>") == body
+    assert extract(f"<body><article><p>Low.</p></article><div><p>{body}</p></div></body>") == "Low.\n" + body
+
+
 def test_edges():
     assert extract("") == "" and extract("<p></p>") == "" and extract("plain") == "plain"
     assert extract("<div class='ad'>x") == "" and extract("<p>a<foo") == "a"
