@@ -5,9 +5,12 @@ text of the article (menus, headers, footers, sidebars, notices, adverts, forms,
 by element or by the words of class, id and role) leave empty lines behind, as do the edges of
 ``article`` and ``main``.  Text lengths are then summed over windows of ``WINDOW`` lines: the sum
 surges where text begins and dives to zero where it ends.  What lies between a dive and
-the next is one stretch; a stretch is kept if its sum passes ``SURGE`` somewhere, link texts not
+the next is one stretch; a stretch surges if its sum passes ``SURGE`` somewhere, link texts not
 counted.  Inside an ``article`` or ``main`` the threshold is zero, outside it is ``SURGE`` whether the page has
-such elements or not.  If no stretch surges, the longest is kept.
+such elements or not.  All is kept from the first surge to the last dive, which is where the last text outside
+links ends: marked parts inside the text cut it up, and its short pieces belong to it.  Before the first surge, what
+begins with a heading is kept too, unless nothing but links stands between.  If no stretch
+surges, the threshold is zero everywhere; a page of nothing but links is kept whole.
 
 Work is linear in the page; pages are independent of each other.  Defined results: null html
 counts as empty; a page without text gives the empty string; a tag cut off by the end of the page is
@@ -42,6 +45,7 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section select summary table tbody tfoot thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are no text of an article.
 APART = frozenset("aside button dialog footer form head header menu nav search select svg".split())
 #: Words of class, id and role that mark such parts.
@@ -70,25 +74,26 @@ def _apart(name: str, attributes: str, articles: int) -> bool:
     return False
 
 
-def lines(html: str) -> list[tuple[str, int, bool]]:
-    """``(text, characters outside links, inside an article)`` per line; gaps are empty lines."""
-    out: list[tuple[str, int, bool]] = []
+def lines(html: str) -> list[tuple[str, int, bool, bool]]:
+    """``(text, characters outside links, inside an article, heading)`` per line; gaps are empty lines."""
+    out: list[tuple[str, int, bool, bool]] = []
     parts: list[str] = []
     plain = 0
     inside = articles = depth = link = 0
     skip = ""
+    heading = False
 
     def flush() -> None:
         nonlocal plain
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, plain, inside > 0))
+            out.append((text, plain, inside > 0, heading))
         parts.clear()
         plain = 0
 
     def gap() -> None:
         flush()
-        out.extend([("", 0, inside > 0)] * WINDOW)
+        out.extend([("", 0, inside > 0, False)] * WINDOW)
 
     def say(raw: str) -> None:
         nonlocal plain
@@ -132,6 +137,7 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
                 articles = max(0, articles - (name == "article"))
             elif name in BLOCKS:
                 flush()
+                heading = heading and name not in HEADINGS
             continue
         if _apart(name, m[4], articles):
             gap()
@@ -146,6 +152,7 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
             parts.append(" ")
         elif name in BLOCKS:
             flush()
+            heading = heading or name in HEADINGS
         elif name == "a":
             link = 1
     say(html[end:])
@@ -156,7 +163,7 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
 def extract(html: str) -> str:
     """The main text of a page, one line for each block."""
     found = lines(html)
-    stretches: list[list[tuple[str, int, bool]]] = [[]]
+    stretches: list[list[tuple[str, int, bool, bool]]] = [[]]
     empty = 0
     for x in found:
         empty = 0 if x[0] else empty + 1
@@ -165,9 +172,18 @@ def extract(html: str) -> str:
         elif empty == WINDOW and stretches[-1]:  # the sum over a window dives to zero
             stretches.append([])
     stretches = [s for s in stretches if s]
-    kept = [s for s in stretches if any(sum(x[1] for x in s[k : k + WINDOW]) > (0 if s[0][2] else SURGE) for k in range(len(s)))]
-    if not kept and stretches:
-        kept = [max(stretches, key=lambda s: sum(x[1] for x in s))]
+    plain = [k for k, s in enumerate(stretches) if any(x[1] for x in s)]
+    surges = [k for k, s in enumerate(stretches) if any(sum(x[1] for x in s[i : i + WINDOW]) > (0 if s[0][2] else SURGE) for i in range(len(s)))] or plain
+    if not surges:
+        return "\n".join(x[0] for s in stretches for x in s)
+    first, last = surges[0], plain[-1]
+    kept = stretches[first : last + 1]
+    for k in range(first - 1, -1, -1):
+        heads = [i for i, x in enumerate(stretches[k]) if x[3]]
+        if heads:
+            kept = [stretches[k][heads[0] :], *stretches[k + 1 : last + 1]]
+        elif k not in plain:
+            break
     return "\n".join(x[0] for s in kept for x in s)
 
 

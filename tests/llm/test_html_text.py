@@ -34,6 +34,17 @@ def test_sums_decide_beside_articles():
     assert extract(f"<body><article><p>Low.</p></article><div><p>{body}</p></div></body>") == "Low.\n" + body
 
 
+def test_marked_parts_inside_the_text():
+    body = "word " * 39 + "word"
+    byline, advert = '<div class="byline">By A. Writer</div>', '<div class="ad">Buy this.</div>'
+    page = f"<body><h1>Storm hits coast</h1>{byline}<p>{body}</p>{advert}<p>Low.</p>{advert}<p>{body}</p>{advert}<p>See you soon.</p></body>"
+    assert extract(page) == f"Storm hits coast\n{body}\nLow.\n{body}\nSee you soon."
+    assert extract(f"<body><p>Site</p><h1><a href='/'>Head</a></h1><p>Lead.</p>{byline}<p>Still.</p>{advert}<p>{body}</p></body>") == f"Head\nLead.\nStill.\n{body}"
+    links = '<ul><li><a href="/a">a</a></li></ul>'
+    assert extract(f"<body><h2>Pages</h2>{byline}{links}{byline}<p>{body}</p>{advert}{links}</body>") == body
+    assert extract(f"<body><h1>Head</h1>{byline}<p>Short.</p>{advert}<p>End.</p></body>") == "Head\nShort.\nEnd."
+
+
 def test_edges():
     assert extract("") == "" and extract("<p></p>") == "" and extract("plain") == "plain"
     assert extract("<div class='ad'>x") == "" and extract("<p>a<foo") == "a"
