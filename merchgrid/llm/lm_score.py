@@ -7,7 +7,7 @@ The model.  A token is reached over three choices of ``WIDE`` classes each, P(to
 P(c1 | h) P(c2 | c1, h) P(c3 | c1, c2, h).  The ``LEAVES - WIDE * WIDE`` most frequent tokens
 have a leaf of their own; the others share the leaves of the last first-level class, dealt by
 the hash of their ending, and within a leaf have their smoothed share of the leaf's count.
-Each choice is a softmax over a bias, which starts at the training counts, and hashed
+Each of the three is a softmax over a bias, which starts at the training counts and is trained, and hashed
 features of the history: the word before (bigram), the word before that (skip), and both (trigram).
 The tables have a fixed size.
 
@@ -54,7 +54,7 @@ ROUNDS = 3
 BATCH = 1 << 15
 RATE = 2.0
 #: History features of each level: word before, the one before it, both.
-FEATURES = (("prev", "skip", "both"), ("prev", "skip"), ("prev",))
+FEATURES = (("prev", "skip", "both"),) * 3
 #: Tokens scored in one numpy step.
 PIECE = 1 << 15
 END = b""
@@ -213,8 +213,8 @@ def gradient_step(w: np.ndarray, used: np.ndarray, leaf: np.ndarray, prev: np.nd
         p /= p.sum(1, keepdims=True)
         np.negative(p, out=p)
         p[at, chosen] += 1
-        for r in rows[1:]:
-            order = np.argsort(r.astype(np.uint16) if N_ROWS < 1 << 16 else r, kind="stable")
+        for r in rows:
+            order = np.argsort((r & 0xFFFF).astype(np.uint16) if ROWS <= 1 << 16 else r, kind="stable")  # rows of one table differ in these bits
             sorted_rows = r[order]
             starts = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
             n = np.diff(np.append(starts, len(r)))

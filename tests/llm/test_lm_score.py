@@ -69,3 +69,16 @@ def test_texts_in_a_row_keep_their_own_histories():
     for name in ("leaf", "prev", "skip", "place", "size"):
         assert np.array_equal(getattr(both, name), np.concatenate([getattr(x, name) for x in apart])), name
     assert both.leaf[2] == lm.leaf_of(b"zz") >= lm.OWN
+
+
+def test_every_level_learns_from_both_words_before_and_trains_its_bias():
+    # the words differ in the third choice only, and only both words before together tell which comes
+    pairs = [(16, 16, 17), (16, 17, 18), (17, 16, 18), (17, 17, 17)] * 500
+    skip, prev, leaf = map(np.array, zip(*pairs, strict=True))
+    lex = lm.Lexicon(10, 3, {b"": 4, b"a": 3, b"b": 3}, {b"": 0, b"a": 17, b"b": 18}, np.zeros(256), np.zeros(256))
+    w = lm.start_weights(lex)
+    biases, used = w[: 1 + 16 + 256].copy(), np.zeros(len(w))
+    for _ in range(20):
+        lm.gradient_step(w, used, leaf, prev, skip)
+    assert np.exp(lm.log_leaf(w, leaf, prev, skip)).min() > 0.8
+    assert (w[: len(biases)] != biases).any()
