@@ -9,7 +9,9 @@ have a leaf of their own; the others share the leaves of the last first-level cl
 the hash of their ending, and within a leaf have their smoothed share of the leaf's count.
 Each of the three is a softmax over a bias, which starts at the training counts and is trained, and hashed
 features of the history: the word before (bigram), the word before that (skip), and both (trigram).
-The tables have a fixed size.
+The tables have a fixed size.  Histories are leaves, so a word without a leaf of its own is known by its ending
+both as what comes next and as what came before: n-grams over such words are not learned as words, and
+what the features hold stops growing with the corpus, while the counts grow on.
 
 Training.  Texts are dealt to ``ROUNDS`` rounds by hash, so each training text is used once.  In a
 round every task starts from the broadcast weights, takes mini-batch gradient steps over its texts,
