@@ -33,12 +33,18 @@ ELEMENT = T.StructType([
     T.StructField("inside", T.ArrayType(T.StringType())), T.StructField("inside_ids", T.ArrayType(T.IntegerType())), T.StructField("marks", T.StringType()),
 ])
 
+#: Texts of a page in order, each with the elements around it; those of scripts and styles are left to their elements.
+PIECE = T.StructType([
+    T.StructField("text", T.StringType()), T.StructField("inside", T.ArrayType(T.StringType())), T.StructField("inside_ids", T.ArrayType(T.IntegerType())), T.StructField("marks", T.StringType()),
+])
+
 
 class _Elements(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[dict] = []
         self.done: list[dict] = []
+        self.pieces: list[dict] = []
         self.count = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -73,6 +79,8 @@ class _Elements(HTMLParser):
             raw = self.open[-1]["tag"] in ("script", "style")
             for e in self.open[-1:] if raw else self.open:
                 e["text"].append(data.strip())
+            if not raw:
+                self.pieces.append({"text": data.strip(), "inside": [e["tag"] for e in self.open], "inside_ids": [e["ord"] for e in self.open], "marks": self.open[-1]["marks"]})
 
     def _close(self) -> None:
         e = self.open.pop()
@@ -106,8 +114,8 @@ def store_product(script: str) -> str | None:
     return None
 
 
-def elements_of(html: str | None) -> tuple[list[dict], str | None]:
-    """Elements of one page, and what stopped the parser, if anything did: then they end where it stopped."""
+def elements_of(html: str | None) -> tuple[list[dict], list[dict], str | None]:
+    """Elements and texts of one page, and what stopped the parser, if anything did: then they end where it stopped."""
     parser, error = _Elements(), None
     try:
         parser.feed(html or "")
@@ -118,11 +126,11 @@ def elements_of(html: str | None) -> tuple[list[dict], str | None]:
     for e in out:
         if e["tag"] == "script" and (product := store_product(e["text"])):
             e["attrs"]["store_product"] = product
-    return out, error
+    return out, parser.pieces, error
 
 
 def parse_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """mapInPandas body: the page columns with ``html`` replaced by ``elements`` and ``parse_error``."""
+    """mapInPandas body: the page columns with ``html`` replaced by ``elements``, ``pieces`` and ``parse_error``."""
     for pdf in batches:
         found = [elements_of(h) for h in pdf["html"]]
-        yield pdf.drop(columns="html").assign(elements=[f[0] for f in found], parse_error=[f[1] for f in found])
+        yield pdf.drop(columns="html").assign(elements=[f[0] for f in found], pieces=[f[1] for f in found], parse_error=[f[2] for f in found])

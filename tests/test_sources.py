@@ -155,6 +155,24 @@ def test_page_extraction(spark):
     assert r[2].product_name == "" and r[3].description_blocks == []
 
 
+def test_long_elements_keep_their_own_text(spark):
+    long, item = "word " * 600 + "end.", "item " * 150 + "end."
+    html = {
+        1: f"<article><p>{long}</p><p>Another paragraph of the text.</p></article>",
+        2: f"<article><p><b>The first paragraph is not closed.<p>{long}<p>Another paragraph of the text.</article>",
+        3: f"<article><div>Words of the box itself, <b>bold</b>.<p>{long}</p>More.</div></article>",
+        4: f"<article><ul><li>{item}</li><li>Outer item<ul><li>Inner one</li><li>Inner two</li></ul></li></ul></article>",
+        5: "<article><p>Some words <span>and a span inside of them</span> and more.</p></article>",
+    }
+    df = spark.createDataFrame([(i, "https://s.example.com/x", h) for i, h in html.items()], "page_id long, url string, html string")
+    r = {x.page_id: x for x in P.source_text(P.elements(df)).collect()}
+    assert r[1].visible_text_blocks == [long, "Another paragraph of the text."]
+    assert r[2].visible_text_blocks == ["The first paragraph is not closed.", long, "Another paragraph of the text."]
+    assert r[3].visible_text_blocks == ["Words of the box itself,bold.More.", long]
+    assert r[4].bullet_lists == [[item, "Outer item"], ["Inner one", "Inner two"]]
+    assert r[5].visible_text_blocks == ["Some wordsand a span inside of themand more."]
+
+
 def test_streams_equal_batches(spark, tmp_path):
     t = Tables(spark, SF)
     ev = t.raw("events").withColumn("ts", F.col("ts").cast("timestamp"))
