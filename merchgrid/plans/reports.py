@@ -149,19 +149,28 @@ def cross_check_edit(spark, sf):
     return X.cross_reference(rows, similarity=edit_ratio).select("product_id", F.array_join("warnings", ",").alias("warnings"))
 
 
-def catalog_check_edit(spark, sf):
-    """The whole catalog check over every variant, with the edit-distance ratio."""
+def _catalog_check(spark, sf, description):
     t = Tables(spark, sf)
     i = F.col("position")
     shop = t.products().select("product_id", "handle", "title")
     rows = t.variants().join(shop, "product_id").select(
         F.col("variant_id").alias("row_id"), F.when(i % 12 == 5, F.concat(F.lit("gone-"), "handle")).otherwise(F.col("handle")).alias("handle"), F.when(i % 10 == 7, F.concat(F.lit("x"), "barcode")).otherwise(F.col("barcode")).alias("barcode"),
         F.when(i % 3 == 0, F.lit("zzzz qqqq")).when(i % 3 == 1, F.substring("title", 1, 5)).otherwise(F.col("title")).alias("product_name"), F.when(i % 5 != 2, F.col("price") * (1 + i % 4)).alias("scraped_price"))
-    d = t.raw("documents").select((F.col("doc_id") * 2).alias("product_id"), F.substring("text", 1, 20).alias("description"))
+    d = t.raw("documents").select((F.col("doc_id") * 2).alias("product_id"), description.alias("description"))
     out = X.catalog_cross_check(rows, t.variants(), t.products(), t.catalog_items(), d, similarity=edit_ratio)
     return out.select("row_id", F.array_join("warnings", "; ").alias("warnings"), F.coalesce("catalog_image", F.lit("")).alias("image"), F.coalesce("catalog_description", F.lit("")).alias("description"))
 
 
+def catalog_check_edit(spark, sf):
+    """The whole catalog check over every variant, with the edit-distance ratio; descriptions are the first 20 characters, as in its SQL."""
+    return _catalog_check(spark, sf, F.substring("text", 1, 20))
+
+
+def catalog_check_text_edit(spark, sf):
+    """The same with whole texts as descriptions."""
+    return _catalog_check(spark, sf, F.col("text"))
+
+
 def export_images(spark, sf):
     t = Tables(spark, sf)
     none = F.lit("")
@@ -214,7 +223,7 @@ def feedback_weighted(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     store_values, store_lookup, shaped_products, shaped_variants, hero_images, health_images, ranked_handles, shipping_sheet, bulk_images, backfill_rows, url_checks, extraction_scores, brand_colors,
-    prompt_facts, clean_descriptions, hero_assign, cross_check_edit, catalog_check_edit, export_images, candidate_context, run_reports, artifact_changes, scoring_inputs, feedback_weighted,
+    prompt_facts, clean_descriptions, hero_assign, cross_check_edit, catalog_check_edit, catalog_check_text_edit, export_images, candidate_context, run_reports, artifact_changes, scoring_inputs, feedback_weighted,
 )}
 
 # ---------------------------------------------------------------- oracles
@@ -280,3 +289,4 @@ ORACLES = {
     "feedback_weighted": with_tables(f"""SELECT i AS iteration, {r('sum(total * w) / sum(w)', 6)} AS avg_score, max(total) AS max_score FROM (SELECT i, (d + i * 3) % 26 + (d * 3 + i) % 16 + (d + i) % 16 + (d * 5 + i * 2) % 16 AS total,
         CASE WHEN 'doc-' || d IN (SELECT handle FROM fb WHERE disposition IN ('rejected', 'edited')) THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM (SELECT doc_id AS d, unnest(range(0, 5)) AS i FROM documents)) GROUP BY 1""", _CHANGES),
 }
+ORACLES["catalog_check_text_edit"] = ORACLES["catalog_check_edit"].replace("left(d.text, 20)", "d.text")

@@ -39,6 +39,17 @@ def test_query_equals_oracle(spark, con, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["catalog_check_text_edit"])
+def test_whole_inputs_equal_oracle(spark, con, name):
+    test_query_equals_oracle(spark, con, name)
+
+
+def test_descriptions_are_carried_whole(spark, con):
+    longest, wide = con.sql("SELECT max(length(text)), max(strlen(text)) FROM documents d JOIN part ON d.doc_id * 2 = p_partkey").fetchall()[0]
+    got = [r.description for r in entry.queries()["catalog_check_text_edit"](spark, SF).select("description").distinct().collect()]
+    assert max(map(len, got)) == longest > 20 and max(len(x.encode()) for x in got) == wide > longest
+
+
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
