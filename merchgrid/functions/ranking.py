@@ -38,7 +38,8 @@ def distributed_rank(df: DataFrame, group: list[str], order: list, out: str) ->
     )
 
 
-def top_k(df: DataFrame, group: list[str], order: list, k: int, out: str = "pos") -> DataFrame:
-    """First k rows per group; the limit is applied before the shuffle (WindowGroupLimit)."""
+def top_k(df: DataFrame, group: list[str], order: list, k: int | None, out: str = "pos") -> DataFrame:
+    """First k rows per group, or all numbered; the limit is applied before the shuffle (WindowGroupLimit)."""
     w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
+    ranked = df.withColumn(out, F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col(out) <= k)

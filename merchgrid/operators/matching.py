@@ -358,12 +358,12 @@ def post_extraction(rows: DataFrame, similarity=sequence_ratio, threshold: float
     return staged.withColumn("match_confidence", total).withColumn("match_passed", F.col("match_confidence") >= threshold)
 
 
-def decide(candidates: DataFrame, pages: DataFrame, similarity=sequence_ratio, k: int = 3) -> DataFrame:
+def decide(candidates: DataFrame, pages: DataFrame, similarity=sequence_ratio, k: int | None = 3) -> DataFrame:
     """Decision row per tried candidate.
 
     ``candidates(product_id, url, ord, confidence, catalog_title, catalog_price,
     catalog_colors)``, ``pages(url, markdown, product_name, scraped_price, vendor_colors,
-    content_score)``.  The best k candidates are tried in order up to the first accepted.
+    content_score)``.  The best k candidates, or all, are tried in order up to the first accepted.
     """
     tried = top_k(candidates, ["product_id"], [F.desc("confidence"), F.col("ord")], k, out="attempt").join(pages, "url", "left")
     staged = tried.withColumn("page_title", best_heading(F.col("markdown"), F.col("catalog_title")))

@@ -170,11 +170,12 @@ STORE_SCHEMA = (
 )
 
 
-def store_facts(products: DataFrame) -> DataFrame:
-    """Facts of a vendor store's product JSON."""
+def store_facts(products: DataFrame, paragraphs: int | None = None) -> DataFrame:
+    """Facts of a vendor store's product JSON (S26); ``paragraphs`` bounds how many of the body are kept."""
     default = lambda c: (text(c) == "") | F.lower(text(c)).isin("default title", "default")
     plain = strip(F.regexp_replace(F.regexp_replace(text(F.col("body_html")), r"(?i)</p>|<br\s*/?>", "\n\n"), "<[^>]+>", ""))
-    blocks = F.slice(F.filter(F.transform(F.split(plain, r"\n\s*\n"), strip), lambda b: b != ""), 1, 5)
+    blocks = F.filter(F.transform(F.split(plain, r"\n\s*\n"), strip), lambda b: b != "")
+    blocks = blocks if paragraphs is None else F.slice(blocks, 1, paragraphs)
     option = F.map_from_entries(F.transform("variants", lambda v: F.struct(v["id"], v["option1"])))
     named = F.flatten(F.transform("images", lambda i: F.transform(F.coalesce(i["variant_ids"], F.array().cast("array<long>")), lambda v: F.struct(F.element_at(option, v).alias("color"), i["src"].alias("url")))))
     staged = products.withColumn("_pairs", F.array_distinct(F.filter(named, lambda p: ~default(p["color"]))))

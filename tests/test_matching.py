@@ -99,6 +99,16 @@ def test_decisions_stop_at_the_first_accept(spark):
     assert out == [(1, 1, "reject_bot_blocked"), (1, 2, "accept"), (2, 1, "skip_low_confidence")]
 
 
+def test_every_candidate_is_tried_without_a_limit(spark):
+    cands = spark.createDataFrame([(1, f"u{i}", i, 90 - i, "Alpha One", 100.0, ["Red"]) for i in range(5)],
+                                  "product_id long, url string, ord long, confidence int, catalog_title string, catalog_price double, catalog_colors array<string>")
+    body = "# Alpha One\n" + "text " * 150
+    pages = spark.createDataFrame([(f"u{i}", body, "Alpha One", 100.0, ["red"], 80.0) for i in (3, 4)],
+                                  "url string, markdown string, product_name string, scraped_price double, vendor_colors array<string>, content_score double")
+    out = [(r.attempt, r.outcome) for r in M.decide(cands, pages, k=None).orderBy("attempt").collect()]
+    assert out == [(1, "reject_bot_blocked"), (2, "reject_bot_blocked"), (3, "reject_bot_blocked"), (4, "accept")]
+
+
 def test_best_heading(spark):
     md = "# Menu\n## Alpha Two\n## Alpha One Jacket\n### Alpha One Jacket again\n"
     r = spark.createDataFrame([(md, "Alpha One Jacket"), (md, "Zzz"), (None, "x")], "m string, t string").select(M.best_heading(F.col("m"), F.col("t")).alias("h")).collect()

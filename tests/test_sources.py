@@ -111,6 +111,13 @@ def test_store_json_and_search_results(spark):
     assert [x.full_url for x in S.search_images(q).collect()] == ["full"]
 
 
+def test_store_bodies_keep_all_paragraphs(spark):
+    raw = '{"id":1,"body_html":"%s","images":[],"variants":[]}' % "".join(f"<p>P{i}</p>" for i in range(8))
+    df = spark.createDataFrame([(raw,)], "j string").select(F.from_json("j", S.STORE_SCHEMA).alias("d")).select("d.*")
+    assert S.store_facts(df).first().description_blocks == [f"P{i}" for i in range(8)]
+    assert S.store_facts(df, paragraphs=5).first().description_blocks == [f"P{i}" for i in range(5)]
+
+
 def test_structured_facts_and_markdown(spark):
     df = spark.createDataFrame([("u", '{"product_name":"P","images":["http://x/a.jpg?w=3","http://x/a.jpg","ftp://x"],"specs":{"a":"b"}}')], "url string, json string")
     r = S.structured_facts(df).first()
