@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from merchgrid.llm import bpe, decontaminate, exact_dedup, html_text, language_id, lm_score, ngram_join, pii, quality, warc
+from merchgrid.llm import bpe, decontaminate, exact_dedup, html_text, language_id, lm_score, ngram_join, pii, quality, secret_scan, warc
 from merchgrid.llm.common import bare, remainder
 
 
@@ -83,6 +83,13 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op13_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    out = secret_scan.with_spans(bare(_read(spark, sf, "documents"), "doc_id", "text")).drop("text")
+    base = F.filter("secrets", lambda s: s["kind"].isin(secret_scan.BASE))
+    counts = {k: F.size(F.filter(F.transform("secrets", lambda s: s["kind"]), _equals(k))).cast("long") for k in secret_scan.BASE}
+    return out.select("doc_id", *[n.alias(f"n_{k}") for k, n in counts.items()], F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("secrets")).alias("spans"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
@@ -94,6 +101,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_pii": op9_pii,
     "op10_language_id": op10_language_id,
+    "op13_secret_scan": op13_secret_scan,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op3_warc": warc.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
