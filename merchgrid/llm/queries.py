@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from merchgrid.llm import bpe, decontaminate, exact_dedup, html_text, language_id, lm_score, ngram_join, pii, quality, secret_scan, warc
+from merchgrid.llm import bpe, decontaminate, exact_dedup, html_text, language_id, lm_score, ngram_join, pii, quality, secret_scan, tokenizer_align, warc
 from merchgrid.llm.common import bare, remainder
 
 
@@ -83,6 +83,13 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op12_tokenizer_align(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    out = tokenizer_align.align(bare(_read(spark, sf, "documents"), "doc_id", "text"), _vocabulary(), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     out = secret_scan.with_spans(bare(_read(spark, sf, "documents"), "doc_id", "text")).drop("text")
     base = F.filter("secrets", lambda s: s["kind"].isin(secret_scan.BASE))
@@ -101,6 +108,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_pii": op9_pii,
     "op10_language_id": op10_language_id,
+    "op12_tokenizer_align": op12_tokenizer_align,
     "op13_secret_scan": op13_secret_scan,
     "pipeline": corpus_pipeline.run,
 }
