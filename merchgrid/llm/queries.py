@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from merchgrid.llm import bpe, decontaminate, exact_dedup, html_text, language_id, lm_score, ngram_join, pii, quality, secret_scan, tokenizer_align, warc
+from merchgrid.llm import bpe, conversation_repair, decontaminate, exact_dedup, html_text, language_id, lm_score, ngram_join, pii, quality, secret_scan, tokenizer_align, warc
 from merchgrid.llm.common import bare, remainder
 
 
@@ -83,6 +83,10 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(_read(spark, sf, "conversations")))
+
+
 def op12_tokenizer_align(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
 
@@ -108,8 +112,9 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_pii": op9_pii,
     "op10_language_id": op10_language_id,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_tokenizer_align": op12_tokenizer_align,
     "op13_secret_scan": op13_secret_scan,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op3_warc": warc.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op3_warc": warc.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op11_conversation_repair": conversation_repair.ORACLE}
