@@ -31,14 +31,10 @@ from merchgrid.llm.common import chunks, texts, widened, with_columns
 #: Lines of a window, and the characters outside links that a window needs for a surge.
 WINDOW, SURGE = 3, 86
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|title|textarea|noscript|iframe|template|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
-    r"|<[!?/][^>]*>"
-    r"|<[a-zA-Z/!?][^<>]*\Z",
-    re.S | re.I,
-)
+_OPEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+_STOP = re.compile("[>\"']")
+#: Elements whose content is no markup and no text of the page, and their ends.
+_RAW = {n: re.compile(rf"</{n}\s*>", re.I) for n in "script style title textarea noscript iframe template".split()}
 _MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
@@ -54,6 +50,11 @@ APART_WORDS = frozenset(
     "disclaimer discussion disqus footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promoted promotion recommendations recommended "
     "related replies reply respond search share sharebar sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget".split()
 )
+#: Words that may stand beside one of these in a class, id or role, as in ``site-footer``; others, as in ``long-form``, unmark it.
+PLACE_WORDS = frozenset(
+    "app area bar block body bottom box btn button buttons card center col column container content desktop entry fixed global group icon icons inline inner item items label left link links list main mini mobile new outer page panel post posts primary reader right row secondary "
+    "section site slot small sticky story text title top unit user web wrap wrapper".split()
+)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _KEEP = frozenset("html body article main".split())
 _NEGATED = frozenset("no has have with without not".split())
@@ -62,18 +63,59 @@ _IMPLIED = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]),
 
 
 def _apart(name: str, attributes: str, articles: int) -> bool:
-    if name in _KEEP and name != "article" or name in _VOID:
+    if name in _KEEP or name in _VOID:
         return False
     if name in APART:
         return not (name == "header" and articles)
     for value in _MARKS.findall(attributes):
-        found = [w.lower() for w in _WORD.findall(value)]
-        for k, w in enumerate(found):
-            if w in APART_WORDS and not (k and found[k - 1] in _NEGATED) and not (w in ("header", "byline") and articles):
+        for token in value.strip("\"'").split():
+            found = [w.lower() for w in _WORD.findall(token)]
+            marks = [k for k, w in enumerate(found) if w in APART_WORDS and not (k and found[k - 1] in _NEGATED) and not (w in ("header", "byline") and articles)]
+            if marks and all(w in APART_WORDS or w in PLACE_WORDS or w.isdigit() for w in found):
                 return True
     return False
 
 
+def tags(html: str) -> Iterator[tuple[int, int, bool, bool, str, str]]:
+    """``(start, end, raw, closing, name, attributes)`` of tags, comments and elements without markup inside, in one pass.
+
+    A ``>`` inside quotes ends no tag; once quotes don't pair up, they count as other characters.  What can't end is left as text, but
+    for an unfinished tag at the end of the page.
+    """
+    at, quotes = 0, True
+    while m := _OPEN.search(html, at):
+        lo, name = m.start(), (m[3] or "").lower()
+        if m[1]:
+            end = html.find("-->", m.end()) + 3
+            at = end if end > 2 else len(html)
+            yield lo, at, False, False, "", ""
+            continue
+        end = -1
+        if name and name not in _RAW and quotes:
+            i = m.end()
+            while q := _STOP.search(html, i):
+                if q[0] == ">":
+                    end = q.start()
+                    break
+                i = html.find(q[0], q.end()) + 1
+                if not i:
+                    break
+            quotes = end >= 0
+        if end < 0:
+            end = html.find(">", m.end())
+        if end < 0:
+            cut = html.rfind("<")
+            if _OPEN.match(html, cut):
+                yield cut, len(html), False, False, "", ""
+            return
+        at = end + 1
+        raw = name in _RAW and not m[2]
+        if raw:
+            close = _RAW[name].search(html, at)
+            at = close.end() if close else len(html)
+        yield lo, at, raw, bool(m[2]), name, html[m.end() : end]
+
+
 def lines(html: str) -> list[tuple[str, int, bool, bool]]:
     """``(text, characters outside links, inside an article, heading)`` per line; gaps are empty lines."""
     out: list[tuple[str, int, bool, bool]] = []
@@ -104,18 +146,16 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
                 plain += len(text.strip())
 
     end = 0
-    for m in _TAG.finditer(html):
-        say(html[end : m.start()])
-        end = m.end()
-        name = (m[3] or "").lower()
-        if m[1] or not name:
-            if not skip:
-                parts.append(" " if m[1] else "")
+    for start, stop, raw, closing, name, attributes in tags(html):
+        say(html[end:start])
+        end = stop
+        if raw or not name:
+            if raw and not skip:
+                parts.append(" ")
             continue
-        closing = bool(m[2])
         if skip:
             if name == skip:
-                depth += -1 if closing else 0 if m[4].rstrip().endswith("/") else 1
+                depth += -1 if closing else 0 if attributes.rstrip().endswith("/") else 1
                 if not closing and name in _IMPLIED and name in _IMPLIED[name]:
                     depth = 0  # the next sibling
             elif not closing and (name in ("article", "main") or name in _IMPLIED.get(skip, ())):
@@ -139,9 +179,9 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
                 flush()
                 heading = heading and name not in HEADINGS
             continue
-        if _apart(name, m[4], articles):
+        if _apart(name, attributes, articles):
             gap()
-            if not m[4].rstrip().endswith("/"):
+            if not attributes.rstrip().endswith("/"):
                 skip, depth, link = name, 1, 0
             continue
         if name in ("article", "main"):
@@ -173,17 +213,20 @@ def extract(html: str) -> str:
             stretches.append([])
     stretches = [s for s in stretches if s]
     plain = [k for k, s in enumerate(stretches) if any(x[1] for x in s)]
+    plain_set = set(plain)
     surges = [k for k, s in enumerate(stretches) if any(sum(x[1] for x in s[i : i + WINDOW]) > (0 if s[0][2] else SURGE) for i in range(len(s)))] or plain
     if not surges:
         return "\n".join(x[0] for s in stretches for x in s)
-    first, last = surges[0], plain[-1]
-    kept = stretches[first : last + 1]
+    # the dive: an article that surges ends at its edge; elsewhere the last text outside links ends the page's text
+    first, last = surges[0], surges[-1] if stretches[surges[-1]][0][2] else plain[-1]
+    begin, skipped = first, 0
     for k in range(first - 1, -1, -1):
         heads = [i for i, x in enumerate(stretches[k]) if x[3]]
         if heads:
-            kept = [stretches[k][heads[0] :], *stretches[k + 1 : last + 1]]
-        elif k not in plain:
+            begin, skipped = k, heads[0]
+        elif k not in plain_set:
             break
+    kept = [stretches[begin][skipped:], *stretches[begin + 1 : last + 1]]
     return "\n".join(x[0] for s in kept for x in s)
 
 

@@ -1,6 +1,10 @@
 """Main text of small pages."""
 
-from merchgrid.llm.html_text import extract, with_text
+import time
+
+import pytest
+
+from merchgrid.llm.html_text import SURGE, WINDOW, extract, lines, with_text
 
 
 def test_article_page():
@@ -59,3 +63,43 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p>", "x"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     assert [r.text for r in with_text(df).orderBy("page_id").collect()] == ["a", ""]
     assert with_text(df.limit(0)).count() == 0
+
+
+def test_other_words_mark_nothing():
+    body = "word " * 39 + "word"
+    for name in ("long-form", "form-factor", "market-share", "press-notice", "post comments-open", "entry-social-history", "no-sidebar", "has-comments"):
+        for element in ("div", "article", "section"):
+            assert extract(f'<body><{element} class="{name}"><p>{body}</p></{element}></body>') == body, name
+    for name in ("site-footer", "cookie-notice", "related-posts", "adSlot2", "main-nav", "x comments", "newsletter_signup"):
+        assert extract(f'<body><p>{body}</p><div class="{name}"><p>{body} again</p></div></body>') == body, name
+    assert extract(f'<body><article class="teaser"><p>{body}</p></article></body>') == body
+
+
+def test_text_ends_at_the_dive_behind_an_article():
+    body = "word " * 39 + "word"
+    assert extract(f"<body><article><p>{body}</p></article><p>tail</p><ul><li>Copyright 2020 all</li></ul></body>") == body
+    assert extract(f"<body><article><p>{body}</p></article><p>tail</p><article><p>End.</p></article></body>") == f"{body}\ntail\nEnd."
+
+
+def test_malformed_tags():
+    assert extract("<p title='a>b'>x</p><p>y<") == "x\ny<" and extract('<p title="a>x</p><p>y') == "x\ny"
+    assert extract("a <b>c</b> <!x y> <?z> </> d") == "a c d" and extract("<xmp>seen</xmp>") == "seen"
+
+
+@pytest.mark.parametrize("unit", ["<a x", '<a "', "<a '\">", '<a ">" ', "<!-- ", "<p", "<script>", "</", "<", "<p>x", '<div class="ad">', "<h1>a</h1><aside>b</aside>", "a&amp", "<a>b</a>", "<p class=class=", "</p x"])
+def test_linear_on_a_megabyte(unit):
+    start = time.perf_counter()
+    extract(unit * (1_000_000 // len(unit)))
+    assert time.perf_counter() - start < 10
+
+
+def test_windows_against_a_naive_rule():
+    """Without marked parts: kept is what lies from the first to the last window over the threshold, by trying every window."""
+    for sizes in ([5, 40, 30, 20, 3], [90, 0, 1], [10, 10, 10], [SURGE, 1, 1, 1], [30, 30, 27], [30, 30, 26]):
+        html = "<body><aside>x</aside>" + "".join(f"<p>{'y' * n}</p>" for n in sizes) + "<aside>x</aside><p>low</p></body>"
+        surge = any(sum(sizes[i : i + WINDOW]) > SURGE for i in range(len(sizes)))
+        want = "\n".join([*("y" * n for n in sizes if n), "low"])
+        assert extract(html) == want, (sizes, surge)
+        linked = html.replace("<body>", "<body><p>Lead in.</p>")
+        assert extract(linked) == (want if surge else "Lead in.\n" + want), (sizes, surge)
+    assert [x[1] for x in lines("<p>ab<a>cd</a>e</p>")] == [3]
