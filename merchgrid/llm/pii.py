@@ -119,18 +119,26 @@ def _at_most_255(digits: str) -> bool:
     return len(short) <= 3 and int(short or "0") <= 255
 
 
-def _url(t: str, colon: int, floor: int) -> tuple[int, int] | None:
+def _url(t: str, colon: int, floor: int, run: list[int]) -> tuple[int, int] | None:
+    """``run`` remembers the end of the characters that a URL may hold, and that without closing punctuation."""
+    if colon < floor:
+        return None
     lo = colon
     while lo > floor and t[lo - 1] in _SCHEME:
         lo -= 1
     while lo < colon and not t[lo].isalpha():
         lo += 1
-    hi = colon + 3
-    while hi < len(t) and t[hi] not in _URL_END:
-        hi += 1
-    while hi > colon + 3 and t[hi - 1] in ".,;:!?)]":
-        hi -= 1
-    host = t[colon + 3 : hi].split("/", 1)[0].rpartition("@")[2].split(":", 1)[0]
+    if colon + 3 > run[0]:
+        end = colon + 3
+        while end < len(t) and t[end] not in _URL_END:
+            end += 1
+        run[0] = end
+        while end > colon + 3 and t[end - 1] in ".,;:!?)]":
+            end -= 1
+        run[1] = end
+    hi = max(run[1], colon + 3)
+    slash = t.find("/", colon + 3, hi)
+    host = t[colon + 3 : slash if slash >= 0 else hi].rpartition("@")[2].split(":", 1)[0]
     return (lo, hi) if lo < colon and "." in host.strip(".") and _run(host, 0, _LABEL | {"."}) == len(host) else None
 
 
@@ -142,6 +150,8 @@ def _iban(t: str, i: int) -> tuple[int, int] | None:
         if t[i] != " ":
             got += t[i].upper()
             end = i + 1
+            if len(got) == 4 and not (got[:2].isalpha() and got[2:].isdigit()):
+                return None
             if len(got) >= 15 and got[:2].isalpha() and got[2:4].isdigit() and int("".join(str(int(c, 36)) for c in got[4:] + got[:4])) % 97 == 1:
                 if i + 1 >= len(t) or t[i + 1] not in _ALNUM:
                     return lo, end
@@ -161,6 +171,7 @@ def find(t: str) -> list[tuple[str, int, int]]:
     """All spans by kind, then start."""
     got: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     floor = {k: 0 for k in KINDS}
+    run = [0, 0]
     for last, (kind, size) in _automaton().iter(t):
         at = last + 1 - size
         if kind == "digit":
@@ -189,7 +200,7 @@ def find(t: str) -> list[tuple[str, int, int]]:
                     if 8 <= sum(c in _DIGITS for c in t[m[0] : m[1]]) <= 15:
                         got["phone"].append(m)
         else:
-            m = _url(t, at, floor["url"]) if kind == "url" else _iban(t, last + 1) if kind == "iban" else _ssn(t, last + 1)
+            m = _url(t, at, floor["url"], run) if kind == "url" else _iban(t, last + 1) if kind == "iban" else _ssn(t, last + 1)
             if m and m[0] >= floor[kind]:
                 floor[kind] = m[1]
                 got[kind].append(m)

@@ -2,6 +2,9 @@
 
 import random
 import re
+import time
+
+import pytest
 
 from merchgrid.llm import pii
 
@@ -55,3 +58,15 @@ def test_rows(spark):
     got = pii.with_spans(df).collect()
     assert len(got) == 3 and [len(r.pii) for r in got] == [1, 0, 1]
     assert pii.with_spans(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["a://b", "a://b.", "://", "a@b.", "+1", "1.", "1-", "iban ", "ssn ", "x://u@"])
+def test_linear_on_a_megabyte(unit):
+    start = time.perf_counter()
+    pii.find(unit * (1_000_000 // len(unit)))
+    assert time.perf_counter() - start < 6
+
+
+def test_urls():
+    assert [s for s in pii.find("see http://a.b/c?x=http://d.e, and x://y.z).") if s[0] == "url"] == [("url", 4, 29), ("url", 35, 42)]
+    assert [s for s in pii.find("a://b://c.d/e") if s[0] == "url"] == [("url", 4, 13)]
