@@ -11,8 +11,13 @@ the whole passage aligns with at most ``k = EDITS * n`` edits.  Nothing within t
 The passages' q-grams go to every task in blocks of ``BLOCK`` characters (a checked size); a
 benchmark of any size is done block after block in one pass over the texts.  No shuffle.
 
-Defined results: null texts count as empty; passages with fewer than ``MIN_CHARS`` folded
-characters say too little and are left out; equal passages are all named; without passages nothing is
+Passages with fewer than ``MIN_CHARS`` folded characters leave no room for edits: they are leaks
+where their words stand in a text as they are, found by the hash of as many neighbouring words and compared.
+
+Long texts are searched in windows of ``WINDOW`` characters that reach beyond both ends; a window owns the places
+that start in it.
+
+Defined results: null texts count as empty, and passages without a letter or digit have no place; equal passages are all named; without passages nothing is
 a leak; repeated rows are judged each; extra columns are kept.
 """
 
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merchgrid.llm.common import bare, chunks, texts, widened, with_columns
-from merchgrid.llm.vec import codes, grams
+from merchgrid.llm.vec import codes, grams, span_hashes
 
 Q = 6
 #: Edits allowed, as a share of the passage's characters.
@@ -82,11 +87,24 @@ class Passages:
     many: np.ndarray  # entries of each q-gram
     shift: np.ndarray  # half a band of each passage is two to this power wide, over its budget
     longest: int
+    short: dict[int, dict[int, list[tuple[int, np.ndarray]]]]  # by number of words and hash: id and text
+
+
+def word_spans(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a folded text."""
+    gap = np.flatnonzero(x == 0)
+    return np.append(0, gap + 1), np.append(gap, len(x))
 
 
 def index(items: list[tuple[int, str]], q: int = Q, edits: float = EDITS) -> Passages:
-    kept = [(i, folded(t or "")[0]) for i, t in items]
-    kept = [(i, x) for i, x in kept if len(x) >= max(MIN_CHARS, q)]
+    every = [(i, folded(t or "")[0].copy()) for i, t in items]
+    every = [(i, x[1:] if x[0] == 0 else x) for i, x in every if x.any()]
+    kept = [(i, x) for i, x in every if len(x) >= max(MIN_CHARS, q)]
+    short: dict[int, dict[int, list[tuple[int, np.ndarray]]]] = {}
+    for i, x in every:
+        if len(x) < max(MIN_CHARS, q):
+            h = int(span_hashes(x, np.array([0]), np.array([len(x)]))[0])
+            short.setdefault(len(word_spans(x)[0]), {}).setdefault(h, []).append((i, x))
     n = np.array([len(x) for _, x in kept], np.int64)
     budget = np.minimum(np.floor(n * edits).astype(np.int64), (n - q) // q)  # the bound stays at 1 or more
     h = [grams(x, q) for _, x in kept]
@@ -99,7 +117,7 @@ def index(items: list[tuple[int, str]], q: int = Q, edits: float = EDITS) -> Pas
     seen[(keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
     shift = np.ceil(np.log2(budget + 1)).astype(np.int32)
     first = np.append(first, len(key)).astype(np.int32)
-    return Passages([i for i, _ in kept], [x for _, x in kept], budget, n - q + 1 - budget * q, keys, first, item[order].astype(np.int32), pos[order].astype(np.int32), seen, np.diff(first), shift, int(n.max(initial=0)))
+    return Passages([i for i, _ in kept], [x for _, x in kept], budget, n - q + 1 - budget * q, keys, first, item[order].astype(np.int32), pos[order].astype(np.int32), seen, np.diff(first), shift, int(n.max(initial=0)), short)
 
 
 def _last_row(a: np.ndarray, b: np.ndarray, lo: int, hi: int, k: int) -> np.ndarray | None:
@@ -165,11 +183,13 @@ def leaks_in(x: np.ndarray, p: Passages, q: int = Q) -> list[tuple[int, int, int
     bound = p.bound[spots // wide]
     bands = spots[counts + beside >= bound]
     out: list[tuple[int, int, int, int]] = []
+    order = np.argsort(key, kind="stable") if len(bands) else None
+    ranked = key[order] if len(bands) else None
     for spot in bands:
         i = int(spot // wide)
         w = 1 << int(p.shift[i])
         lo = int(spot % wide) * w - low
-        mine = (key == spot) | (key == spot + 1)
+        mine = order[np.searchsorted(ranked, spot) : np.searchsorted(ranked, spot + 1, "right")]
         if len(np.unique(p.pos[entry[mine]])) < p.bound[i]:
             continue
         if out and out[-1][0] == i and lo <= out[-1][1] <= lo + w:
@@ -185,10 +205,21 @@ def find(text: str, p: Passages, q: int = Q) -> list[tuple[int, int, int, int]]:
     x, at = folded(text)
     reach = 2 * p.longest
     out = set()
-    for lo in range(0, max(1, len(x)), WINDOW):
-        for i, a, b, e in leaks_in(x[lo : lo + WINDOW + reach], p, q):
-            out.add((p.ids[i], int(at[min(lo + a, len(at) - 1)]), int(at[lo + b - 1]) + 1, e))
-    return sorted(out)
+    for lo in range(0, len(x), WINDOW) if p.longest else ():
+        begin = max(0, lo - reach)
+        for i, a, b, e in leaks_in(x[begin : lo + WINDOW + reach], p, q):
+            if lo <= begin + a < lo + WINDOW:
+                out.add((p.ids[i], int(at[begin + a]), int(at[begin + b - 1]) + 1, e))
+    if p.short and len(x):
+        starts, ends = word_spans(x)
+        for n, wanted in p.short.items():
+            first, last = starts[: len(starts) - n + 1], ends[n - 1 :]
+            h = span_hashes(x, first, last) if len(first) else np.empty(0, np.uint64)
+            for k in np.flatnonzero(np.isin(h, np.array(list(wanted), np.uint64))):
+                for i, y in wanted[int(h[k])]:
+                    if np.array_equal(y, x[first[k] : last[k]]):
+                        out.add((i, int(at[first[k]]), int(at[last[k] - 1]) + 1, 0))
+    return sorted(out, key=lambda r: (r[0] is not None, *[v or 0 for v in r]))
 
 
 def blocks(benchmark: DataFrame, q: int = Q, edits: float = EDITS) -> Iterator[Passages]:
@@ -210,7 +241,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float =
     out = docs.drop("leaks").withColumn("leaks", F.array().cast(LEAKS))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
     for p in blocks(benchmark, q, edits):
-        if not p.ids:
+        if not p.ids and not p.short:
             continue
         sent = docs.sparkSession.sparkContext.broadcast(p)
 
@@ -228,4 +259,4 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float =
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that hold a passage of ``benchmark``."""
-    return with_leaks(docs, benchmark).where(F.size("leaks") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return with_leaks(docs.select(F.struct("*").alias("row"), "text"), benchmark).where(F.size("leaks") == 0).select("row.*")

@@ -50,7 +50,7 @@ def test_leaks_equal_full_alignment():
 
 
 def test_spans_fold_case_and_marks():
-    p = dc.index([(7, "The quick brown fox jumps over the lazy dog"), (8, "too short")])
+    p = dc.index([(7, "The quick brown fox jumps over the lazy dog"), (8, "too short")])  # the second one stands nowhere
     doc = "x " * 50 + "THE  quick, brown fox -- jumps over the lazy dog!" + " y" * 50
     assert dc.find(doc, p) == [(7, 100, 148, 0)]
     assert dc.find("", p) == [] and dc.find("the quick brown", p) == []
@@ -65,3 +65,30 @@ def test_rows(spark):
     assert got == {(1, (1, 3)), (2, ()), (3, ())}
     assert dc.clean(docs, bench).count() == 3 and dc.clean(docs, bench).columns == docs.columns
     assert dc.clean(docs, bench.limit(0)).count() == 4 and dc.clean(docs.limit(0), bench).count() == 0
+
+
+def test_short_items_match_at_word_edges():
+    p = dc.index([(1, "Paris"), (2, "to be"), (3, "To be!"), (4, ""), (None, "x y"), (5, "!?")])
+    assert dc.find("in PARIS to-be or", p) == [(1, 3, 8, 0), (2, 9, 14, 0), (3, 9, 14, 0)]
+    assert dc.find("parisian into be toobe", p) == [] and dc.find("X y", p) == [(None, 0, 3, 0)] and dc.find("", p) == []
+
+
+def test_windows_own_the_places_that_start_in_them(monkeypatch):
+    r = random.Random(4)
+    items = [(i, " ".join(word(r) for _ in range(25))) for i in range(3)]
+    p = dc.index(items)
+    texts = [" ".join(word(r) for _ in range(r.randint(0, 60))) + " " + items[k % 3][1] + " " + " ".join(word(r) for _ in range(60)) for k in range(40)]
+    whole = [dc.find(t, p) for t in texts]
+    assert all(whole)
+    for width in (64, 101, 333):
+        monkeypatch.setattr(dc, "WINDOW", width)
+        for t, want in zip(texts, whole, strict=True):
+            assert [x for x in dc.find(t, p) if x[3] == 0] == [x for x in want if x[3] == 0], width
+            assert {x[0] for x in dc.find(t, p)} == {x[0] for x in want}
+
+
+def test_item_across_the_window_edge():
+    item = "seven brave foxes carried nine golden apples over the frozen river at dawn"
+    for shift in (0, 4, 40):
+        t = "z " * ((dc.WINDOW - shift) // 2) + item + " z" * 50
+        assert dc.find(t, dc.index([(1, item)])) == [(1, (dc.WINDOW - shift) // 2 * 2, (dc.WINDOW - shift) // 2 * 2 + len(item), 0)]
