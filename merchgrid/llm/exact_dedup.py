@@ -98,11 +98,11 @@ def drop_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were."""
     table = stored(exact_dedup(docs, block))
     kept = table.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    keyed = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
-    out = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), F.sha2(normalised(F.col("text")), 256).alias("_sha"))
+    out = keyed.join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
     if table.groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count():  # rows repeated with their id
-        out = out.dropDuplicates(["doc_id", "_sha"])
-    return out.drop("_sha")
+        out = out.dropDuplicates(["_id", "_sha"])
+    return out.select("row.*")
 
 
 ORACLE = r"""

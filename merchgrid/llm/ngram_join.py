@@ -273,8 +273,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class, all columns as they were."""
     table = stored(jaccard_classes(docs).select("doc_id", "text_key", "kept"))
     kept = table.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key")), "left_semi")
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"))
+    out = keyed.join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key")), "left_semi")
     if table.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count():  # rows repeated with their id
-        out = out.dropDuplicates(["doc_id", "_key"])
-    return out.drop("_key")
+        out = out.dropDuplicates(["_id", "_key"])
+    return out.select("row.*")

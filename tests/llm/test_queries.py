@@ -81,13 +81,18 @@ def test_pipeline_against_plain_steps(spark):
     assert set(out) == set(docs)
 
 
-def test_stages_keep_the_columns(spark):
+def test_stages_keep_columns_and_values(spark):
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and corpus_pipeline.ORACLE_SQL is None
+    clash = ["score", "lang_pred", "leaks", "_sha", "_key", "_id", "row", "rid", "keep_id"]
+    text = "The dog and the cat walk into the wood"
     docs = spark.createDataFrame(
-        [(1, "Der Hund und die Katze gehen in den Wald", "de", "s", 40, 1), (2, None, None, "s", 0, 2), (3, "The dog and the cat walk into the wood", "en", None, 38, 3), (3, "The dog and the cat walk into the wood", "en", None, 38, 3)],
-        "doc_id long, text string, lang string, source string, n_chars long, score int")
+        [(i, t, lang, "s", 40, *[f"{c} of {i}" for c in clash]) for i, t, lang in ((1, "Der Hund und die Katze gehen in den Wald", "de"), (2, None, None), (3, text, "en"), (3, text, "en"), (4, text + " and run. " * 300_000, None))],
+        "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clash))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns, name
-        assert {r.doc_id for r in out.collect()} >= {1, 3}, name
+        rows = out.collect()
+        assert {r.doc_id for r in rows} >= {1, 3, 4}, name
+        for r in rows:
+            assert [r[c] for c in clash] == [f"{c} of {r.doc_id}" for c in clash], name
         assert stage(spark, docs.limit(0), SF).count() == 0, name
