@@ -20,8 +20,8 @@ LEAST_CERTAIN = 0.5
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those whose language is uncertain."""
     model = language_id.fit(docs.where(remainder("doc_id", 4) != 2).select("text", "lang"))
-    seen = language_id.identify(docs, model)
-    return seen.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_CERTAIN)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    seen = language_id.identify(docs.select(F.struct("*").alias("row"), "text"), model)
+    return seen.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_CERTAIN)).select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
