@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from merchgrid.functions.colors import best_option, description_words, family, loosely_contains, normalize, option_words
-from merchgrid.session import durable
 
 
 def _grams(c: Column) -> Column:
@@ -83,36 +82,31 @@ def assign_images(images: DataFrame, options: DataFrame) -> DataFrame:
 
     ``images(product_id, ord, url, label, description)``, ``options(product_id, option, ord)``.
     A label goes to its first image.  Descriptions are consumed in image order and each
-    taken colour leaves the pool, so the next assignment of a product is its first later
-    image that fits the remaining pool.  Each round finds that image for all products at
-    once (a join and a min), and there are at most as many rounds as options per product.
+    taken colour leaves the pool: one fold per product over its images with the pool as state, planned
+    as a whole.  Images that fit no open colour are left out before, and of equally described
+    ones only as many as the pool has colours can be taken, so a product's list stays short however
+    many images repeat a description.
     """
-    labelled = images.join(options.select("product_id", F.col("option").alias("label")), ["product_id", "label"])
+    labelled = images.join(options.select("product_id", F.col("option").alias("label")).distinct(), ["product_id", "label"])
     first = labelled.groupBy("product_id", F.col("label").alias("option")).agg(F.min(F.struct("ord", "url")).alias("i"))
     done = first.select("product_id", "option", "i.url", F.lit("label").alias("via"))
+    pools = options.join(done.select("product_id", "option"), ["product_id", "option"], "left_anti").groupBy("product_id").agg(
+        F.array_sort(F.collect_list(F.struct("ord", "option", option_words(F.col("option")).alias("words")))).alias("pool"))
     # Images that lost their label's colour do not come back: only unlabelled ones are described.
-    free = durable(images.where("label is null and description is not null").select(
-        "product_id", "ord", "url", description_words(F.col("description")).alias("words")
-    ))
-    open_options = options.join(done.select("product_id", "option"), ["product_id", "option"], "left_anti")
-    state = durable(
-        open_options.groupBy("product_id").agg(
-            F.array_sort(F.collect_list(F.struct("ord", "option", option_words(F.col("option")).alias("words")))).alias("pool")
-        ).withColumn("last", F.lit(-1).cast("bigint"))
-    )
-    while True:
-        fit = free.join(state, "product_id").where(F.col("ord") > F.col("last")).withColumn(
-            "option", best_option(F.col("words"), F.col("pool"))
-        ).where("option is not null")
-        step = durable(fit.groupBy("product_id").agg(F.min(F.struct("ord", "url", "option")).alias("s")))
-        if step.isEmpty():
-            return done
-        done = done.unionByName(step.select("product_id", "s.option", "s.url", F.lit("description").alias("via")))
-        state = durable(
-            state.join(step, "product_id")
-            .select("product_id", F.filter("pool", lambda o: o["option"] != F.col("s.option")).alias("pool"), F.col("s.ord").cast("bigint").alias("last"))
-            .where(F.size("pool") > 0)
-        )
+    free = images.where("label is null and description is not null").select("product_id", "ord", "url", description_words(F.col("description")).alias("words"))
+    fit = free.join(pools, "product_id").where(best_option(F.col("words"), F.col("pool")).isNotNull())
+    nth = F.row_number().over(Window.partitionBy("product_id", "words").orderBy("ord", "url"))
+    fit = fit.withColumn("nth", nth).where(F.col("nth") <= F.size("pool"))
+    queues = fit.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("ord", "url", "words"))).alias("queue"), F.min("pool").alias("pool"))
+    start = F.struct(F.col("pool"), F.array().cast("array<struct<option:string,url:string>>").alias("taken"))
+
+    def take(state: Column, image: Column) -> Column:
+        after = lambda o: F.when(o.isNull(), state).otherwise(F.struct(
+            F.filter(state["pool"], lambda x: x["option"] != o).alias("pool"), F.concat(state["taken"], F.array(F.struct(o.alias("option"), image["url"].alias("url")))).alias("taken")))
+        return F.get(F.transform(F.array(best_option(image["words"], state["pool"])), after), F.lit(0))
+
+    taken = queues.select("product_id", F.explode(F.aggregate("queue", start, take, lambda s: s["taken"])).alias("t"))
+    return done.unionByName(taken.select("product_id", "t.option", "t.url", F.lit("description").alias("via")))
 
 
 def selected_images(variants: DataFrame, mapped: DataFrame, images: DataFrame) -> DataFrame:

@@ -293,7 +293,29 @@ _PROHIB = " UNION ALL ".join(
     f"SELECT doc_id, '{m.replace(chr(39), chr(39) * 2)}' AS term FROM documents WHERE regexp_matches(text, '(?i){_unicode_words(p)}')" for p, m in P.PROHIBITED
 )
 
+# Sequential rule: labels first, then each free description in image order takes the best open colour.
+_NOISE = "['and', 'with', 'the', 'a', 'an', 'dark', 'light', 'bright', 'deep', 'pale', 'matte', 'product', 'is', 'color', 'colored']"
+_ASSIGN = {
+    "queue_": """SELECT product_id, position::BIGINT AS ord, image_src AS url, CASE WHEN (product_id + position) % 3 = 0 THEN option1_value END AS label,
+        ['deep red', 'blue and navy', 'black polarized', 'bright green forest', 'grey', 'a product'][((product_id + position * 5) % 6)::INT + 1] AS description FROM variants WHERE image_src <> ''""",
+    "choices_": "SELECT product_id, option1_value AS option, min(position)::BIGINT AS ord FROM variants GROUP BY 1, 2",
+    "labelled_": "SELECT q.product_id, option, arg_min(url, q.ord) AS url FROM queue_ q JOIN choices_ c ON q.product_id = c.product_id AND label = option GROUP BY 1, 2",
+    "pool_": f"""SELECT product_id, list({{'option': option, 'words': list_filter(regexp_split_to_array(lower(trim(regexp_replace(option, '[/-]', ' ', 'g'))), '\\s+'), lambda w: NOT list_contains({_NOISE}, w))}}
+        ORDER BY ord, option) AS pool FROM choices_ c WHERE NOT EXISTS (FROM labelled_ l WHERE l.product_id = c.product_id AND l.option = c.option) GROUP BY 1""",
+    "free_": f"""SELECT product_id, url, row_number() OVER (PARTITION BY product_id ORDER BY ord, url) AS nth,
+        list_distinct(list_filter(list_transform(regexp_split_to_array(lower(trim(description)), '\\s+'), lambda w: trim(w, ',.')), lambda w: NOT list_contains({_NOISE}, w))) AS words
+        FROM queue_ WHERE label IS NULL AND description IS NOT NULL""",
+    "walk_": """SELECT product_id, 0::BIGINT AS nth, pool, NULL::VARCHAR AS option, NULL::VARCHAR AS url FROM pool_
+      UNION ALL SELECT product_id, nth, list_filter(pool, lambda o: best IS NULL OR o.option <> best), best, url FROM (
+        SELECT product_id, nth, pool, url, CASE WHEN b.n >= 1 AND (b.n >= CASE WHEN len(words) >= 2 THEN 2 ELSE 1 END OR b.dominant) THEN b.option END AS best FROM (
+          SELECT w.product_id, f.nth, w.pool, f.url, f.words, list_max(list_transform(w.pool, lambda o, i: {'n': len(list_intersect(f.words, o.words)), 'rank': -i, 'option': o.option,
+            'dominant': coalesce(list_contains(f.words, o.words[1]), false)})) AS b
+          FROM walk_ w JOIN free_ f ON f.product_id = w.product_id AND f.nth = w.nth + 1))""",
+}
+
 ORACLES = {
+    "image_assign": with_tables("""SELECT product_id, option, url, 'label' AS via FROM labelled_
+        UNION ALL SELECT product_id, option, url, 'description' FROM walk_ WHERE option IS NOT NULL""", _ASSIGN).replace("WITH ", "WITH RECURSIVE ", 1),
     "taxonomy_assign": with_tables("SELECT * FROM tagged", _TAX),
     "update_queue_diff": with_tables("""SELECT handle, 'product_type' AS field, current_type AS old_value, new_type AS new_value, 'taxonomy_map' AS source, 'pending' AS status
         FROM merged WHERE new_type <> '' AND new_type <> current_type
