@@ -105,8 +105,9 @@ def collection_lookup(spark, sf):
 # -- pages ------------------------------------------------------------------------
 def page_extract(spark, sf):
     e = P.extract(Tables(spark, sf).raw("pages"))
-    return e.select("page_id", "product_name", "page_title", F.size("description_blocks").alias("blocks"), F.size("feature_bullets").alias("bullets"),
-                    F.array_join("description_blocks", "\n").alias("text"), "canonical_url")
+    return e.select("page_id", "product_name", "page_title", F.size("description_blocks").cast("bigint").alias("blocks"), F.array_join("feature_bullets", "\n").alias("bullets"),
+                    F.array_join("description_blocks", "\n").alias("text"), F.array_join(F.transform("images", lambda i: i["url"]), "\n").alias("images"),
+                    F.coalesce("offers_price", F.lit("")).alias("price"), "canonical_url")
 
 
 def page_titles(spark, sf):
@@ -369,7 +370,25 @@ _ITER = {
     "itr": "SELECT iteration, avg(a) AS aa, avg(b) AS ab, avg(c) AS ac, avg(d) AS ad, sum((a + b + c + d) * w) / sum(w) AS avg_score, max(a + b + c + d) AS max_score FROM its GROUP BY 1",
 }
 
+# The article of a page as segments: each begins at an opening tag, and what follows an unclosed paragraph lies inside it.
+_PAGE = {
+    "marked_": """SELECT page_id, url, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'),
+        '<p><b>', chr(1) || 'O', 'g'), '<p>', chr(1) || 'P', 'g'), '<h1>', chr(1) || 'H', 'g'), '</(p|h1)>', chr(1) || 'X', 'g'), '<br>', '', 'g') AS m FROM pages""",
+    "segments_": f"""SELECT page_id, nth, left(s, 1) AS kind, trim({_UNESC("substr(s, 2)")}, ' ' || chr(9) || chr(10) || chr(13)) AS said
+        FROM (SELECT page_id, generate_subscripts(string_split(m, chr(1)), 1) AS nth, unnest(string_split(m, chr(1))) AS s FROM marked_) WHERE s <> ''""",
+    "sized_": """SELECT *, CASE WHEN kind = 'O' THEN sum(length(said)) OVER (PARTITION BY page_id ORDER BY nth DESC) > 20 WHEN kind = 'X' THEN false ELSE length(said) > 20 END AS visible FROM segments_""",
+    "owned_": """SELECT page_id, nth, said, CASE WHEN visible THEN nth ELSE max(CASE WHEN kind = 'O' AND visible THEN nth END) OVER (PARTITION BY page_id ORDER BY nth) END AS owner FROM sized_""",
+    "own_": """SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY owner) AS nth, t FROM (SELECT page_id, owner, string_agg(said, '' ORDER BY nth) AS t FROM owned_ WHERE owner IS NOT NULL GROUP BY 1, 2)
+        WHERE t <> '' AND NOT regexp_matches(t, '(?i)(regular price|sale price|starting at|\\$\\d+\\.\\d{2})|open media \\d+ in modal') AND NOT regexp_matches(t, '^[\\w\\s'']+(>|/|›|»)[\\w\\s'']+((>|/|›|»)[\\w\\s'']+)*$')""",
+    "fold_": """SELECT page_id, 0::BIGINT AS nth, []::VARCHAR[] AS kept FROM pages UNION ALL
+        SELECT f.page_id, o.nth, CASE WHEN list_contains(kept, t) OR (length(t) < 200 AND len(list_filter(kept, lambda b: contains(b, t) OR contains(t, b))) > 0) THEN kept ELSE list_append(kept, t) END
+        FROM fold_ f JOIN own_ o ON o.page_id = f.page_id AND o.nth = f.nth + 1""",
+    "folded_": "SELECT page_id, arg_max(kept, nth) AS kept FROM fold_ GROUP BY 1",
+}
+
 ORACLES = {
+    "page_extract": with_tables(f"""SELECT p.page_id, {_UNESC("regexp_extract(html, '<h1[^>]*>([^<]*)', 1)")} AS product_name, {_UNESC("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS page_title,
+        len(kept) AS blocks, '' AS bullets, array_to_string(kept, chr(10)) AS text, '' AS images, '' AS price, url AS canonical_url FROM pages p JOIN folded_ USING (page_id)""", _PAGE).replace("WITH ", "WITH RECURSIVE ", 1),
     "known_colors": with_tables("SELECT product_id, color, first_variant, coalesce(catalog_image, '') AS catalog_image FROM kc", _OPT),
     "route_status": with_tables("SELECT * FROM routed", _VENDORS),
     "run_status": with_tables("SELECT CASE WHEN status LIKE 'SKIPPED%' THEN 'SKIPPED' ELSE status END AS status, count(*) AS rows FROM routed GROUP BY 1", _VENDORS),

@@ -1,7 +1,11 @@
 import json
+import random
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from merchgrid.functions.html import folded_blocks, parsed
 from merchgrid.operators import images as M
 from merchgrid.operators import intake as N
 from merchgrid.operators import pages as P
@@ -13,6 +17,7 @@ from merchgrid.sources import sinks as K
 from merchgrid.streaming import jobs as J
 
 SF = "/root/testdata/sf0.001"
+RULES = P.rules()
 
 
 def test_input_csv(spark, tmp_path):
@@ -235,3 +240,32 @@ def test_blank_barcodes_stay_out_of_the_join(spark):
     items = spark.createDataFrame([("2", "https://x/2.jpg"), ("", "https://x/no.jpg")], "barcode string, image_url string")
     out = with_catalog_image(v, items)
     assert out.count() == 100 and [r.variant_id for r in out.where("catalog_image is not null").collect()] == [2]
+
+
+@pytest.mark.parametrize("unit", ["<div>x", "<ul><li>x", "<p>word ", "<span>a", "<li>some words ", "<b>", "</div>", "<div>x</span>", "<dl><dt>a<dd>b", "<div class=nav>x", "<main><h1>x", "<p>Some words that make a block.</p>"])
+def test_pages_parse_in_linear_time_and_space(unit):
+    html = unit * (200_000 // len(unit))
+    start = time.perf_counter()
+    elements, said, blocks, lists, specs, error = parsed(html, RULES)
+    assert time.perf_counter() - start < 4 and error is None
+    assert sum(len(e["raw"] or "") for e in elements) + len(said) + sum(map(len, blocks)) + sum(len(i) for x in lists for i in x) + sum(len(s["key"] + s["value"]) for s in specs) <= 2 * len(html)
+
+
+def test_intervals_and_own_texts():
+    elements, said, blocks, _, _, _ = parsed("<body><main><div>Outer words of the box <p>Inner words of the paragraph</p> tail</div><p>x</p></main></body>", RULES)
+    by = {e["tag"]: e for e in elements if e["tag"] != "p"}
+    inner = next(e for e in elements if e["tag"] == "p")
+    assert by["main"]["ord"] < by["div"]["ord"] < inner["ord"] <= by["div"]["last"] < by["main"]["last"]
+    assert said[by["div"]["begin"] : by["div"]["end"]] == "Outer words of the boxInner words of the paragraphtail" and said[inner["begin"] : inner["end"]] == "Inner words of the paragraph"
+    assert blocks == ["Outer words of the boxtail", "Inner words of the paragraph"]
+
+
+def test_folded_blocks_equal_the_pairwise_rule():
+    rng = random.Random(8)
+    for _ in range(300):
+        texts = ["".join(rng.choice("ab c") for _ in range(rng.choice((1, 2, 3, 5, 8, 250)))) for _ in range(rng.randint(0, 14))]
+        want = []
+        for t in texts:
+            if t not in want and not (len(t) < 200 and any(t in b or b in t for b in want)):
+                want.append(t)
+        assert folded_blocks(texts) == want
