@@ -364,7 +364,10 @@ def decide(candidates: DataFrame, pages: DataFrame, similarity=sequence_ratio, k
     ``candidates(product_id, url, ord, confidence, catalog_title, catalog_price,
     catalog_colors)``, ``pages(url, markdown, product_name, scraped_price, vendor_colors,
     content_score)``.  The best k candidates, or all, are tried in order up to the first accepted.
+    Of several pages with one url the one with the highest content score is read (then the greatest markdown, name, price, colours).
     """
+    columns = ["content_score", "markdown", "product_name", "scraped_price", "vendor_colors"]
+    pages = pages.groupBy("url").agg(F.max(F.struct(*columns)).alias("_p")).select("url", "_p.*")
     tried = top_k(candidates, ["product_id"], [F.desc("confidence"), F.col("ord")], k, out="attempt").join(pages, "url", "left")
     staged = tried.withColumn("page_title", best_heading(F.col("markdown"), F.col("catalog_title")))
     # the ratios run only on rows that nothing cheaper has decided

@@ -93,6 +93,18 @@ def candidate_decisions_edit(spark, sf):
     return _decision_columns(M.decide(_decision_input(t), t.candidate_pages(), similarity=_edit))
 
 
+def candidate_decisions_ratio(spark, sf):
+    """The decisions' compared columns with the ratio itself."""
+    t = Tables(spark, sf)
+    return _decision_columns(M.decide(_decision_input(t), t.candidate_pages()))
+
+
+def candidate_decisions_all(spark, sf):
+    """Every candidate may be tried."""
+    t = Tables(spark, sf)
+    return _decision_columns(M.decide(_decision_input(t), t.candidate_pages(), k=None))
+
+
 def season_flags(spark, sf):
     s = M.season_flags(Tables(spark, sf).season_rows())
     return s.select("product_id", half_up(F.col("color_overlap"), 3).alias("color_overlap"), F.array_join("year_hints", ",").alias("year_hints"),
@@ -107,7 +119,7 @@ def catalog_title_match(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     url_structure_score, rescore, rescore_live, rescore_edit, search_hit_scores, candidate_top, candidate_select, title_gate, title_gate_edit,
-    candidate_decisions, candidate_decisions_edit, season_flags, catalog_title_match,
+    candidate_decisions, candidate_decisions_edit, candidate_decisions_ratio, candidate_decisions_all, season_flags, catalog_title_match,
 )}
 
 # ---------------------------------------------------------------- oracles
@@ -226,8 +238,11 @@ _DECIDE = _URL | {
         CASE WHEN ord % 2 = 0 THEN price * (1.0::DOUBLE + (product_id % 8) / 10.0::DOUBLE) END AS scraped,
         CASE WHEN product_id % 4 = 0 THEN []::VARCHAR[] ELSE ['red', 'forest green'] END AS vcol,
         CASE WHEN product_id % 3 = 0 THEN ['red', 'teal'] ELSE ['forest green'] END AS ccol, (product_id + ord * 3) % 10 * 10.0::DOUBLE AS content FROM u4""",
+    "pg_": """SELECT * FROM (SELECT url, blocked, product_name, scraped, vcol, content, title, row_number() OVER (PARTITION BY url ORDER BY content DESC,
+        CASE WHEN blocked THEN 'Just a moment, checking your browser' ELSE '# Menu' || chr(10) || chr(10) || '## ' || title || chr(10) || chr(10) || 'A long' END DESC, product_name DESC, scraped DESC NULLS LAST, vcol DESC) AS nth FROM dc_) WHERE nth = 1""",
+    "dp_": """SELECT dc_.* REPLACE (pg_.blocked AS blocked, pg_.product_name AS product_name, pg_.scraped AS scraped, pg_.vcol AS vcol, pg_.content AS content, pg_.title AS title) FROM dc_ JOIN pg_ ON pg_.url = dc_.url""",
     "d2": f"""SELECT *, CASE WHEN blocked THEN NULL WHEN len({_MEAN('catalog_title')}) = 0 THEN 'Menu'
-        WHEN len(list_intersect({_MEAN('catalog_title')}, {_MEAN('title')}))::DOUBLE / len({_MEAN('catalog_title')}) >= 0.3 THEN trim(title) END AS page_title FROM dc_ WHERE attempt <= 3""",
+        WHEN len(list_intersect({_MEAN('catalog_title')}, {_MEAN('title')}))::DOUBLE / len({_MEAN('catalog_title')}) >= 0.3 THEN trim(title) END AS page_title FROM dp_ WHERE attempt <= 3""",
     "d3": gate_sql("d2"),
     "d4": f"""SELECT *, CASE WHEN len(dp) > 0 AND len(dc) > 0 AND NOT list_has_any(dp, dc) THEN false ELSE NOT (title_similarity < 0.4 AND word_overlap < 0.3) END AS passed,
         CASE WHEN product_name = '' THEN 0.0::DOUBLE ELSE {_LEV.format(a='lower(product_name)', b='lower(catalog_title)')} END AS st,
@@ -260,7 +275,87 @@ _JOIN = {
 }
 _JOIN["jl"] = f"SELECT p_partkey % 4 AS domain, p_partkey AS product_id, {_JT('full_title')} AS a FROM (SELECT *, p_name || ' ' || lower(p_type) || CASE WHEN p_partkey % 2 = 0 THEN ' boots' ELSE '' END AS full_title FROM part)"
 
+
+def ratio_ctes(pairs: str) -> dict[str, str]:
+    """Ratio ``q`` of the pairs ``(a, b)``: the longest common block (earliest in a, then in b) splits both sides, again and again."""
+    return {
+        "rp_": f"SELECT DISTINCT a, b FROM ({pairs}) WHERE a IS NOT NULL AND b IS NOT NULL",
+        "rt_": """SELECT a, b, a AS x, b AS y, 0::BIGINT AS m FROM rp_
+          UNION ALL SELECT a, b, unnest([left(x, i - 1), substr(x, i + k)]), unnest([left(y, j - 1), substr(y, j + k)]), unnest([k, 0]) FROM (
+            SELECT *, strpos(y, substr(x, i, k)) AS j FROM (SELECT a, b, x, y, best.k AS k, -best.ni AS i FROM (
+              SELECT a, b, x, y, list_max(list_transform(range(1, length(x) + 1), lambda i: {
+                'k': coalesce(list_max(list_filter(range(1, length(x) - i + 2), lambda k: contains(y, substr(x, i, k)))), 0), 'ni': -i})) AS best
+              FROM rt_ WHERE x <> '' AND y <> '')) WHERE k > 0)""",
+        "rr_": "SELECT a, b, CASE WHEN length(a) + length(b) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * sum(m) / (length(a) + length(b)) END AS q FROM rt_ GROUP BY a, b",
+    }
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_SEQ = f"CASE WHEN ok AND ov < 0.6 THEN {_LEV.format(a='wanted', b='cand')} ELSE 0.0::DOUBLE END AS seq"
+_QUIET = f"list_concat({_list(_GENERIC)}, {_TOK('vendor')})"
+
+
+def rescore_sql(live: bool) -> str:
+    """Score and trail with the ratio itself."""
+    foreign, absent = (_MINUS(_MINUS(x, _QUIET), _NUM(of)) for x, of in (("extra", "cand"), ("missing", "wanted")))
+    q4 = _RESCORE["r4"]
+    assert _SEQ in q4
+    two = lambda c: f"array_to_string(list_sort({c})[1:2], ',')"
+    pct = lambda c: f"floor({c} * 100 + 0.5::DOUBLE)::BIGINT || '%)'"
+    usd = lambda sep: f"'$' || floor(cp + 0.5::DOUBLE)::BIGINT || '{sep}$' || floor(price + 0.5::DOUBLE)::BIGINT || ')'"
+    names = f"' -foreign_product(' || {two('fw')} || ')'"
+    steps = [("ok AND asym", "-15", "' -asymmetric_height'"), ("ok AND collab", "-25", "' -collab_mismatch'"), ("ok AND demo", "-15", "' -demographic_mismatch'"), ("ok AND yc", "-5", "' -year_mismatch'")]
+    if live:
+        steps += [("ok AND alien AND near", "-40", f"' -near_homonym(' || {two('fw')} || 'vs' || {two('aw')} || ')'"), ("ok AND alien AND NOT near", "-35", names)]
+    else:
+        steps += [("ok AND alien", "-20", names)]
+    steps += [
+        ("ok AND crit", "-30", "' -critical_mismatch(type/model)'"), ("strong", "floor(20 * ov)::INT + CASE WHEN inurl > 0.5 THEN 5 ELSE 0 END", f"' +title_match(' || {pct('ov')}"),
+        ("weak", "-25", f"' -title_mismatch(' || {pct('seq')}"), ("meek", "-10", f"' -title_weak(' || {pct('seq')}"),
+        ("gap <= 0.2::DOUBLE", "10", f"' +price_match(' || {usd('≈')}"), ("gap > 0.5::DOUBLE", "-15", f"' -price_mismatch(' || {usd('vs')}"),
+    ]
+    score = "score"
+    for when, delta, _ in steps:
+        score = f"greatest(0, least(100, {score} + CASE WHEN {when} THEN {delta} ELSE 0 END))"
+    trail = " || ".join(f"CASE WHEN {when} THEN {label} ELSE '' END" for when, _, label in steps)
+    words = " UNION ALL SELECT f, unnest(aw) FROM (SELECT unnest(fw) AS f, aw FROM q4 WHERE ok AND alien)" if live else ""
+    ctes = {k: v for k, v in _RESCORE.items() if k in _URL or k in ("r1", "r2", "r3")} | {
+        "q4": q4.replace(_SEQ, f"{foreign} AS fw, {absent} AS aw"),
+        **ratio_ctes(f"SELECT wanted AS a, cand AS b FROM q4 WHERE ok AND NOT crit AND ov < 0.6{' AND NOT alien' if live else ''}{words}"),
+        "near_": "SELECT product_id, ord, bool_or(f <> m AND q >= 0.55) AS near FROM (SELECT product_id, ord, f, unnest(aw) AS m FROM (SELECT product_id, ord, unnest(fw) AS f, aw FROM q4 WHERE ok AND alien)) JOIN rr_ ON a = f AND b = m GROUP BY 1, 2",
+        "q5": f"""SELECT q4.*, coalesce(q, 0.0::DOUBLE) AS seq, {'coalesce(near, false)' if live else 'false'} AS near, CASE WHEN cp > 0 AND price > 0 THEN abs(cp - price) / price END AS gap,
+            ok AND NOT crit {'AND NOT alien' if live else ''} AS open FROM q4 LEFT JOIN rr_ ON a = wanted AND b = cand {'LEFT JOIN near_ ON near_.product_id = q4.product_id AND near_.ord = q4.ord' if live else ''}""",
+        "q6": "SELECT *, open AND (ov >= 0.6 OR seq >= 0.5) AS strong FROM q5",
+        "q7": "SELECT *, open AND NOT strong AND ov < 0.2 AND seq < 0.3 AS weak FROM q6",
+        "q8": "SELECT *, open AND NOT strong AND NOT weak AND ov < 0.3 AS meek FROM q7",
+    }
+    return recursive(with_tables(f"SELECT product_id, ord, url, {score} AS confidence, 'base=' || score || {trail} AS reasoning FROM q8", ctes))
+
+
+_DECISIONS = f"""SELECT product_id, attempt, url, outcome, coalesce(page_title, '') AS title_extracted, {r('CASE WHEN page_title IS NULL THEN 0 ELSE word_overlap END', 6)} AS word_overlap,
+        {r('sp', 6)} AS sig_price, {r('sc', 6)} AS sig_color, {r('conf', 4)} AS match_confidence FROM d8 WHERE okat IS NULL OR attempt <= okat"""
+
+
+def decisions_sql(k: int | None) -> str:
+    """Decisions with the ratio itself."""
+    sim, named = _LEV.format(a="lower(page_title)", b="lower(catalog_title)"), _LEV.format(a="lower(product_name)", b="lower(catalog_title)")
+    gate, signals = gate_sql("(SELECT d2.*, q FROM d2 LEFT JOIN rr_ ON a = lower(page_title) AND b = lower(catalog_title))"), _DECIDE["d4"]
+    assert sim in gate and named in signals
+    ctes = _DECIDE | {
+        "d2": _DECIDE["d2"] if k else _DECIDE["d2"].replace(" WHERE attempt <= 3", ""),
+        **ratio_ctes("SELECT lower(page_title) AS a, lower(catalog_title) AS b FROM d2 UNION ALL SELECT lower(product_name), lower(catalog_title) FROM d2 WHERE product_name <> ''"),
+        "d3": gate.replace(sim, "q"),
+        "d4": signals.replace(named, "q2").replace(" FROM d3", " FROM (SELECT d3.*, r2.q AS q2 FROM d3 LEFT JOIN rr_ r2 ON r2.a = lower(product_name) AND r2.b = lower(catalog_title))"),
+    }
+    return recursive(with_tables(_DECISIONS, ctes))
+
+
 ORACLES = {
+    "rescore": rescore_sql(False),
+    "rescore_live": rescore_sql(True),
     "url_structure_score": with_tables("SELECT product_id, ord, url, score FROM u4", _URL),
     "rescore_edit": with_tables(f"SELECT product_id, ord, score AS url_score, {r('ov', 6)} AS overlap, c7::BIGINT AS confidence FROM r11", _RESCORE),
     "search_hit_scores": with_tables("SELECT product_id, ord, confidence FROM hits", _HITS),
@@ -273,8 +368,9 @@ ORACLES = {
     "title_gate_edit": with_tables(f"""SELECT conv_id, turn, {r('title_similarity', 6)} AS title_similarity, {r('word_overlap', 6)} AS word_overlap,
         CASE WHEN len(dp) > 0 AND len(dc) > 0 THEN list_has_any(dp, dc)::BIGINT ELSE -1 END AS demographic,
         NOT (len(dp) > 0 AND len(dc) > 0 AND NOT list_has_any(dp, dc)) AND NOT (gated.title_similarity < 0.4 AND gated.word_overlap < 0.3) AS passed FROM gated""", _GATE),
-    "candidate_decisions_edit": with_tables(f"""SELECT product_id, attempt, url, outcome, coalesce(page_title, '') AS title_extracted, {r('CASE WHEN page_title IS NULL THEN 0 ELSE word_overlap END', 6)} AS word_overlap,
-        {r('sp', 6)} AS sig_price, {r('sc', 6)} AS sig_color, {r('conf', 4)} AS match_confidence FROM d8 WHERE okat IS NULL OR attempt <= okat""", _DECIDE),
+    "candidate_decisions_edit": with_tables(_DECISIONS, _DECIDE),
+    "candidate_decisions_ratio": decisions_sql(3),
+    "candidate_decisions_all": decisions_sql(None),
     "season_flags": with_tables(f"""SELECT product_id, {r('co', 3)} AS color_overlap, uy::VARCHAR AS year_hints,
         concat_ws(',', CASE WHEN low THEN 'LOW_COLOR_OVERLAP' END, CASE WHEN mis THEN 'URL_YEAR_MISMATCH' END, CASE WHEN newer THEN 'POSSIBLE_NEWER_MODEL' END) AS flags,
         CASE WHEN NOT low AND NOT mis AND NOT newer THEN 'No season mismatch signals detected.'
