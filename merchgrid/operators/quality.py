@@ -271,8 +271,8 @@ def output_confidence(html: Column, n_images: Column, n_colors: Column, warnings
     return clamp(F.lit(50) + body + F.least(n_images * 3, F.lit(15)) + F.least(n_colors * 2, F.lit(10)) - cost + sources * 5, 0, 100).cast("int")
 
 
-def ranked_images(images: DataFrame, key: str = "handle", limit: int = 10) -> DataFrame:
-    """Output images in order, at most ``limit`` per product.
+def ranked_images(images: DataFrame, key: str = "handle", limit: int | None = None) -> DataFrame:
+    """Output images in order, all or at most ``limit`` per product.
 
     ``images(key, ord, url, source_hint, alt, product_name)``: first per URL without
     query, importable only, non-badges first, then more name words in the URL, then source.

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from merchgrid.plans import catalog, content, core, matching, reports, review
+from merchgrid.plans import catalog, content, core, files, matching, reports, review
 
-MODULES = [core, catalog, matching, content, review, reports]
+MODULES = [core, catalog, matching, content, review, reports, files]
 
 
 def queries() -> dict:

@@ -161,13 +161,8 @@ def _catalog_check(spark, sf, description):
     return out.select("row_id", F.array_join("warnings", "; ").alias("warnings"), F.coalesce("catalog_image", F.lit("")).alias("image"), F.coalesce("catalog_description", F.lit("")).alias("description"))
 
 
-def catalog_check_edit(spark, sf):
-    """The whole catalog check over every variant, with the edit-distance ratio; descriptions are the first 20 characters, as in its SQL."""
-    return _catalog_check(spark, sf, F.substring("text", 1, 20))
-
-
 def catalog_check_text_edit(spark, sf):
-    """The same with whole texts as descriptions."""
+    """The whole catalog check over every variant, with the edit-distance ratio."""
     return _catalog_check(spark, sf, F.col("text"))
 
 
@@ -223,7 +218,7 @@ def feedback_weighted(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     store_values, store_lookup, shaped_products, shaped_variants, hero_images, health_images, ranked_handles, shipping_sheet, bulk_images, backfill_rows, url_checks, extraction_scores, brand_colors,
-    prompt_facts, clean_descriptions, hero_assign, cross_check_edit, catalog_check_edit, catalog_check_text_edit, export_images, candidate_context, run_reports, artifact_changes, scoring_inputs, feedback_weighted,
+    prompt_facts, clean_descriptions, hero_assign, cross_check_edit, catalog_check_text_edit, export_images, candidate_context, run_reports, artifact_changes, scoring_inputs, feedback_weighted,
 )}
 
 # ---------------------------------------------------------------- oracles
@@ -270,11 +265,11 @@ ORACLES = {
     "cross_check_edit": with_tables(f"""SELECT product_id, concat_ws(',', CASE WHEN k AND {_DISTANCE} < 0.3 THEN 'PRODUCT_NAME_MISMATCH' END, CASE WHEN k AND {_DISTANCE} >= 0.3 AND {_DISTANCE} < 0.6 THEN 'PRODUCT_NAME_LOW_SIMILARITY' END,
         CASE WHEN k AND abs(product_id % 90 + 10 - 40) > 20 THEN 'PRICE_MISMATCH' END) AS warnings
         FROM (SELECT product_id, title, product_id % 4 <> 0 AS k, CASE product_id % 3 WHEN 0 THEN 'zzzz qqqq' WHEN 1 THEN left(title, 5) ELSE title END AS pn FROM products)"""),
-    "catalog_check_edit": with_tables(f"""SELECT variant_id AS row_id, coalesce(concat_ws('; ', CASE WHEN rr < 0.3 THEN 'PRODUCT_NAME_MISMATCH: ' || said WHEN rr < 0.6 THEN 'PRODUCT_NAME_LOW_SIMILARITY: ' || said END,
+    "catalog_check_text_edit": with_tables(f"""SELECT variant_id AS row_id, coalesce(concat_ws('; ', CASE WHEN rr < 0.3 THEN 'PRODUCT_NAME_MISMATCH: ' || said WHEN rr < 0.6 THEN 'PRODUCT_NAME_LOW_SIMILARITY: ' || said END,
         CASE WHEN known AND abs(scraped - kp) / kp > 0.5 THEN 'PRICE_MISMATCH: scraped=' || printf('$%.2f', scraped) || ' vs catalog=' || printf('$%.2f', kp) END), '') AS warnings,
         CASE WHEN known THEN coalesce(catalog_image, '') ELSE '' END AS image, CASE WHEN known AND in_store THEN coalesce(dd, '') ELSE '' END AS description
         FROM (SELECT *, CASE WHEN known AND in_store THEN {_DISTANCE} END AS rr, 'scraped=' || chr(39) || pn || chr(39) || ' vs catalog=' || chr(39) || title || chr(39) || ' (similarity=' || round_even({_DISTANCE} * 100, 0)::INT || '%)' AS said
-          FROM (SELECT v.variant_id, v.price AS kp, title, catalog_image, v.barcode <> '' AND position % 10 <> 7 AS known, position % 12 <> 5 AS in_store, left(d.text, 20) AS dd,
+          FROM (SELECT v.variant_id, v.price AS kp, title, catalog_image, v.barcode <> '' AND position % 10 <> 7 AS known, position % 12 <> 5 AS in_store, d.text AS dd,
             CASE position % 3 WHEN 0 THEN 'zzzz qqqq' WHEN 1 THEN left(title, 5) ELSE title END AS pn, CASE WHEN position % 5 <> 2 THEN v.price * (1 + position % 4) END AS scraped
             FROM variants v JOIN products p USING (product_id) LEFT JOIN barcodes USING (barcode) LEFT JOIN documents d ON d.doc_id * 2 = product_id AND d.text <> ''))""", _IMG),
     "export_images": with_tables("""SELECT v.product_id, variant_id AS row_id, option1_value AS option_value, url AS image FROM variants v
@@ -289,4 +284,3 @@ ORACLES = {
     "feedback_weighted": with_tables(f"""SELECT i AS iteration, {r('sum(total * w) / sum(w)', 6)} AS avg_score, max(total) AS max_score FROM (SELECT i, (d + i * 3) % 26 + (d * 3 + i) % 16 + (d + i) % 16 + (d * 5 + i * 2) % 16 AS total,
         CASE WHEN 'doc-' || d IN (SELECT handle FROM fb WHERE disposition IN ('rejected', 'edited')) THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM (SELECT doc_id AS d, unnest(range(0, 5)) AS i FROM documents)) GROUP BY 1""", _CHANGES),
 }
-ORACLES["catalog_check_text_edit"] = ORACLES["catalog_check_edit"].replace("left(d.text, 20)", "d.text")

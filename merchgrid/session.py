@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,18 @@ def local_session(cores: str = "8", app: str = "merchgrid") -> SparkSession:
     )
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``; only a session in one process may lack the setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="merchgrid-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
 

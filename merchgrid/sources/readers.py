@@ -54,23 +54,66 @@ def vendor_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("vendor").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "vendor")
 
 
+PLACE = ["_file", "_block", "_pos"]
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with their place: file, start of the split, number within it."""
+    raw = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    return raw.withColumn("_pos", F.monotonically_increasing_id())
+
+
+def quoted_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of quoted CSV files whose fields may hold line breaks; a file is read in as many tasks as it has splits.
+
+    Every split counts its quotes; the sums of the earlier splits tell whether one begins inside a
+    quoted field.  A line that begins outside starts a record, every other one continues the last
+    record started, be it in an earlier split.  Only records of several lines are put together by a shuffle.
+    Returns ``(record, _file, _block, _pos, _head)`` with the place of the first line; ``_head`` marks each file's first record.
+    """
+    split = ["_file", "_block"]
+    lines = _lines(spark, path).withColumn("_quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    begun = lines.groupBy(*split).agg(F.sum("_quotes").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    within = Window.partitionBy(*split).orderBy("_pos")
+    upto = within.rowsBetween(Window.unboundedPreceding, -1)
+    opened = lines.join(begun, split).withColumn("_starts", (F.col("_before") + F.coalesce(F.sum("_quotes").over(upto), F.lit(0))) % 2 == 0).drop("_before", "_quotes")
+    first = F.when(F.col("_starts"), F.struct("_block", "_pos"))
+    opened = opened.withColumn("_of", F.last(first, ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    last = opened.groupBy(*split).agg(F.max(first).alias("_end")).withColumn("_carry", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
+    placed = opened.join(last, split).withColumn("_of", F.coalesce("_of", "_carry"))
+    alone = F.col("_starts") & F.coalesce(F.lead("_starts").over(within), F.lit(False))
+    head = (F.col("_block") == 0) & (F.row_number().over(within) == 1)
+    placed = placed.withColumns({"_alone": alone, "_head": head}).select("value", *PLACE, "_of", "_alone", "_head")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("_block", "_pos", "value"))), lambda x: x["value"])
+    several = placed.where("not _alone").groupBy("_file", "_of").agg(F.array_join(parts, "\n").alias("record"), F.bool_or("_head").alias("_head")).select("record", "_file", "_of._block", "_of._pos", "_head")
+    records = placed.where("_alone").select(F.col("value").alias("record"), *PLACE, "_head").unionByName(several)
+    return records.withColumn("record", F.regexp_replace("record", "\r$", ""))
+
+
 def read_export(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Product export whose continuation rows inherit the handle above.
 
     Row order is (file, split start, position in split).  The fill runs inside a split;
     the last handle of the earlier splits is carried over through the small table of
-    splits.  Bodies with line breaks need ``multi_line``: then a file is one split.
+    splits.  With ``multi_line`` fields may hold line breaks; the header is one line.
     """
-    raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"').select(
-        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
-    raw = raw.withColumn("_pos", F.monotonically_increasing_id()).withColumn("_own", F.nullif(strip(text(F.col("Handle"))), F.lit("")))
+    if multi_line:
+        names = spark.read.csv(path, header=True, escape='"').columns
+        schema = ", ".join(f"`{n}` string" for n in names)
+        found = quoted_records(spark, path).where("not _head and record <> ''")
+        raw = found.select(F.from_csv("record", F.lit(schema), {"escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"}).alias("r"), *PLACE).select("r.*", *PLACE)
+    else:
+        raw = spark.read.csv(path, header=True, escape='"').select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+        raw = raw.withColumn("_pos", F.monotonically_increasing_id())
+    raw = raw.withColumn("_own", F.nullif(strip(text(F.col("Handle"))), F.lit("")))
     inside = Window.partitionBy("_file", "_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     filled = raw.withColumn("_here", F.last("_own", ignorenulls=True).over(inside))
     ends = raw.groupBy("_file", "_block").agg(F.max_by("_own", F.when(F.col("_own").isNotNull(), F.col("_pos"))).alias("_end"))
     before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.withColumn("_carry", F.last("_end", ignorenulls=True).over(before)).drop("_end")
     out = filled.join(carried, ["_file", "_block"]).withColumn("Handle", F.coalesce("_here", "_carry"))
-    return out.where("Handle is not null").withColumn("row_order", F.struct("_file", "_block", "_pos")).drop("_file", "_block", "_pos", "_own", "_here", "_carry")
+    return out.where("Handle is not null").withColumn("row_order", F.struct(*PLACE)).drop(*PLACE, "_own", "_here", "_carry")
 
 
 SIGNALS = "struct<title_similarity double, price_ratio double, color_overlap double, content_quality double>"
@@ -159,9 +202,18 @@ def save_snapshot(scores: DataFrame, path: str) -> None:
     scores.drop("variants_raw").write.mode("overwrite").parquet(path)
 
 
-def load_snapshot(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Snapshot read with a pinned schema: unknown columns are ignored."""
-    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+def load_snapshot(spark: SparkSession, path: str, schema: T.StructType | None = None, defaults: dict | None = None) -> DataFrame:
+    """Snapshot files of any version, columns met by name over all files.
+
+    With ``schema`` columns that no version has are added and those that it lacks are ignored; a column that is missing or null
+    takes its value in ``defaults``.
+    """
+    found = spark.read.option("mergeSchema", "true").parquet(path)
+    have = set(found.columns)
+    fields = schema.fields if schema else found.schema.fields
+    value = lambda f: F.col(f"`{f.name}`").cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)
+    filled = lambda f: F.coalesce(value(f), F.lit(defaults[f.name]).cast(f.dataType)) if defaults and f.name in defaults else value(f)
+    return found.select(*[filled(f).alias(f.name) for f in fields])
 
 
 STORE_SCHEMA = (

@@ -19,7 +19,7 @@ ADMIN_LINK = "https://admin.example.com/products/"
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def blank_unless(cond: Column, value: Column) -> Column:

@@ -15,7 +15,8 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = [
     "audit_priority", "listing_rollup", "rank_with_pins", "weight_best", "shipping_audit", "health_text", "update_queue_diff", "shopping_feed", "image_propagation",
     "variant_order_rows", "color_match", "gtin_quality", "rescore_edit", "candidate_decisions_edit", "catalog_title_match", "output_quality", "fact_quality", "page_titles",
-    "variant_image_rows", "failure_clusters", "replay_summary", "undo_plan", "rolling_signals",
+    "variant_image_rows", "failure_clusters", "replay_summary", "undo_plan", "rolling_signals", "image_assign", "page_extract", "rescore", "rescore_live", "candidate_decisions_all",
+    "export_round_trip", "decision_log", "snapshot_versions",
 ]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("MERCHGRID_ALL_ORACLES") else SAMPLE
 

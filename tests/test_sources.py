@@ -269,3 +269,30 @@ def test_folded_blocks_equal_the_pairwise_rule():
             if t not in want and not (len(t) < 200 and any(t in b or b in t for b in want)):
                 want.append(t)
         assert folded_blocks(texts) == want
+
+
+def test_export_in_many_splits_equals_one_task(spark, tmp_path):
+    rng = random.Random(3)
+    want = []
+    for f in range(2):
+        rows, above = [], None
+        for i in range(60):
+            body = "".join(rng.choice(["a", '"', ",", "\n", " ", "é", "word "]) for _ in range(rng.choice([0, 3, 20, 300])))
+            own = f"h{f}-{i}" if rng.random() < 0.5 else ""
+            above = own or above
+            rows.append(f'{own},"{body.replace(chr(34), chr(34) * 2)}",{i}')
+            if above:
+                want.append((above, body, str(i)))
+        (tmp_path / f"{f}.csv").write_text("Handle,Body,N\n" + "\n".join(rows) + "\n", encoding="utf-8")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = S.read_export(spark, str(tmp_path))
+        rows = got.collect()
+        assert len({r.row_order._block for r in rows}) > 20
+        assert sorted((r.Handle, r.Body or "", r.N) for r in rows) == sorted(want)
+        assert [r.N for r in sorted(rows, key=lambda r: tuple(r.row_order)) if r.Handle.startswith("h0")] == [n for h, _, n in want if h.startswith("h0")]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
