@@ -33,8 +33,7 @@ def near_dup_pairs(spark, sf):
 
 
 def ngram_overlap(spark, sf):
-    f = Tables(spark, sf).facts()
-    return f.select("handle", Q.shared_ngrams(F.col("blocks"), F.col("bullets")).cast("bigint").alias("shared")).where("shared > 0")
+    return Q.shared_ngrams(Tables(spark, sf).facts(), "handle")
 
 
 def fallback_drafts(spark, sf):

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from merchgrid.functions.common import ratio
 from merchgrid.operators.signals import opportunity_gap
 from merchgrid.sources.readers import DECISION_SCHEMA
+from merchgrid.sources.sinks import write_run_json
 
 
 def decision_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
@@ -46,3 +48,16 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     """Process everything available and stop; ``checkpoint`` lies in the shared folder of the deployment."""
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def append_stream(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Records of a stream as JSON lines, each once (K12): every micro-batch owns the partition of its number.
+
+    A batch that runs again after a failure replaces what it wrote before, as the files of a batch are
+    fixed in the checkpoint before it runs.  Readers of ``path`` see whole batches only.  Without ``every`` all that is there is taken and the query ends.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        write_run_json(batch.withColumn("batch", F.lit(number)), path, "batch")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -32,8 +32,11 @@ def test_near_duplicates_against_all_pairs(spark):
 
 
 def test_shared_ngrams(spark):
-    df = spark.createDataFrame([(["one two three four five six seven"], ["x one two three four five six", "one two"])], "b array<string>, f array<string>")
-    assert df.select(Q.shared_ngrams(F.col("b"), F.col("f")).alias("n")).first().n == 1
+    rows = [(1, ["one two three four five six seven"], ["x One two three four five six", "one two"]), (2, ["a b c d e f"] * 3, ["a b c d e f g", "a b c d e f"]), (3, ["a b c d e f"], []), (4, ["a b c d e f"], ["b a c d e f"])]
+    df = spark.createDataFrame(rows, "k int, blocks array<string>, bullets array<string>")
+    assert {r.k: r.shared for r in Q.shared_ngrams(df, "k").collect()} == {1: 1, 2: 1}
+    long = "word " * 400_000 + "one two three four five six"
+    assert Q.shared_ngrams(spark.createDataFrame([(1, [long], [long])], df.schema), "k").first().shared == 7
 
 
 def test_boilerplate_lines(spark):

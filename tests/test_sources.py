@@ -271,6 +271,29 @@ def test_folded_blocks_equal_the_pairwise_rule():
         assert folded_blocks(texts) == want
 
 
+def test_a_batch_that_runs_again_replaces_its_records(spark, tmp_path, monkeypatch):
+    log, out, state = (str(tmp_path / x) for x in ("log", "out", "state"))
+    (tmp_path / "log").mkdir()
+    for k in range(6):
+        (tmp_path / "log" / f"{k}.json").write_text("".join(json.dumps({"handle": f"h{k}-{i}", "vendor": "V", "outcome": "enriched"}) + "\n" for i in range(3)))
+    whole, seen = J.write_run_json, []
+
+    def failing(df, path, column):
+        whole(df, path, column)
+        seen.append(1)
+        if len(seen) == 2:  # killed after the write, before the batch is committed
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(J, "write_run_json", failing)
+    stream = lambda: J.decision_stream(spark, log, 2).select("handle", "vendor", "outcome")
+    with pytest.raises(Exception, match="lost"):
+        J.append_stream(stream(), out, state).awaitTermination()
+    assert len(seen) == 2
+    J.append_stream(stream(), out, state).awaitTermination()
+    rows = [r.handle for r in spark.read.json(out).collect()]
+    assert sorted(rows) == sorted(f"h{k}-{i}" for k in range(6) for i in range(3)) and len(seen) == 4
+
+
 def test_export_in_many_splits_equals_one_task(spark, tmp_path):
     rng = random.Random(3)
     want = []
