@@ -141,9 +141,11 @@ def near_duplicate_counts(lines: DataFrame, key: str, threshold: float = 0.7) ->
 
 def ngrams(line: Column, n: int = 6) -> Column:
     """Two 64-bit hashes of every run of ``n`` words of a line."""
-    w = words(F.lower(line))
-    run = lambda i: F.struct(F.xxhash64(F.slice(w, i, n)).alias("h"), F.xxhash64(F.lit(n), F.slice(w, i, n)).alias("g"))
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), run)).otherwise(F.array().cast("array<struct<h:bigint,g:bigint>>"))
+    run = lambda w, i: F.struct(F.xxhash64(F.slice(w, i, n)).alias("h"), F.xxhash64(F.lit(n), F.slice(w, i, n)).alias("g"))
+    none = F.array().cast("array<struct<h:bigint,g:bigint>>")
+    # the words are a bound variable: a column would be split again for every run
+    each = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: run(w, i))).otherwise(none)
+    return F.get(F.transform(F.array(words(F.lower(line))), each), F.lit(0))
 
 
 def shared_ngrams(facts: DataFrame, key: str, blocks: str = "blocks", bullets: str = "bullets", n: int = 6) -> DataFrame:
