@@ -40,6 +40,8 @@ from merchgrid.llm.common import attach, bare, chunks, shared_folder, stored
 ARCHIVE_BYTES = 256 << 20
 #: Ranges closer than GAP are read together, up to READ bytes at once; a task gets stretches of SPAN bytes.
 GAP, READ, SPAN = 64 << 10, 8 << 20, 16 << 20
+#: Tasks that read at most; more stretches than these share tasks.
+MOST_TASKS = 100_000
 INDEX = "page_id long, url string, record_type string, digest string, file string, offset long, length long"
 RECORD = "page_id long, url string, html string, record_type string, payload_bytes long, payload_digest string, refers_to long"
 
@@ -153,7 +155,9 @@ def read(index: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_pylist(list(fetch(fs, root, near)), schema)
 
     spans = index.select("file", "offset", "length", F.floor(F.col("offset") / SPAN).alias("span"))
-    return spans.repartition("file", "span").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInArrow(run, RECORD)
+    # the index is small beside the payloads: its bytes must not decide how many tasks read them
+    parts = max(1, spans.select("file", "span").distinct().count())
+    return spans.repartition(min(parts, MOST_TASKS), "file", "span").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInArrow(run, RECORD)
 
 
 def archived(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
