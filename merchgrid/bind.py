@@ -6,7 +6,7 @@ deployment replaces this module by reads of its own catalog tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from merchgrid.operators.images import with_catalog_image
@@ -304,11 +304,11 @@ class Tables:
         )
 
     def title_pairs(self) -> DataFrame:
-        """User turn as catalog title, the answer to it as page title."""
-        c = self.raw("conversations")
-        ask = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("catalog_title"))
-        answer = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("page_title"))
-        return ask.join(answer, ["conv_id", "turn"])
+        """Each answer as page title, the last user turn before it as catalog title."""
+        before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+        asked = F.last(F.when(F.col("role") == "user", F.struct("turn", "text")), ignorenulls=True).over(before)
+        c = self.raw("conversations").withColumn("q", asked).where("role = 'assistant' and q is not null")
+        return c.select("conv_id", "q.turn", F.col("q.text").alias("catalog_title"), F.col("text").alias("page_title"))
 
     def season_rows(self) -> DataFrame:
         p = F.col("p_partkey")

@@ -233,20 +233,21 @@ def escape_html(c: Column) -> Column:
     return c
 
 
-def truncated(c: Column, limit: int) -> Column:
-    return F.when(F.length(c) > limit, F.concat(F.left(c, F.lit(limit - 3)), F.lit("..."))).otherwise(c)
+def truncated(c: Column, limit: int | None) -> Column:
+    return c if limit is None else F.when(F.length(c) > limit, F.concat(F.left(c, F.lit(limit - 3)), F.lit("..."))).otherwise(c)
 
 
-def fallback_html(blocks: Column, bullets: Column, specs: Column, chars: int = 500, items_: int = 6, item_chars: int = 100, rows_: int = 8) -> Column:
+def fallback_html(blocks: Column, bullets: Column, specs: Column, chars: int | None = None, items_: int | None = None, item_chars: int | None = None, rows_: int | None = None) -> Column:
     """Plain description from facts; null without any.
 
-    The format is a short draft: the first block up to ``chars`` characters, ``items_`` features of ``item_chars``, ``rows_`` specifications.
+    The first block, all features and specifications; the numbers bound its characters, the features and theirs, and the specifications.
     """
+    first = lambda c, n: c if n is None else F.slice(c, 1, n)
     intro = F.when(F.size(blocks) > 0, F.concat(F.lit("<p>"), escape_html(truncated(F.get(blocks, F.lit(0)), chars)), F.lit("</p>")))
-    items = F.transform(F.slice(bullets, 1, items_), lambda b: F.concat(F.lit("<li>"), escape_html(truncated(b, item_chars)), F.lit("</li>")))
+    items = F.transform(first(bullets, items_), lambda b: F.concat(F.lit("<li>"), escape_html(truncated(b, item_chars)), F.lit("</li>")))
     features = F.when(F.size(bullets) > 0, F.concat(F.lit("<h3>Features</h3>\n<ul>\n"), F.array_join(items, "\n"), F.lit("\n</ul>")))
     rows = F.transform(
-        F.slice(F.map_entries(specs), 1, rows_),
+        first(F.map_entries(specs), rows_),
         lambda e: F.concat(F.lit("<tr><td>"), escape_html(e["key"]), F.lit("</td><td>"), escape_html(e["value"]), F.lit("</td></tr>")))
     table = F.when(F.size(specs) > 0, F.concat(F.lit("<h3>Specifications</h3>\n<table>\n"), F.array_join(rows, "\n"), F.lit("\n</table>")))
     return F.nullif(F.concat_ws("\n", intro, features, table), F.lit(""))

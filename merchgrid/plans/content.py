@@ -37,6 +37,12 @@ def ngram_overlap(spark, sf):
 
 
 def fallback_drafts(spark, sf):
+    """Short drafts: 500 characters, 6 features of 100, 8 specifications."""
+    f = Tables(spark, sf).facts()
+    return f.select("handle", F.coalesce(Q.fallback_html(F.col("blocks"), F.col("bullets"), F.col("specs"), 500, 6, 100, 8), F.lit("")).alias("html"))
+
+
+def fallback_drafts_whole(spark, sf):
     f = Tables(spark, sf).facts()
     return f.select("handle", F.coalesce(Q.fallback_html(F.col("blocks"), F.col("bullets"), F.col("specs")), F.lit("")).alias("html"))
 
@@ -55,7 +61,7 @@ def output_confidence(spark, sf):
     return o.select("handle", c.cast("bigint").alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (output_quality, quality_rollup, fact_quality, near_dup_pairs, ngram_overlap, fallback_drafts, boilerplate_lines, output_confidence)}
+QUERIES = {f.__name__: f for f in (output_quality, quality_rollup, fact_quality, near_dup_pairs, ngram_overlap, fallback_drafts, fallback_drafts_whole, boilerplate_lines, output_confidence)}
 
 # ---------------------------------------------------------------- oracles
 _W = lambda c: f"list_filter(regexp_split_to_array({c}, '\\s+'), lambda zz: zz <> '')"
@@ -125,6 +131,10 @@ ORACLES = {
         CASE WHEN len(bullets) > 0 THEN '<h3>Features</h3>' || chr(10) || '<ul>' || chr(10) || array_to_string(list_transform(bullets[1:6], lambda b: '<li>' || {_ESC(_CUT('b', 100))} || '</li>'), chr(10)) || chr(10) || '</ul>' END,
         CASE WHEN len(specs) > 0 THEN '<h3>Specifications</h3>' || chr(10) || '<table>' || chr(10) || '<tr><td>weight</td><td>' || {_ESC('specs[1]')} || '</td></tr>'
           || CASE WHEN len(specs) > 1 THEN chr(10) || '<tr><td>fit</td><td>' || specs[2] || '</td></tr>' ELSE '' END || chr(10) || '</table>' END) AS html FROM facts"""),
+    "fallback_drafts_whole": with_tables(f"""SELECT handle, concat_ws(chr(10), CASE WHEN len(blocks) > 0 THEN '<p>' || {_ESC('blocks[1]')} || '</p>' END,
+        CASE WHEN len(bullets) > 0 THEN '<h3>Features</h3>' || chr(10) || '<ul>' || chr(10) || array_to_string(list_transform(bullets, lambda b: '<li>' || {_ESC('b')} || '</li>'), chr(10)) || chr(10) || '</ul>' END,
+        CASE WHEN len(specs) > 0 THEN '<h3>Specifications</h3>' || chr(10) || '<table>' || chr(10) || '<tr><td>weight</td><td>' || {_ESC('specs[1]')} || '</td></tr>'
+          || CASE WHEN len(specs) > 1 THEN chr(10) || '<tr><td>fit</td><td>' || specs[2] || '</td></tr>' ELSE '' END || chr(10) || '</table>' END) AS html FROM facts"""),
     "boilerplate_lines": f"SELECT lang, count(*) AS lines, count(*) FILTER ({_ISBOIL('line')}) AS boilerplate FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1",
     "output_confidence": with_tables("""SELECT handle, greatest(0, least(100, 50 + CASE WHEN length(body_html) > 200 THEN 15 WHEN length(body_html) > 100 THEN 10 WHEN length(body_html) > 0 THEN 5 ELSE 0 END
         + least(doc_id % 8 * 3, 15) + least(doc_id % 5 * 2, 10) - CASE WHEN doc_id % 6 = 0 THEN 12 WHEN doc_id % 4 = 0 THEN 2 ELSE 0 END

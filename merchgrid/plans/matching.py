@@ -226,8 +226,8 @@ def gate_sql(src: str, clean: str = "{}") -> str:
 
 
 _GATE = {
-    "pairs_": """SELECT a.conv_id, a.turn, a.text AS catalog_title, b.text AS page_title FROM conversations a JOIN conversations b
-        ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.role = 'user' AND b.role = 'assistant'""",
+    "pairs_": """SELECT conv_id, q.turn AS turn, q.text AS catalog_title, text AS page_title FROM (SELECT conv_id, role, text, last_value(CASE WHEN role = 'user' THEN {'turn': turn, 'text': text} END IGNORE NULLS)
+        OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q FROM conversations) WHERE role = 'assistant' AND q IS NOT NULL""",
     "gated": gate_sql("pairs_", "regexp_replace({}, '[^\\x00-\\x7F]', '', 'g')"),
 }
 _ACTIVE = lambda c: f"list_distinct(list_filter(list_transform({c}, lambda x: lower(trim(regexp_replace(regexp_replace(x, '\\s*[/|]\\s*', ' ', 'g'), '\\s+', ' ', 'g')))), lambda n: NOT list_has_any(string_split(n, ' '), {_list(rules.NEUTRALS)})))"

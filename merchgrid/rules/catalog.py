@@ -68,6 +68,7 @@ SEASON_TAG_MAP = {
     "season:fall-winter": "fall-winter", "season:fall": "fall-winter", "season:winter": "fall-winter",
     "season:year-round": "year-round",
 }
+# Price tiers of the feed.
 PRICE_TIERS = [(50, "under-50"), (100, "50-100"), (200, "100-200")]
 TOP_PRICE_TIER = "over-200"
 EU_SIZE_VENDORS = ["Brand#9", "Brand#12"]
@@ -77,6 +78,7 @@ STORE_PLACE = "Springfield"
 TYPE_PHRASES = {"Gear": "Precision cut gear", "Anvil": "Drop-forged anvil", "Ring": "Machined ring"}
 
 # -- weights ---------------------------------------------------------------
+# Fixed value: grams of a pound.
 LB_TO_GRAMS = 453.592
 TYPE_WEIGHT_LB = {"Bolt": 0.25, "Ring": 0.5, "Gear": 2.0, "Rod": 3.5, "Plate": 4.0, "Widget": 1.0, "Anvil": 5.0}
 BULKY_TYPES = ["Anvil", "Plate", "Rod"]
@@ -89,5 +91,6 @@ SHIPPING_TIERS = [
 # -- ranking ---------------------------------------------------------------
 # Fixed value: factor weights of the collection score.
 RANK_WEIGHTS = {"velocity": 0.35, "margin": 0.20, "inventory": 0.20, "new_arrival": 0.15, "low_stock": 0.10}
+# Days a product is new, and units that are low stock.
 NEW_ARRIVAL_DAYS = 30
 LOW_STOCK = 3

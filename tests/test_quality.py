@@ -71,7 +71,7 @@ def test_drafts(spark):
     assert one(spark, "```html\n<p>x</p>\n```", Q.draft_cleanup) == "<p>x</p>"
     assert one(spark, "<p>x</p>\n---\nnotes", Q.draft_cleanup) == "<p>x</p>"
     assert one(spark, "Sorry, I cannot do this", Q.refusal) == "i cannot" and one(spark, "<p>Fine</p>", Q.refusal) is None
-    r = facts(spark, blocks=["a <b> & 'c'"], bullets=["x" * 120], specs={}).select(Q.fallback_html(F.col("blocks"), F.col("bullets"), F.col("specs")).alias("h")).first().h
+    r = facts(spark, blocks=["a <b> & 'c'"], bullets=["x" * 120], specs={}).select(Q.fallback_html(F.col("blocks"), F.col("bullets"), F.col("specs"), item_chars=100).alias("h")).first().h
     assert r == "<p>a &lt;b&gt; &amp; &#39;c&#39;</p>\n<h3>Features</h3>\n<ul>\n<li>" + "x" * 97 + "...</li>\n</ul>"
 
 
