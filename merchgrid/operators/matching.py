@@ -9,7 +9,7 @@ from merchgrid.functions import urls as U
 from merchgrid.functions.colors import normalize as normalize_color
 from merchgrid.functions.common import add_all, any_of, clamp, contains_any, flag, labels, ratio, strip, text
 from merchgrid.functions.ranking import top_k
-from merchgrid.functions.setsim import prefixes, set_id, token_frequency
+from merchgrid.functions.setsim import blocked, prefixes, set_id, token_frequency
 from merchgrid.functions.similarity import any_homonym, sequence_ratio
 from merchgrid.operators.images import with_catalog_image
 from merchgrid.rules import matching as rules
@@ -480,13 +480,18 @@ def catalog_cross_check(rows: DataFrame, variants: DataFrame, products: DataFram
     return checked.unionByName(rest.select("row_id", F.array().cast("array<string>").alias("warnings"), none.alias("catalog_image"), none.alias("catalog_description")))
 
 
+#: Titles a side that a word's block holds.
+BLOCK = 4096
+
+
 def title_join(left: DataFrame, right: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Best word-Jaccard match of every left title in another catalog of its domain.
 
     ``left(domain, product_id, title)``, ``right(domain, other_id, other_title)``.  Equal
     word sets are joined once and fanned out at the end; a pair above the threshold must
-    share one of the rarest words of the left set (prefix filter), so frequent words never
-    pair everything.  Every surviving pair is verified on the whole sets.
+    share one of the rarest words of the left set (prefix filter), and enough words can follow the first
+    one they share (positional filter), so frequent words pair short titles only.  A word
+    of many titles is joined in blocks of ``BLOCK`` titles a side.  Every surviving pair is verified on the whole sets.
     """
     words = lambda c: F.array_sort(F.array_except(tokens(F.col(c)), lits(rules.CATALOG_FILLER)))
     lset = durable(left.withColumn("words", words("title")).where(F.size("words") > 0).withColumn("sid", set_id(F.col("words"))))
@@ -497,9 +502,12 @@ def title_join(left: DataFrame, right: DataFrame, threshold: float = 0.3) -> Dat
     )
     freq = token_frequency(rsets, ["domain"], "rwords")
     mine = prefixes(lsets, ["domain"], "sid", "words", threshold, freq)
-    theirs = prefixes(rsets, ["domain"], "rid", "rwords", threshold, freq).withColumnRenamed("size", "rsize")
+    theirs = prefixes(rsets, ["domain"], "rid", "rwords", threshold, freq).withColumnsRenamed({"size": "rsize", "pos": "rpos"})
     size_ok = (F.col("rsize") * threshold < F.col("size")) & (F.col("size") * threshold < F.col("rsize"))
-    met = mine.join(theirs, ["domain", "w"]).where(size_ok).select("domain", "sid", "rid").distinct()
+    # of the first word that a pair shares: it and what follows it on the shorter side are all that they can share
+    rest_ok = F.least(F.col("size") - F.col("pos"), F.col("rsize") - F.col("rpos")) * (1 + threshold) > threshold * (F.col("size") + F.col("rsize")) - 1e-9
+    mine, theirs = blocked(mine, theirs, ["domain", "w"], "sid", "rid", BLOCK)
+    met = mine.join(theirs, ["domain", "w", "bl", "br"]).where(size_ok & rest_ok).select("domain", "sid", "rid").distinct()
     pairs = met.join(lsets, ["domain", "sid"]).join(rsets, ["domain", "rid"])
     t, c = F.col("words"), F.col("rwords")
     jac = F.size(F.array_intersect(t, c)) / F.size(F.array_union(t, c)).cast("double")

@@ -155,3 +155,26 @@ def test_urls(spark):
     assert f(U.drop_resize_params, "https://a/b.jpg?w=3&v=9&Width=1", "https://a/b.jpg?w=3", "https://a/b.jpg") == ["https://a/b.jpg?v=9", "https://a/b.jpg", "https://a/b.jpg"]
     assert f(U.widest_source, "/a-1.jpg 300w, /a-2.jpg 900w, /a-3.jpg 900w") == ["/a-2.jpg"]
     assert f(U.image_reject_reason, "x.svg?v", "logo.png", "data:abc", "a.jpg") == ["unsupported format", "likely icon/badge", "data URI", None]
+
+
+def test_a_word_of_a_third_of_all_titles_is_joined_in_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(40)]
+    title = lambda k: " ".join([*(["jacket"] if k % 3 == 0 else []), *(rng.choice(vocab) for _ in range(rng.randint(1, 5)))])
+    left, right = ([(0, i, title(i)) for i in range(240)] for _ in range(2))
+    frames = spark.createDataFrame(left, "domain long, product_id long, title string"), spark.createDataFrame(right, "domain long, other_id long, other_title string")
+    want = sorted(map(tuple, M.title_join(*frames).collect()))
+    seen = []
+    whole = M.blocked
+
+    def watched(*args):
+        a, b = whole(*args)
+        for side, n in ((a, 4), (b, 4)):
+            most = side.groupBy("domain", "w", "bl", "br").count().agg(F.max("count")).first()[0]
+            seen.append(most <= n * 3)
+        assert a.where("bl > 0 or br > 0").count() > 0
+        return a, b
+
+    monkeypatch.setattr(M, "BLOCK", 4)
+    monkeypatch.setattr(M, "blocked", watched)
+    assert sorted(map(tuple, M.title_join(*frames).collect())) == want and seen == [True, True]
